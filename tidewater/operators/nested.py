@@ -178,9 +178,10 @@ def _text(v: object) -> str | None:
     return json.dumps(v, ensure_ascii=False)
 
 
-def walk_json(raw: str | None, arrays: frozenset[str], nested_text: frozenset[str]) -> list[tuple]:
+def walk_json(raw: str | None, arrays: frozenset[str], nested_text: frozenset[str], shared: frozenset[str] = frozenset()) -> list[tuple]:
     """Linked rows of one line: (type_path, parent_path, path, position, is_null, fields, shapes); [] if the line is
     no object. `arrays` are fields whose object stands for an array of one, `nested_text` fields whose text is JSON.
+    Objects named in `shared`, or met again below an object of their own name, get rows of their own (position null).
     A work list instead of recursion keeps deep records off the Python stack."""
     if raw is None:
         return []
@@ -209,7 +210,11 @@ def walk_json(raw: str | None, arrays: frozenset[str], nested_text: frozenset[st
                             pass
                     if name in arrays and isinstance(x, dict):
                         x = [x]
-                    inner.append((f"{prefix}_{name}" if prefix else name, f"{k}.{name}" if k else name, f"{p}.{name}" if p else name, x))
+                    below, at = f"{k}.{name}" if k else name, f"{p}.{name}" if p else name
+                    if isinstance(x, dict) and (name in shared or name in k.replace("[]", "").split(".")):
+                        todo.append((below, path, at, None, x))
+                    else:
+                        inner.append((f"{prefix}_{name}" if prefix else name, below, at, x))
             elif isinstance(v, list):
                 for i in range(len(v), 0, -1):
                     todo.append((f"{k}[]", path, f"{p}.{i}", i, v[i - 1]))
@@ -217,17 +222,18 @@ def walk_json(raw: str | None, arrays: frozenset[str], nested_text: frozenset[st
                 fields[prefix or "value"] = _text(v)
                 if not prefix:
                     shapes[k] = "scalar"
-        out.append((kind, None if pos is None else parent, path, pos, value is None, fields, shapes))
+        out.append((kind, parent if path else None, path, pos, value is None, fields, shapes))
     return out
 
 
-def json_rows(df: DataFrame, key: str, raw: str, arrays: Iterable[str] = (), nested_text: Iterable[str] = ()) -> DataFrame:
-    """All linked rows of the JSON lines in column `raw`; the record's own row has an empty path."""
-    many, text = frozenset(arrays), frozenset(nested_text)
+def json_rows(df: DataFrame, key: str, raw: str, arrays: Iterable[str] = (), nested_text: Iterable[str] = (), shared: Iterable[str] = ()) -> DataFrame:
+    """All linked rows of the JSON lines in column `raw`; the record's own row has an empty path. `shared`: object
+    labels that a first pass over `json_schema` found below several parents."""
+    many, text, own = frozenset(arrays), frozenset(nested_text), frozenset(shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *r) for k, line in zip(b["k"], b["raw"]) for r in walk_json(line, many, text)]
+            rows = [(k, *r) for k, line in zip(b["k"], b["raw"]) for r in walk_json(line, many, text, own)]
             yield pd.DataFrame(rows, columns=JSON_ROW.fieldNames())
 
     picked = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{raw}`").cast("string").alias("raw"))
@@ -290,5 +296,5 @@ def json_table(rows: DataFrame, plan: TablePlan) -> DataFrame:
         "position",
         "is_null",
         F.col("type_path").alias("parent_type"),
-        *[F.get_item(F.col("fields"), F.lit(c)).alias(f"f_{c}") if hasattr(F, "get_item") else F.col("fields")[c].alias(f"f_{c}") for c in plan.columns],
+        *[F.col("fields")[c].alias(f"f_{c}") for c in plan.columns],
     )
