@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import skeleton
+from tidewater.llm import sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,54 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     rows = turns_long(spark, d)
     return rows.select("tbl", "rec_no", "turn_no", skeleton.consistent_udf("text").alias("text"))
+
+
+# ---------------------------------------------------------------- 2: samples that match category shares
+
+
+def _plan_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    corpus = table(spark, d, "hinglish_spot_check")
+    members = sampling.memberships(corpus, "id", {"subtype": F.col("subtype"), "intent": F.col("intent"), "multiturn": F.col("delivery.multiturn")})
+    return members, sampling.targets(corpus, "id", members, table(spark, d, "sample_plan"))
+
+
+_PLAN_SQL = """WITH m AS (
+      SELECT DISTINCT id, field, category FROM (
+        SELECT id, 'subtype' AS field, regexp_replace(lower(trim(subtype)), '[\\s_-]+', '_', 'g') AS category FROM hinglish_spot_check
+        UNION ALL SELECT id, 'intent', regexp_replace(lower(trim(intent)), '[\\s_-]+', '_', 'g') FROM hinglish_spot_check
+        UNION ALL SELECT id, 'multiturn', CAST(delivery.multiturn AS VARCHAR) FROM hinglish_spot_check)
+      WHERE id IS NOT NULL AND category IS NOT NULL AND category <> ''),
+    c AS (SELECT field, category, count(*) AS available FROM m GROUP BY ALL),
+    n AS (SELECT count(DISTINCT id) AS n FROM hinglish_spot_check),
+    t AS (SELECT plan_id, p.field, p.category, greatest(min_rows, (n * sample_pct // 100) * share_pct // 100) AS wanted,
+                 coalesce(available, 0) AS available
+          FROM sample_plan p CROSS JOIN n LEFT JOIN c ON p.field = c.field AND p.category = c.category)
+    """
+
+
+@query(_PLAN_SQL + "SELECT plan_id, category FROM t WHERE available < wanted")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    _, wanted = _plan_inputs(spark, d)
+    return wanted.filter("gap > 0").select("plan_id", "category")
+
+
+@query(_PLAN_SQL + "SELECT plan_id, field, category, wanted, available, greatest(wanted - available, 0) AS gap FROM t")
+def p2_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _plan_inputs(spark, d)[1].select("plan_id", "field", "category", "wanted", "available", "gap")
+
+
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    members, wanted = _plan_inputs(spark, d)
+    wanted = cut(wanted)
+    return wanted, sampling.calibrated_sample(cut(members), wanted)
+
+
+@query()
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sampled(spark, d)[1]
+
+
+@query()
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    wanted, sample = _sampled(spark, d)
+    return sampling.sample_report(wanted, cut(sample))
