@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import sampling, skeleton
+from tidewater.llm import leakage, packing, sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,47 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     wanted, sample = _sampled(spark, d)
     return sampling.sample_report(wanted, cut(sample))
+
+
+# ---------------------------------------------------------------- 8: training windows
+
+WINDOW = 2048
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pieces(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text"), WINDOW)
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are cut: exactly those longer than a window have a second piece."""
+    return _pieces(spark, d).filter("piece_no = 2").select("doc_id")
+
+
+@query()
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(cut(_pieces(spark, d)), WINDOW)
+
+
+@query()
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(cut(_pieces(spark, d)), WINDOW), WINDOW)
+
+
+# ---------------------------------------------------------------- 9: evaluation texts in the corpus
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter("run_words >= 12").select("doc_id", "item_id")
+
+
+@query()
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents, and how long their longest leaked run is."""
+    hit = _leaks(spark, d).filter("run_words >= 12").groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(hit, "item_id")
