@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import leakage, packing, sampling, skeleton
+from tidewater.llm import leakage, packing, quality, sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,26 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked, into how many documents, and how long their longest leaked run is."""
     hit = _leaks(spark, d).filter("run_words >= 12").groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"))
     return table(spark, d, "eval_items").select("item_id", "suite").join(hit, "item_id")
+
+
+# ---------------------------------------------------------------- 10: text quality statistics
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_stats(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    stats = cut(_stats(spark, d))
+    return quality.kinds(stats, quality.outlier_scores(quality.tail_probabilities(stats)))
+
+
+@query()
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(spark, d)
+
+
+@query()
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return quality.outlier_scores(quality.tail_probabilities(_stats(spark, d)))
