@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import leakage, packing, quality, sampling, skeleton
+from tidewater.llm import leakage, neardup, packing, quality, sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,23 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return quality.outlier_scores(quality.tail_probabilities(_stats(spark, d)))
+
+
+# ---------------------------------------------------------------- 4: near-duplicate records
+
+
+def _near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    empty = F.array().cast("array<string>")
+    texts = F.concat(F.coalesce(F.col("turns.text"), empty), F.coalesce(F.col("label.options"), empty))
+    return neardup.near_duplicates(table(spark, d, "hinglish_spot_check").select("line_no", texts.alias("texts")), "line_no", "texts")
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near_duplicates(spark, d).filter("id <> group_id").select(F.col("group_id").alias("line_a"), F.col("id").alias("line_b"))
+
+
+@query()
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its class of copies and its group."""
+    return _near_duplicates(spark, d)
