@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import leakage, neardup, packing, quality, sampling, skeleton
+from tidewater.llm import langid, leakage, neardup, packing, quality, sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per record with its class of copies and its group."""
     return _near_duplicates(spark, d)
+
+
+# ---------------------------------------------------------------- 5: languages
+
+
+def _language_model(spark: SparkSession, d: str) -> langid.ByteCNN:
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), langid.language_name(F.col("lang")).alias("lang"), "text")
+    corpus = table(spark, d, "hinglish_spot_check").select("turns.text", "delivery.language_mix")
+    # a mixed record may hold English sentences, so only one-sentence records teach what a mixed sentence is
+    single = (F.size("text") == 1) & ~F.get("text", F.lit(0)).rlike(r"[.?!।]\s")
+    turns = corpus.filter(F.col("language_mix").isNotNull() & (~F.col("language_mix") | single)).select(F.lit("turns").alias("source"), F.when(F.col("language_mix"), "hinglish").otherwise("en").alias("lang"), F.array_join("text", "\n").alias("text"))
+    return langid.train(docs.unionByName(turns))
+
+
+def _document_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataFrame:
+    docs = table(spark, d, "documents")
+    # the text is read beside its statistics, so prose is picked without a join
+    prose = quality.text_stats(docs, "doc_id", "text", "lang", keep=("text",)).filter(quality.definition().isNull())
+    return langid.segments(prose.select(F.col("doc_id").alias("rec"), F.array("text").alias("texts")), model, "line")
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    model = _language_model(spark, d)
+    corpus = table(spark, d, "hinglish_spot_check")
+    segs = langid.segments(corpus.select(F.col("line_no").alias("rec"), F.col("turns.text").alias("texts")), model, "sentence")
+    flags = corpus.select(F.col("line_no").alias("rec"), F.col("delivery.language_mix").alias("mix"))
+    records = langid.record_language(segs).join(flags, "rec").filter(F.col("mix").isNull() | (F.col("mix") != (F.col("lang") == "hinglish")))
+    labels = table(spark, d, "documents").select(F.col("doc_id").alias("rec"), F.coalesce(langid.language_name(F.col("lang")), F.lit("")).alias("label"))
+    lines = _document_lines(spark, d, model).filter("n_words >= 6").groupBy("rec", "lang").agg(F.max("confidence").alias("confidence"))
+    wrong = lines.join(labels, "rec").filter("lang <> label")
+    a = records.select(F.lit("hinglish_spot_check").alias("tbl"), F.col("rec").alias("rec_no"), "lang")
+    return a.unionByName(wrong.select(F.lit("documents").alias("tbl"), F.col("rec").alias("rec_no"), "lang"))
+
+
+@query()
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _document_lines(spark, d, _language_model(spark, d))
