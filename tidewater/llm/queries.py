@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import langid, leakage, neardup, packing, quality, sampling, skeleton
+from tidewater.llm import defects, langid, leakage, neardup, packing, quality, sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return _document_lines(spark, d, _language_model(spark, d))
+
+
+# ---------------------------------------------------------------- 6: broken prompt-response pairs
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    corpus = table(spark, d, "hinglish_spot_check").select(
+        F.col("line_no").alias("rec"), F.col("turns.text").alias("texts"), F.col("label.options").alias("options"), F.col("label.contains_violation").alias("due")
+    )
+    return defects.defective(corpus).select(F.col("rec").alias("line_no"), "option_no", "defect")
