@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import defects, langid, leakage, neardup, packing, quality, sampling, skeleton
+from tidewater.llm import defects, langid, leakage, neardup, packing, pii, quality, sampling, skeleton
 from tidewater.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         F.col("line_no").alias("rec"), F.col("turns.text").alias("texts"), F.col("label.options").alias("options"), F.col("label.contains_violation").alias("due")
     )
     return defects.defective(corpus).select(F.col("rec").alias("line_no"), "option_no", "defect")
+
+
+# ---------------------------------------------------------------- 1: personal information
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    parts = [turn_texts(spark, d, tbl, key).select(F.lit(tbl).alias("tbl"), "rec_no", "texts") for tbl, key in TURN_TABLES]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.disclosed_spans(_records(spark, d)).select("tbl", "rec_no", "turn_no", F.col("kind").alias("pii_type")).distinct()
+
+
+@query()
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_turns(_records(spark, d))
