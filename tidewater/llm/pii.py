@@ -78,12 +78,13 @@ IDS = re.compile(
     r"[A-Z]{2}\d{6}[A-Z]|\d{2}[A-Z]{2}\d{5})(?![\w-])",
     re.I,
 )
-STREET = r"(?:street|st|road|rd|lane|ln|close|avenue|ave|drive|dr|court|marg|nagar|gali|terrace|crescent|boulevard|blvd|path|chowk|bazaar)"
-NAME_WORD = r"[^\W\d_]+"
+STREET = r"(?:street|st|road|rd|lane|ln|close|avenue|ave|marg|nagar|gali|crescent|boulevard|blvd)"
+NAME_WORD = r"(?!(?:a|an|the|in|on|at|of|to|is|for|from|and|or|by|with)\b)[^\W\d_]+"
+AREA = rf"(?:\s*,\s*{NAME_WORD}(?:\s+{STREET}\b\.?)?)"
 ADDRESS = re.compile(
-    rf"""(?<![\w/])(?:
-      (?:flat|apartment|apt|unit|door|room)\s*(?:no\.?)?\s*\d+\s?-?[a-z]?\s*,\s*(?:[\w\s]{{1,30}},\s*){{0,4}}[\w\s]{{0,30}}\b(?:residency|towers?|{STREET})\b[^.;!?\n]{{0,30}}
-    | (?:house|h\.?|plot|door)\s*(?:no\.?)?\s*\d+[\w/-]*\s*,\s*[^.;!?\n]{{0,60}}\b{STREET}\b\.?(?:,\s*{NAME_WORD}(?:\s+\d{{5,6}})?)?
+    rf"""(?<![\w/#])(?:
+      (?:flat|apartment|apt|unit|door|room)\s*(?:no\.?)?\s*\d+\s?-?[a-z]?\s*,\s*(?:[\w\s]{{1,30}},\s*){{0,4}}[\w\s]{{0,30}}\b(?:residency|towers?|{STREET})\b{AREA}{{0,2}}
+    | (?:house|h\.?|plot|door)\s*(?:no\.?)?\s*\d+[\w/-]*\s*,\s*[^.;!?\n]{{0,60}}?\b(?:{NAME_WORD}\s+)?(?:marg|nagar|road|street|lane)\b\.?(?:\s*,\s*{NAME_WORD}(?:\s+\d{{5,6}})?)?
     | \d{{1,4}}(?:\s?[/-]\s?\w{{1,3}})?[a-z]?\s+(?:{NAME_WORD}\s+){{1,3}}{STREET}\b\.?(?:\s+(?:apt|flat|unit)\.?\s*\d+)?(?:,?\s*{NAME_WORD})?
     | {NAME_WORD}(?:weg|stra(?:ß|ss)e|gasse|platz|allee)\s+(?:nr\.?\s*)?\d+[a-z]?(?:\s*,\s*\d{{5}}\s+{NAME_WORD})?
     | (?:calle|avenida|rue|via)\s+{NAME_WORD}(?:\s+{NAME_WORD})?\s*,?\s*\d+(?:\s*,\s*piso\s*\d+)?(?:\s*,\s*{NAME_WORD})?
@@ -95,13 +96,14 @@ AT = r"(?:\s*@\s*|\s*[\[({<]\s*(?:at|aat|@)\s*[\])}>]\s*|\s+(?:at|aat)\s+)"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|d0t|dawt|daht|\.)\s*[\])}>]\s*|\s+(?:dot|d0t|dawt|daht)\s+)"
 LABEL = r"[a-z0-9][a-z0-9-]*"
 LOCAL = rf"[a-z0-9][a-z0-9._%+-]*(?:{DOT}[a-z0-9][a-z0-9._%+-]*)?"
+PERIOD = rf"(?:\.(?=\S)|\s\.\s|{DOT})"
 EMAIL = re.compile(
     rf"""(?<![\w.@/])(?:mailto:)?(?:
-      {LOCAL}\s*@\s*{LABEL}(?:(?:\s?\.\s?|{DOT}){LABEL})+
-    | {LOCAL}(?:{AT}){LABEL}(?:{DOT}{LABEL})+
-    | {LOCAL}\s*[\[({{<]\s*(?:at|aat|@)\s*[\])}}>]\s*{LABEL}(?:(?:\s?\.\s?|{DOT}){LABEL})+
-    | (?:[a-z0-9._%+-]\s){{3,}}@\s(?:[a-z0-9-]\s){{2,}}\.\s(?:[a-z0-9.-]\s?){{2,}}
-    )""",
+      {LOCAL}\s*@\s*{LABEL}(?:{PERIOD}{LABEL})+
+    | {LOCAL}(?:{AT})(?!www\b){LABEL}(?:{DOT}{LABEL})+
+    | {LOCAL}\s*[\[({{<]\s*(?:at|aat|@)\s*[\])}}>]\s*{LABEL}(?:{PERIOD}{LABEL})+
+    | (?:[a-z0-9._%+-]\s){{3,}}@\s(?:[a-z0-9-]\s){{2,}}\.\s(?:[a-z0-9.-]\s?(?![^\W_]{{2}})){{2,}}
+    )(?!\s*(?:/|slash\b))""",
     re.I | re.X,
 )
 LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\bwww\s+dot\b.*?(?:\bslash\s+\S+|$)|\S+@\S+|(?<!\w)@\w[\w.]*|\S+#\d{3,}", re.I)
@@ -115,6 +117,7 @@ NOT_A_NAME = set(
     grandmother grandfather guide driver plumber painter electrician carpenter cleaner teammate colleague co-host flatmate roommate landlord tenant neighbour
     receptionist cousin friend manager villa casa hotel parking breakfast booking wifi please kindly thankfully great okay ok thanks hi hello namaste the
     aap hum main mera mere woh yeh aaj kal parso aur bas kripya mujhe agar kya yaar suno ab phir pehle uske pe se ko ki ke ka hai na ne ho toh bhi
+    asked whether said says told kept found opened rukwa mil pi lena dena
     somvaar mangalvaar budhvaar guruvaar shukravaar shanivaar ravivaar monday tuesday wednesday thursday friday saturday sunday""".split()
 )
 TITLE = r"(?:(?:mr|mrs|ms|miss|dr|prof|shri|smt|herr|frau|señora?|madame)\b\.?\s+)?"
@@ -134,7 +137,7 @@ FRAMES = [
         rf"{START}{NAME} here\s*,",
         rf"{START}{NAME} will \w+",
         rf"\b(?:is|are) (?:called|named) {NAME}\s*[,.]",
-        rf"\b(?:my|our)(?: \w+)? {ROLE} {NAME} (?:will|is|was|has)\b",
+        rf"\b(?:my|our)(?: \w+)? {ROLE} {NAME} will\b",
         rf"\bbooking is under {NAME}\s*,",
         rf"\bgive the [^.?!]*? to {NAME} please\b",
         rf"\b(?:mera|meri) naam {NAME} (?:hai|hoon)\b",
@@ -145,7 +148,7 @@ FRAMES = [
         rf"\b(?:mere|meri)(?: \w+)? {ROLE} {NAME} ko\b",
         rf"\bpe {NAME} se mil\b",
         rf"{START}{NAME} {DAY} ko aayeg[ai]\b",
-        rf"\b(?:thanks|regards|cheers|dhanyavaad)\s*,\s*{NAME}\s*[.!]?\s*$",
+        rf"\b(?:thanks|regards|cheers|dhanyavaad)\s*,\s*({TITLE}{PART}(?:\s+{PART})?)",
     )
 ]
 #: Words before or after a name that make it the name of a property, shop or street.
@@ -262,6 +265,9 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, str, l
             for m in frame.finditer(text):
                 a, b = m.span(1)
                 words = [w.strip(".").lower() for w in m.group(1).split()]
+                while words and words[-1] in NOT_A_NAME and len(words) > 1 and frame is FRAMES[-1]:  # a signature runs into the next sentence
+                    b = text.rindex(" ", a, b)
+                    words.pop()
                 if any(w in NOT_A_NAME for w in words) or any(x < b and a < y for x, y in busy):
                     continue
                 if PROPERTY_BEFORE.search(text[:a]) or PROPERTY_AFTER.match(text[b:]):
@@ -331,8 +337,8 @@ def name_terms(cands: DataFrame, terms: DataFrame, disclose: float = 0.35, least
 def number_kinds(cands: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(tbl, rec_no, turn_no, a, b, kind) of open numbers that their contexts disclose as phone or id_number.
 
-    Each context adds log2 P(context | kind) / P(context | coded), its information on the kind; ties, and numbers
-    without a known context, go by length: ten digits and more are a phone, twelve in groups an id_number."""
+    Each context adds log2 P(context | kind) / P(context | coded), its information on the kind, and so does the length:
+    plain identity numbers have twelve digits. Numbers without a known context go by length alone."""
     seeds = cands.filter("seed AND kind IN ('phone', 'id_number', 'coded')").select("kind", F.explode("ctx").alias("f"))
     per = seeds.groupBy("f").agg(*[F.sum((F.col("kind") == k).cast("long")).alias(k) for k in ("phone", "id_number", "coded")])
     size = seeds.agg(*[F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_all") for k in ("phone", "id_number", "coded")])
@@ -342,6 +348,7 @@ def number_kinds(cands: DataFrame, threshold: float = 0.0) -> DataFrame:
     score = open_.join(info, "f", "left").groupBy("tbl", "rec_no", "turn_no", "a", "b", "n").agg(
         F.sum(F.coalesce("i_phone", F.lit(0.0))).alias("phone"), F.sum(F.coalesce("i_id_number", F.lit(0.0))).alias("id_number"), F.count("i_phone").alias("known")
     )
+    score = score.withColumn("id_number", F.col("id_number") + F.when(F.col("n") == 12, 2.0).otherwise(-6.0))
     by_length = F.when(F.col("n") == 12, "id_number").when(F.col("n") >= 10, "phone")
     kind = (
         F.when(F.col("known") == 0, by_length)
