@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import nested
+from tidewater import constants as K
+from tidewater.functions import features as X
+from tidewater.functions import text as T
+from tidewater.operators import curation, nested, ranking
+from tidewater.plans import moderation
 from tidewater.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +98,298 @@ def p7_raw_spans(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p7_raw_rounds(spark: SparkSession, d: str) -> DataFrame:
     return _raw_table(spark, d, "metadata_review_rounds")
+
+
+# ---------------------------------------------------------------- moderation
+
+
+@query()
+def moderation_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: every message through canonical text, features, keyed state and intervention."""
+    return moderation.decisions(table(spark, d, "messages"))
+
+
+@query()
+def moderation_log(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.decision_log(moderation.decisions(table(spark, d, "messages")))
+
+
+@query()
+def moderation_phase1(spark: SparkSession, d: str) -> DataFrame:
+    return T.phase1(table(spark, d, "messages").select("msg_id", "text")).select("msg_id", "final_text", F.to_json("spans_detected").alias("spans"), "deterministic_match")
+
+
+@query()
+def testcase_report(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.testcase_report(table(spark, d, "testcases"))
+
+
+@query(
+    """SELECT msg_id, regexp_replace(trim(regexp_replace(text, '[\\s\\x1c-\\x1f]+', ' ', 'g')), ' +', ' ', 'g') AS text
+       FROM messages WHERE text IS NOT NULL"""
+)
+def norm_flatten_whitespace(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").filter("text IS NOT NULL").select("msg_id", T.flatten_whitespace(F.col("text")).alias("text"))
+
+
+@query(
+    """SELECT msg_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+         '[\\s\\[\\(\\{<]*(at|aat|@)[\\s\\]\\)\\}>]+', '@', 'gi'), '[\\s\\[\\(\\{<]*(dot|dawt|daht|d0t|\\.)[\\s\\]\\)\\}>]+', '.', 'gi'),
+         '[\\s\\x1c-\\x1f]*@[\\s\\x1c-\\x1f]*', '@', 'g'), '[\\s\\x1c-\\x1f]*\\.[\\s\\x1c-\\x1f]*', '.', 'g') AS text FROM messages"""
+)
+def norm_substitute_verbal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", T.substitute_verbal(F.col("text")).alias("text"))
+
+
+@query("SELECT msg_id, replace(text, '@', ' at ') AS text FROM messages")
+def norm_revert_verbal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", T.revert_verbal(F.col("text")).alias("text"))
+
+
+@query()
+def norm_words_to_digits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", T.words_to_digits(T.flatten_whitespace(T.sanitize_unicode(F.col("text")))).alias("text"))
+
+
+_KW = lambda words: " + ".join(f"(contains(lower(text), '{w}'))::INT" for w in words)
+
+
+@query(
+    f"""SELECT msg_id,
+          coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x))), 0)::INTEGER AS max_digit_run,
+          length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS digit_density,
+          greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * ({_KW(K.CONTACT_KEYWORDS)}) - 0.15::DOUBLE * ({_KW(K.QUANTITY_KEYWORDS)}))) AS contact_kw_score,
+          CASE WHEN regexp_matches(text, '[0-9]{{3}}[-\\s]?[0-9]{{3}}[-\\s]?[0-9]{{4}}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pattern_score
+        FROM messages WHERE text IS NOT NULL"""
+)
+def feature_scores(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "messages").filter("text IS NOT NULL").select(
+        "msg_id", X.max_digit_run(t).alias("max_digit_run"), X.digit_density(t).alias("digit_density"), X.contact_kw_score(t).alias("contact_kw_score"), X.pattern_score(t).alias("pattern_score")
+    )
+
+
+@query(
+    """SELECT msg_id, CASE WHEN NOT regexp_matches(text, '(?i)\\b[a-zA-Z0-9-]+\\.(com|org|net|io|co|me|ly|to|gg)\\b') THEN 0.0::DOUBLE
+            WHEN regexp_matches(text, '(?is)\\b[a-zA-Z0-9-]+\\.(com|org|net|io|co|me|ly|to|gg)\\b.{0,38}/\\S') THEN 1.0::DOUBLE
+            ELSE 0.3::DOUBLE END AS link_suspicion_score FROM messages WHERE text IS NOT NULL"""
+)
+def feature_link(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").filter("text IS NOT NULL").select("msg_id", X.link_suspicion_score(F.col("text")).alias("link_suspicion_score"))
+
+
+_LOGGED = "features.max_digit_run AS run, features.contact_kw_score AS kw, features.pattern_score AS pat, features.history_score AS hist, features.link_suspicion_score AS link, features.cross_turn_platform_score AS plat"
+_SCORE_SQL = f"""WITH f AS (SELECT msg_id, logged_at, {_LOGGED} FROM decision_log WHERE features IS NOT NULL),
+    r AS (SELECT *, round_even((0.25::DOUBLE * least(run / 10.0::DOUBLE, 1.0::DOUBLE) + 0.20::DOUBLE * kw + 0.15::DOUBLE * pat + 0.15::DOUBLE * hist
+                    + 0.15::DOUBLE * link + 0.10::DOUBLE * plat) * 100, 0)::INTEGER AS raw FROM f),
+    s AS (SELECT msg_id, logged_at, least(CASE WHEN hist >= 0.7::DOUBLE OR plat >= 1.0::DOUBLE THEN greatest(raw, 35) ELSE raw END, 100) AS score FROM r)
+    """
+
+
+def _rescored(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "decision_log").filter("features IS NOT NULL")
+    score = X.risk_score(*[F.col(f"features.{c}") for c in ("max_digit_run", "contact_kw_score", "pattern_score", "history_score", "link_suspicion_score", "cross_turn_platform_score")])
+    return f.select("msg_id", "logged_at", score.alias("score"))
+
+
+@query(_SCORE_SQL + "SELECT msg_id, logged_at, score, CASE WHEN score < 35 THEN 'low' WHEN score < 65 THEN 'moderate' ELSE 'high' END AS tier FROM s")
+def score_log(spark: SparkSession, d: str) -> DataFrame:
+    return _rescored(spark, d).withColumn("tier", X.tier(F.col("score")))
+
+
+@query(
+    _SCORE_SQL
+    + """SELECT CASE WHEN score < 35 THEN 'low' WHEN score < 65 THEN 'moderate' ELSE 'high' END AS tier, count(*) AS records,
+         min(score)::INTEGER AS lowest, max(score)::INTEGER AS highest FROM s GROUP BY 1"""
+)
+def tier_report(spark: SparkSession, d: str) -> DataFrame:
+    return _rescored(spark, d).groupBy(X.tier(F.col("score")).alias("tier")).agg(F.count("*").alias("records"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+
+
+@query("SELECT action, tier, count(*) AS records FROM decision_log GROUP BY ROLLUP (action, tier)")
+def action_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "decision_log").rollup("action", "tier").agg(F.count("*").alias("records"))
+
+
+@query("SELECT msg_id, regexp_replace(text, '[0-9]', '█', 'g') AS text FROM messages WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+def mask_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Masking agrees with SQL where digits are ASCII; other scripts are covered by tests."""
+    rows = table(spark, d, "messages").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
+    return rows.select("msg_id", X.mask_digits(F.col("text")).alias("text"))
+
+
+@query("SELECT case_no, array_to_string(list_transform(turns, lambda t: coalesce(t.speaker, '') || ': ' || coalesce(t.text, '')), chr(10)) AS chat FROM testcases")
+def render_turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "testcases").select("case_no", X.render_turns(F.col("turns")).alias("chat"))
+
+
+@query(
+    """SELECT line_no, len(list_filter(label.options, lambda o: o IS NOT NULL AND NOT regexp_matches(o, '[0-9]{7,}')))::INTEGER AS kept
+       FROM hinglish_spot_check WHERE label.options IS NOT NULL
+         AND len(list_filter(label.options, lambda o: o IS NOT NULL AND NOT regexp_full_match(o, '[\\x00-\\x7F]*'))) = 0"""
+)
+def option_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "hinglish_spot_check").filter("label.options IS NOT NULL")
+    rows = rows.filter(~F.coalesce(F.exists("label.options", lambda o: o.rlike("[^\\x00-\\x7F]")), F.lit(False)))
+    return rows.select("line_no", F.size(X.gate_options(F.col("label.options"))).alias("kept"))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT sender_id, ts, msg_id FROM messages WHERE sender_id IS NOT NULL),
+         g AS (SELECT *, ts - lag(ts) OVER w AS gap FROM m WINDOW w AS (PARTITION BY sender_id ORDER BY ts, msg_id))
+       SELECT sender_id, msg_id, (sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 600 SECOND THEN 1 ELSE 0 END)
+              OVER (PARTITION BY sender_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM g"""
+)
+def sender_sessions(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").filter("sender_id IS NOT NULL").select("sender_id", F.col("ts").cast("timestamp").alias("ts"), "msg_id").distinct()
+    return ranking.sessions(m, "sender_id", "ts", 600, "msg_id").select("sender_id", "msg_id", "session")
+
+
+# ---------------------------------------------------------------- curation
+
+
+@query()
+def corpus_invalid(spark: SparkSession, d: str) -> DataFrame:
+    return curation.validate(table(spark, d, "raw_examples"))[1]
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(o, '[\\s\\x{00A0}\\x{2002}-\\x{200A}\\x{202F}\\x{3000}]+'), lambda w: w <> ''))"
+_FLAG_SQL = f"""WITH c AS (SELECT line_no, id, coalesce(label.contains_violation, false) AS v, coalesce(len(label.options), 0) AS n, label.options AS o FROM hinglish_spot_check),
+    f AS (SELECT line_no, id, CASE WHEN NOT v AND n > 0 THEN 'non-violation has options'
+                   WHEN v AND n <> 3 THEN 'expected 3 options, got ' || n
+                   WHEN v AND len(list_filter(o, lambda o: {_WORDS} < 4)) > 0 THEN 'option too short' END AS reason FROM c)
+    """
+
+
+@query(_FLAG_SQL + "SELECT id, reason FROM f WHERE reason IS NOT NULL")
+def options_flagged(spark: SparkSession, d: str) -> DataFrame:
+    return curation.check_options(table(spark, d, "hinglish_spot_check"))[1].select("id", "reason")
+
+
+@query(_FLAG_SQL + "SELECT line_no FROM f WHERE id IS NULL OR id NOT IN (SELECT id FROM f WHERE reason IS NOT NULL AND id IS NOT NULL)")
+def options_kept(spark: SparkSession, d: str) -> DataFrame:
+    return curation.check_options(table(spark, d, "hinglish_spot_check"))[0].select("line_no")
+
+
+_PAIR_SQL = """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b,
+      list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+    """
+VECTOR_DROP, VECTOR_REVIEW = 0.40, 0.35
+
+
+def _vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return curation.vector_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", VECTOR_REVIEW)
+
+
+@query(_PAIR_SQL + f"SELECT a, b, round(s, 4) AS similarity FROM p WHERE s >= {VECTOR_REVIEW}")
+def vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_pairs(spark, d).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(
+    _PAIR_SQL.replace("WITH p", "WITH RECURSIVE p")
+    + f""", e AS (SELECT a, b FROM p WHERE s >= {VECTOR_DROP} UNION SELECT b, a FROM p WHERE s >= {VECTOR_DROP}),
+      r AS (SELECT DISTINCT a AS n, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON r.n = e.a),
+      c AS (SELECT n, min(m) AS component FROM r GROUP BY n)
+    SELECT vec_id, coalesce(component, vec_id) AS cluster FROM embeddings LEFT JOIN c ON vec_id = n"""
+)
+def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "embeddings").select("vec_id", F.lit("").alias("text"))
+    return curation.deduplicate(items, _vector_pairs(spark, d), "vec_id", "text", VECTOR_DROP)[1]
+
+
+@query()
+def vector_representatives(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    items = table(spark, d, "embeddings").select("vec_id").join(texts, "vec_id", "left")
+    return curation.deduplicate(items, _vector_pairs(spark, d), "vec_id", "text", VECTOR_DROP)[0]
+
+
+@query(
+    """SELECT t.subtype, coalesce(n, 0) AS actual, target, round(100.0::DOUBLE * coalesce(n, 0) / target, 4) AS pct,
+         CASE WHEN 100.0::DOUBLE * coalesce(n, 0) / target < 90 THEN target - coalesce(n, 0) END AS shortfall
+       FROM subtype_targets t LEFT JOIN (SELECT subtype, count(*) AS n FROM hinglish_spot_check GROUP BY 1) c ON t.subtype = c.subtype"""
+)
+def balance_check(spark: SparkSession, d: str) -> DataFrame:
+    return curation.balance(table(spark, d, "hinglish_spot_check"), table(spark, d, "subtype_targets"))[0]
+
+
+@query(
+    """SELECT subtype, count(*) AS actual FROM hinglish_spot_check h WHERE NOT EXISTS (SELECT 1 FROM subtype_targets t WHERE t.subtype = h.subtype) GROUP BY subtype"""
+)
+def unexpected_subtypes(spark: SparkSession, d: str) -> DataFrame:
+    return curation.balance(table(spark, d, "hinglish_spot_check"), table(spark, d, "subtype_targets"))[1]
+
+
+@query(
+    """WITH r AS (SELECT line_no, subtype, row_number() OVER (PARTITION BY subtype ORDER BY md5(line_no::VARCHAR), line_no) AS rn,
+                         count(*) OVER (PARTITION BY subtype) AS n FROM hinglish_spot_check)
+       SELECT line_no, subtype FROM r WHERE rn <= greatest(1, floor(0.05::DOUBLE * n))"""
+)
+def spot_check(spark: SparkSession, d: str) -> DataFrame:
+    return curation.spot_check(table(spark, d, "hinglish_spot_check")).select("line_no", "subtype")
+
+
+@query("SELECT line_no FROM hinglish_spot_check WHERE NOT coalesce(delivery.multiturn AND delivery.language_mix AND label.contains_violation, false)")
+def delete_flagged(spark: SparkSession, d: str) -> DataFrame:
+    return curation.delete_flagged(table(spark, d, "hinglish_spot_check")).select("line_no")
+
+
+_IDS = ", ".join(f"('{i}')" for i in K.IDS_TO_REMOVE)
+
+
+@query(f"SELECT line_no FROM hinglish_spot_check WHERE id IS NULL OR id NOT IN (SELECT * FROM (VALUES {_IDS}))")
+def delete_ids(spark: SparkSession, d: str) -> DataFrame:
+    return curation.delete_ids(table(spark, d, "hinglish_spot_check"), K.IDS_TO_REMOVE)[0].select("line_no")
+
+
+@query(f"SELECT v.id FROM (VALUES {_IDS}) v(id) WHERE v.id NOT IN (SELECT id FROM hinglish_spot_check WHERE id IS NOT NULL)")
+def missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    return curation.delete_ids(table(spark, d, "hinglish_spot_check"), K.IDS_TO_REMOVE)[1]
+
+
+_KEY_SQL = "trim(regexp_replace(lower({}), '[\\s\\x1c-\\x1f]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH b AS (SELECT line_no, {_KEY_SQL.format("turns[1].text")} AS k FROM hinglish_spot_check),
+        s AS (SELECT DISTINCT {_KEY_SQL.format("t.text")} AS k FROM (SELECT unnest(turns) AS t FROM testcases)),
+        f AS (SELECT k, min(line_no) AS line_no FROM b WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM s WHERE k IS NOT NULL) GROUP BY k)
+        SELECT line_no FROM f UNION ALL SELECT line_no FROM b WHERE k IS NULL"""
+)
+def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return curation.new_examples(table(spark, d, "hinglish_spot_check"), table(spark, d, "testcases")).select("line_no")
+
+
+@query(
+    """SELECT t.subtype, target, coalesce(n, 0) AS have, greatest(target - coalesce(n, 0), 0) AS missing, least(greatest(target - coalesce(n, 0), 0), 25) AS next_batch
+       FROM subtype_targets t LEFT JOIN (SELECT subtype, count(*) AS n FROM hinglish_spot_check GROUP BY 1) c ON t.subtype = c.subtype"""
+)
+def generation_deficit(spark: SparkSession, d: str) -> DataFrame:
+    return curation.deficits(table(spark, d, "hinglish_spot_check"), table(spark, d, "subtype_targets"), 25)
+
+
+@query(
+    """SELECT line_no, subtype || '_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS id
+       FROM (SELECT line_no, subtype, row_number() OVER (PARTITION BY subtype ORDER BY line_no) - 1 AS n FROM hinglish_spot_check WHERE subtype IS NOT NULL)"""
+)
+def assign_ids(spark: SparkSession, d: str) -> DataFrame:
+    corpus = table(spark, d, "hinglish_spot_check").filter("subtype IS NOT NULL")
+    return curation.assign_ids(corpus, corpus.select("subtype").distinct().withColumn("have", F.lit(0))).select("line_no", "id")
+
+
+@query(
+    """WITH b AS (SELECT line_no, row_number() OVER (ORDER BY md5(line_no::VARCHAR), line_no) AS rn, count(*) OVER () AS n
+                  FROM hinglish_spot_check WHERE NOT coalesce(delivery.language_mix, false))
+       SELECT line_no, ((rn - 1) // 10)::BIGINT AS chunk, ((rn - 1) % 10)::BIGINT AS place FROM b WHERE rn <= floor(0.25::DOUBLE * n)"""
+)
+def language_mix_chunks(spark: SparkSession, d: str) -> DataFrame:
+    s = curation.language_mix_sample(table(spark, d, "hinglish_spot_check"))
+    return s.select("line_no", "chunk", "place")
+
+
+@query()
+def derive_mixed(spark: SparkSession, d: str) -> DataFrame:
+    s = curation.language_mix_sample(table(spark, d, "hinglish_spot_check"))
+    replies = s.select("chunk", "place", "turns", "label")  # a rewriting provider's replies would stand here
+    return curation.derive_mixed(s, replies)
