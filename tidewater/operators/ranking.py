@@ -32,15 +32,16 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, tie: str, bucke
     """Adds `out`: the number of the session of each key; a session ends where nothing follows within the gap.
 
     Gaps inside an hour come from a window over (key, hour); the first row of an hour takes the last time of the
-    key's previous hour with rows, from a table with one row for each key and hour."""
+    key's previous hour with rows, from a table with one row for each key and hour. Rows without a time are sessions of
+    their own."""
     at = F.unix_micros(F.col(ts))
-    base = df.withColumn("__hour", F.floor(at / (bucket_seconds * 1_000_000))).withColumn("__k", F.struct(F.col(key)))
+    base = df.withColumn("__hour", F.coalesce(F.floor(at / (bucket_seconds * 1_000_000)), F.lit(-(1 << 60)))).withColumn("__k", F.struct(F.col(key)))
     hours = base.groupBy("__k", "__hour").agg(F.max(ts).alias("__last"))
     by_hour = W.partitionBy("__k").orderBy("__hour")
     hours = hours.select("__k", "__hour", F.lag("__last").over(by_hour).alias("__before"))
     inside = W.partitionBy("__k", "__hour").orderBy(ts, tie)
     rows = base.join(hours, ["__k", "__hour"]).withColumn("__prev", F.coalesce(F.lag(ts).over(inside), F.col("__before")))
-    opens = (F.col("__prev").isNull() | (F.unix_micros(F.col(ts)) - F.unix_micros("__prev") >= gap_seconds * 1_000_000)).cast("int")
+    opens = (F.col("__prev").isNull() | F.col(ts).isNull() | (F.unix_micros(F.col(ts)) - F.unix_micros("__prev") >= gap_seconds * 1_000_000)).cast("int")
     rows = rows.withColumn("__open", opens)
     counts = rows.groupBy("__k", "__hour").agg(F.sum("__open").alias("__opened"))
     counts = counts.select("__k", "__hour", F.coalesce(F.sum("__opened").over(by_hour.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))

@@ -37,7 +37,9 @@ def first_deliveries(messages: DataFrame) -> DataFrame:
 
 def stateless_features(messages: DataFrame, variant: str = "pipeline") -> DataFrame:
     """room_id, sender_id, msg_id, speaker, ts, final_text and the features that need no history."""
-    picked = messages.select("room_id", "sender_id", "msg_id", F.lower(F.trim("speaker")).alias("speaker"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("text", F.lit("")).alias("text"))
+    # a cast would lose the watermark of a stream, so it is made only where it is needed
+    ts = F.col("ts") if dict(messages.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp").alias("ts")
+    picked = messages.select("room_id", "sender_id", "msg_id", F.lower(F.trim("speaker")).alias("speaker"), ts, F.coalesce("text", F.lit("")).alias("text"))
     t = F.col("final_text")
     return T.phase1(picked, "text", variant).select(
         "room_id", "sender_id", "msg_id", "speaker", "ts", "final_text",
