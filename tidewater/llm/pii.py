@@ -148,7 +148,8 @@ FRAMES = [
         rf"\b(?:mere|meri)(?: \w+)? {ROLE} {NAME} ko\b",
         rf"\bpe {NAME} se mil\b",
         rf"{START}{NAME} {DAY} ko aayeg[ai]\b",
-        rf"\b(?:thanks|regards|cheers|dhanyavaad)\s*,\s*({TITLE}{PART}(?:\s+{PART})?)",
+        # after a closing word anything may follow, so here a title or an initial must introduce the name
+        rf"\b(?:thanks|regards|cheers|dhanyavaad)\s*,\s*((?:{TITLE[3:-2]}|[^\W\d_]\.)\s*[^\W\d_]{{2,}})",
     )
 ]
 #: Words before or after a name that make it the name of a property, shop or street.
@@ -265,9 +266,6 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, str, l
             for m in frame.finditer(text):
                 a, b = m.span(1)
                 words = [w.strip(".").lower() for w in m.group(1).split()]
-                while words and words[-1] in NOT_A_NAME and len(words) > 1 and frame is FRAMES[-1]:  # a signature runs into the next sentence
-                    b = text.rindex(" ", a, b)
-                    words.pop()
                 if any(w in NOT_A_NAME for w in words) or any(x < b and a < y for x, y in busy):
                     continue
                 if PROPERTY_BEFORE.search(text[:a]) or PROPERTY_AFTER.match(text[b:]):
