@@ -53,7 +53,7 @@ WORD_UNIT = "|".join(p for _, p in DIGIT_WORDS)
 UNIT = rf"(?:\d️?⃣?|(?:(?:double|triple)\s+)?(?:{WORD_UNIT})|(?:double|triple)\s+\d)"
 GAP = r"(?:[\s.,*/_|\-–—()+]{0,3}|\s*\(?\s*(?:then|phir)\s*\)?\s*)"
 NUMBER = re.compile(rf"(?<![^\W_])(?:\+\s?)?\(?{UNIT}(?:{GAP}{UNIT})*(?![^\W_])", re.I)
-LOOKS_DIGIT = re.compile(r"(?<![^\W_])(?=[\dOolI|]*\d)(?=[\dOolI|]*[OolI|])[\dOolI|]{3,}(?![^\W_])")
+LOOKS_DIGIT = re.compile(r"(?<![^\W_])(?=[\dOolI|S]*\d)(?=[\dOolI|S]*[OolI|S])[\dOolI|S]{2,}(?![^\W_])")
 ONE_UNIT = re.compile(rf"(?:(double|triple)\s+)?(?:(\d)|({WORD_UNIT}))", re.I)
 WORD_VALUES = [(v, re.compile(p, re.I)) for v, p in DIGIT_WORDS]
 
@@ -68,13 +68,13 @@ def digits_of(run: str) -> str:
 
 def readable_digits(text: str) -> str:
     """Letters that stand for digits inside a number become digits (same length)."""
-    return LOOKS_DIGIT.sub(lambda m: m.group().translate(str.maketrans("OolI|", "00111")), text)
+    return LOOKS_DIGIT.sub(lambda m: m.group().translate(str.maketrans("OolI|S", "001115")), text)
 
 
 # ---------------------------------------------------------------- shapes
 
 IDS = re.compile(
-    r"(?<![\w-])(?:[A-Z]{5}[\s-]?\d{4}[\s-]?[A-Z]|[A-Z]{2}[\s-]?\d{2}[\s-]+(?:19|20)\d{2}[\s-]?\d{6,8}|[A-Z]{2}\d{2}(?:19|20)\d{9}|[A-PR-Y]\d{7}|\d{3}-\d{2}-\d{4}|"
+    r"(?<![\w-])(?:[A-Z]{5}[\s-]?\d{4}[\s-]?[A-Z]|[A-Z]{2}[\s-]?\d{2}[\s-]+(?:19|20)\d{2}[\s-]?\d{6,8}|[A-Z]{2}\d{2}(?:19|20)\d{9}|[A-Z]\d{7}|\d{3}-\d{2}-\d{4}|"
     r"[A-Z]{2}\d{6}[A-Z]|\d{2}[A-Z]{2}\d{5})(?![\w-])",
     re.I,
 )
@@ -103,7 +103,7 @@ EMAIL = re.compile(
     | {LOCAL}(?:{AT})(?!www\b){LABEL}(?:{DOT}{LABEL})+
     | {LOCAL}\s*[\[({{<]\s*(?:at|aat|@)\s*[\])}}>]\s*{LABEL}(?:{PERIOD}{LABEL})+
     | (?:[a-z0-9._%+-]\s){{3,}}@\s(?:[a-z0-9-]\s){{2,}}\.\s(?:[a-z0-9.-]\s?(?![^\W_]{{2}})){{2,}}
-    )(?!\s*(?:/|slash\b))""",
+    )(?!\w)(?!\s*(?:/|slash\b|[\[({{<]\s*(?:at|aat|@)\b))""",
     re.I | re.X,
 )
 LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\bwww\s+dot\b.*?(?:\bslash\s+\S+|$)|\S+@\S+|(?<!\w)@\w[\w.]*|\S+#\d{3,}", re.I)
@@ -123,7 +123,9 @@ NOT_A_NAME = set(
 TITLE = r"(?:(?:mr|mrs|ms|miss|dr|prof|shri|smt|herr|frau|señora?|madame)\b\.?\s+)?"
 PART = r"(?:[^\W\d_]\.|[^\W\d_]{2,}(?:['’-][^\W\d_]+)*)"
 NAME = rf"({TITLE}{PART}(?:\s+{PART}){{0,2}})"
-START = r"(?:^|(?<=[.!?।…])\s+|\n\s*|(?<=[\"“'])\s*)"
+# Fillers around what a turn says.
+FILLER = r"(?:hello there|hello ji|hello|hi|hey|arre|ok(?:ay)?(?:\s+na)?|just saying|by the way|bas|theek hai|thanks|cheers|haan)"
+START = rf"(?:^|(?<=[.!?।…])\s+|\n\s*|(?<=[\"“'])\s*)(?:{FILLER}\s*[,.!?]+\s*)?"
 ROLE = r"(?:cook|nephew|niece|caretaker|porter|gardener|husband|wife|uncle|aunt|son|daughter|sister|brother(?:-in-law)?|mother|father|grandmother|grandfather|guide|driver|plumber|painter|electrician|carpenter|cleaner|teammate|colleague|co-host|flatmate|roommate|landlord|tenant|neighbour|receptionist|cousin|friend|manager)"
 DAY = r"(?:aaj|kal|parso|somvaar|mangalvaar|budhvaar|guruvaar|shukravaar|shanivaar|ravivaar)"
 FRAMES = [
@@ -158,6 +160,8 @@ PROPERTY_AFTER = re.compile(r"^(?:['’]s\b|\s+(?:bakery|villa|hotel|hostel|cafe
 
 # ---------------------------------------------------------------- pieces over turns
 
+OPENS = re.compile(rf"^(?:\s*{FILLER}?\s*[,.!?]+\s*)+", re.I)
+CLOSES = re.compile(rf"(?:[\s,.!?]+{FILLER}?\s*[,.!?]+)+\s*$", re.I)
 PIECE_FRAMES = re.compile(
     r"^\s*(?:then|first bit:?|last part is|note|next is|phir|aur last mein|last mein|pehle|ab|uske baad|and|aur)?\s*(?P<x>.{1,48}?)\s*(?:after that|next|likho|likh lo)?\s*[.!]?\s*$", re.I
 )
@@ -173,11 +177,15 @@ def pieces(texts: list[str]) -> dict[int, tuple[str, int, int]]:
     mails: dict[int, tuple[int, int, bool]] = {}
     platform = False
     for k, text in enumerate(texts, 1):
-        m = PIECE_FRAMES.match(text) if text and len(text) < 90 else None
+        if not text or len(text) > 120:
+            continue
+        opens, closes = OPENS.match(text), CLOSES.search(text)
+        lo, hi = opens.end() if opens else 0, closes.start() if closes else len(text)
+        m = PIECE_FRAMES.match(text[lo:hi])
         if not m or not m["x"]:
             continue
-        x, at = m["x"].strip(), m.start("x")
-        span = (at, m.end("x"))
+        x = m["x"].strip()
+        span = (lo + m.start("x"), lo + m.end("x"))
         run = NUMBER.fullmatch(readable_digits(x))
         if run:
             numbers[k] = (digits_of(readable_digits(x)), *span)
