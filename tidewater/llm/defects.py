@@ -183,7 +183,7 @@ def terminal_contexts(read: DataFrame) -> DataFrame:
     total = usable.agg(F.count("*").alias("total"))
     known = (F.col("closed") >= 2) & (F.col("closed") + F.col("open") > 0.05 * F.col("inside"))
     phrase = (F.col("open") >= F.greatest(F.lit(3), 0.004 * F.col("total"))) & (F.col("open") > 9 * F.col("inside"))
-    return counts.filter("closed + open > 0").crossJoin(F.broadcast(total)).select(F.col("pair").alias("last"), (known | phrase).alias("complete"))  # total is one row
+    return counts.filter("closed + open > 0").withColumn("total", total.scalar()).select(F.col("pair").alias("last"), (known | phrase).alias("complete"))
 
 
 def defective(df: DataFrame) -> DataFrame:

@@ -347,9 +347,9 @@ def number_kinds(cands: DataFrame, threshold: float = 0.0) -> DataFrame:
     plain identity numbers have twelve digits. Numbers without a known context go by length alone."""
     seeds = cands.filter("seed AND kind IN ('phone', 'id_number', 'coded')").select("kind", F.explode("ctx").alias("f"))
     per = seeds.groupBy("f").agg(*[F.sum((F.col("kind") == k).cast("long")).alias(k) for k in ("phone", "id_number", "coded")])
-    size = seeds.agg(*[F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_all") for k in ("phone", "id_number", "coded")])
-    share = lambda k: (F.col(k) + 0.2) / (F.coalesce(F.col(f"{k}_all"), F.lit(0)) + 2.0)
-    info = per.crossJoin(F.broadcast(size)).select("f", *[F.log2(share(k) / share("coded")).alias(f"i_{k}") for k in ("phone", "id_number")])  # size is one row
+    size = seeds.agg(F.struct(*[F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_all") for k in ("phone", "id_number", "coded")]))
+    share = lambda k: (F.col(k) + 0.2) / (F.coalesce(F.col(f"size.{k}_all"), F.lit(0)) + 2.0)
+    info = per.withColumn("size", size.scalar()).select("f", *[F.log2(share(k) / share("coded")).alias(f"i_{k}") for k in ("phone", "id_number")])
     open_ = cands.filter("kind = 'number'").select("tbl", "rec_no", "turn_no", "a", "b", F.length("terms").alias("n"), F.explode("ctx").alias("f"))
     score = open_.join(info, "f", "left").groupBy("tbl", "rec_no", "turn_no", "a", "b", "n").agg(
         F.sum(F.coalesce("i_phone", F.lit(0.0))).alias("phone"), F.sum(F.coalesce("i_id_number", F.lit(0.0))).alias("id_number"), F.count("i_phone").alias("known")
