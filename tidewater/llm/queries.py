@@ -144,7 +144,16 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
 
 
-@query()
+@query(
+    r"""WITH dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+      iw AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(text), '\s+'),
+               lambda x: array_to_string(regexp_extract_all(x, '[\p{L}\p{M}\p{N}]+'), ' ')), lambda x: x <> '') AS w FROM eval_items),
+      win AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM iw)),
+      sizes AS (SELECT DISTINCT len(string_split(s, ' ')) AS n FROM win),
+      dw AS (SELECT doc_id, array_to_string(w[k:k + n - 1], ' ') AS s
+             FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM dt, sizes WHERE len(w) >= n))
+      SELECT DISTINCT doc_id, item_id FROM dw JOIN win ON dw.s = win.s"""
+)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).filter("run_words >= 12").select("doc_id", "item_id")
 
