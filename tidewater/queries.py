@@ -37,7 +37,35 @@ def _corpus_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return nested.inline_typed(table(spark, d, "hinglish_spot_check"), "line_no", ["delivery", "turns", "label", "metadata"])
 
 
-@query()
+def _list(x: str, one: bool) -> str:
+    """SQL: a JSON array as list; an object as a list of one where that counts."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN from_json({x}, '[\"JSON\"]') " + (f"WHEN 'OBJECT' THEN [{x}] " if one else "") + "ELSE [] END"
+
+
+def _steps(name: str, source: str, array: str, path: str) -> str:
+    """SQL: the elements of `array` over the rows of `source`, with their paths."""
+    return f"""{name} AS (SELECT line_no, {path} || i AS path, a[i] AS e
+        FROM (SELECT *, unnest(generate_series(1, len(a))) AS i FROM (SELECT *, {array} AS a FROM {source})))"""
+
+
+_P7_SQL = f"""WITH o AS (SELECT line_no, raw::JSON AS j FROM raw_examples WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+    v AS (SELECT line_no, j, CASE WHEN json_type(j->'label') = 'VARCHAR' AND json_valid(j->>'label') THEN (j->>'label')::JSON ELSE j->'label' END AS l,
+                 CASE WHEN json_type(j->'metadata') = 'VARCHAR' AND json_valid(j->>'metadata') THEN (j->>'metadata')::JSON ELSE j->'metadata' END AS m FROM o),
+    {_steps("t", "v", _list("(j->'turns')", True), "'turns.'")},
+    {_steps("s", "t", _list("(e->'spans')", True), "path || '.spans.'")},
+    {_steps("h", "s", _list("(e->'hits')", False), "path || '.hits.'")},
+    {_steps("p", "v", _list("(l->'options')", False), "'label.options.'")},
+    {_steps("c", "p", _list("(e->'checks')", False), "path || '.checks.'")},
+    {_steps("r", "v", _list("(m->'review'->'rounds')", True), "'metadata.review.rounds.'")},
+    {_steps("n", "r", _list("(e->'notes')", False), "path || '.notes.'")}
+    SELECT 'raw_examples' AS tbl, line_no, path FROM (SELECT line_no, path FROM t UNION ALL SELECT line_no, path FROM s UNION ALL SELECT line_no, path FROM h
+      UNION ALL SELECT line_no, path FROM p UNION ALL SELECT line_no, path FROM c UNION ALL SELECT line_no, path FROM r UNION ALL SELECT line_no, path FROM n)
+    UNION ALL SELECT 'hinglish_spot_check', line_no, 'turns.' || unnest(generate_series(1, len(turns))) FROM hinglish_spot_check
+    UNION ALL SELECT 'hinglish_spot_check', line_no, 'label.options.' || unnest(generate_series(1, len(label.options))) FROM hinglish_spot_check
+    UNION ALL SELECT 'hinglish_spot_check', line_no, 'metadata.' || unnest(map_keys(metadata)) FROM hinglish_spot_check"""
+
+
+@query(_P7_SQL)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     flat = _corpus_tables(spark, d)
     rows = None
