@@ -222,9 +222,11 @@ def _language_model(spark: SparkSession, d: str) -> langid.ByteCNN:
 
 def _document_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataFrame:
     docs = table(spark, d, "documents")
-    # the text is read beside its statistics, so prose is picked without a join
-    prose = quality.text_stats(docs, "doc_id", "text", "lang", keep=("text",)).filter(quality.definition().isNull())
-    return langid.segments(prose.select(F.col("doc_id").alias("rec"), F.array("text").alias("texts")), model, "line")
+    # the text is read beside its statistics and blanked where it is no prose: a filter would be pushed below the
+    # statistics and compute each of them once for every use
+    stats = quality.text_stats(docs, "doc_id", "text", "lang", keep=("text",))
+    prose = F.when(quality.definition().isNull(), F.array("text"))
+    return langid.segments(stats.select(F.col("doc_id").alias("rec"), prose.alias("texts")), model, "line")
 
 
 @query()
