@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater import constants as K
+from tidewater import queries
 from tidewater.functions import features as X
 from tidewater.functions import text as T
 from tidewater.functions.register import register
@@ -95,3 +96,19 @@ def test_sql_functions(spark):
     assert "risk_tier" in register(spark)
     assert spark.sql("SELECT flatten_whitespace('a \t b') a, risk_tier(64) t, contact_kw_score('call me') k").first() == ("a b", "moderate", 0.65)
     assert len(K.WEIGHTS) == 6
+
+
+def test_masking_queries_run_over_every_row(spark, tmp_path):
+    texts = ["call 98 now", "call ९८ now", "Ｎｏ ９８", "é 1", "𝟗 and ²", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "msg_id long, text string").write.parquet(str(tmp_path / "messages.parquet"))
+    options = [["a 1234567", "b"], ["९८७६५४३२१", "café 123456", None], ["１２３４５６７"], ["𝟗" * 7, "é"], [], None]
+    rows = [(i, (o,)) for i, o in enumerate(options)] + [(6, None)]
+    spark.createDataFrame(rows, "line_no long, label struct<options: array<string>>").write.parquet(str(tmp_path / "hinglish_spot_check.parquet"))
+
+    def brute(t):
+        return None if t is None else "".join("█" if unicodedata.category(c) == "Nd" else c for c in t)
+
+    got = {r.msg_id: r.text for r in queries.QUERIES["mask_digits_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    kept = {i: None if o is None else sum(o_ is not None and "█" * 7 not in brute(o_) for o_ in o) for i, o in enumerate(options)} | {6: None}
+    assert {r.line_no: r.kept for r in queries.QUERIES["option_gate_all"](spark, str(tmp_path)).collect()} == kept == {0: 1, 1: 1, 2: 0, 3: 1, 4: 0, 5: None, 6: None}

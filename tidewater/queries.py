@@ -246,6 +246,12 @@ def mask_digits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("msg_id", X.mask_digits(F.col("text")).alias("text"))
 
 
+@query(r"SELECT msg_id, regexp_replace(text, '\p{Nd}', '█', 'g') AS text FROM messages")
+def mask_digits_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every message, digits of all scripts masked; `mask_digits` is the part that plain [0-9] SQL can compare."""
+    return table(spark, d, "messages").select("msg_id", X.mask_digits(F.col("text")).alias("text"))
+
+
 @query("SELECT case_no, array_to_string(list_transform(turns, lambda t: coalesce(t.speaker, '') || ': ' || coalesce(t.text, '')), chr(10)) AS chat FROM testcases")
 def render_turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "testcases").select("case_no", X.render_turns(F.col("turns")).alias("chat"))
@@ -262,6 +268,16 @@ def option_gate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("line_no", F.size(X.gate_options(F.col("label.options"))).alias("kept"))
 
 
+@query(
+    r"""SELECT line_no, len(list_filter(label.options, lambda o: o IS NOT NULL AND NOT regexp_matches(o, '\p{Nd}{7,}')))::INTEGER AS kept
+        FROM hinglish_spot_check"""
+)
+def option_gate_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every record, null where it has no options; `option_gate` is the part that plain [0-9] SQL can compare."""
+    gated = X.gate_options(F.col("label.options"))
+    return table(spark, d, "hinglish_spot_check").select("line_no", F.when(gated.isNotNull(), F.size(gated)).alias("kept"))
+
+
 @query(
     """WITH m AS (SELECT DISTINCT sender_id, ts, msg_id FROM messages WHERE sender_id IS NOT NULL),
          g AS (SELECT *, ts - lag(ts) OVER w AS gap FROM m WINDOW w AS (PARTITION BY sender_id ORDER BY ts, msg_id))
