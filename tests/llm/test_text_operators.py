@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import defects, langid, pii, quality, skeleton
+from tidewater.llm import defects, langid, pii, quality, queries, skeleton
 
 # ---------------------------------------------------------------- 3
 
@@ -139,6 +139,31 @@ def test_record_language_rule(spark):
     assert {r.rec: r.lang for r in langid.record_language(df).collect()} == {1: "hinglish", 2: "hi", 3: "en", 4: "hinglish", 5: "hinglish"}
 
 
+def test_document_language_weighs_lines(spark):
+    rows = [(1, 1, 9, 9, "en", 0.9), (1, 2, 3, 3, "es", 0.8), (2, 1, 2, 0, "de", 0.5), (3, 1, 2, 0, None, 0.0), (4, 1, 9, 6, "en", 0.6), (4, 2, 9, 5, "hi", 0.9)]
+    df = spark.createDataFrame(rows, "rec long, seg_no int, n_words int, plain_words int, lang string, confidence double")
+    got = {r.rec: (r.lang, round(r.confidence, 4)) for r in langid.document_language(df).collect()}
+    assert got == {1: ("en", 0.675), 2: ("de", 0.5), 4: ("hi", 0.4091)}
+
+
+def test_languages_of_all_records_documents_and_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_language_model", lambda spark, d: langid.ByteCNN(langid.LANGUAGES))
+    turns = [["We came home. Aap kahan hain?", None, "12 34"], ["99 !!"], None, [""]]
+    rows = [(i, [("guest", t) for t in ts] if ts is not None else None, (False, None)) for i, ts in enumerate(turns)]
+    spark.createDataFrame(rows, "line_no long, turns array<struct<speaker: string, text: string>>, delivery struct<multiturn: boolean, language_mix: boolean>").write.parquet(str(tmp_path / "hinglish_spot_check.parquet"))
+    docs = [(i, DOCS[k], "en") for i, k in enumerate(DOCS)] + [(10, None, "en"), (11, " \n", None), (12, "1|2\n3|4", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    records = {r.line_no: r for r in queries.p5_records(spark, d).collect()}
+    assert {k for k, r in records.items() if r.lang} == {0} and set(records) == {0, 1, 2, 3} and 0 < records[0].confidence <= 1
+    documents = {r.doc_id: r for r in queries.p5_documents(spark, d).collect()}
+    assert {k for k, r in documents.items() if r.lang and 0 < r.confidence <= 1} == {0, 1, 2, 3} and set(documents) == {0, 1, 2, 3, 10, 11, 12}
+    segs = {(r.tbl, r.rec, r.seg_no): r.lang for r in queries.p5_segments(spark, d).collect()}
+    want = {("hinglish_spot_check", 0, 1), ("hinglish_spot_check", 0, 2), ("hinglish_spot_check", 0, 3), ("hinglish_spot_check", 1, 1)}
+    want |= {("documents", i, n) for i, t, _ in docs if t and t.strip() for n in range(1, len(t.split("\n")) + 1)}
+    assert set(segs) == want and segs["hinglish_spot_check", 0, 1] and segs["hinglish_spot_check", 0, 3] is None and segs["documents", 12, 1] is None
+
+
 # ---------------------------------------------------------------- 6
 
 

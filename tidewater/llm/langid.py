@@ -223,7 +223,7 @@ def train(labelled: DataFrame, sample: Sample = Sample(), languages: tuple[str,
 
 def segments(df: DataFrame, model: ByteCNN, mode: str) -> DataFrame:
     """(rec, seg_no, n_words, plain_words, lang, confidence) from (rec, texts array): one row per line (`mode` 'line') or sentence
-    ('sentence') that has letters. Segments are numbered through the record's texts."""
+    ('sentence') that is not blank; lang is null without letters. Segments are numbered through the record's texts."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     split = re.compile(r"\r\n|\r|\n") if mode == "line" else SENTENCE
 
@@ -241,7 +241,7 @@ def segments(df: DataFrame, model: ByteCNN, mode: str) -> DataFrame:
             rows = []
             for a in range(0, len(parts), 2048):
                 got = shared.value.languages(parts[a : a + 2048])
-                rows += [(*k, len(p.split()), plain_words(p), *g) for k, p, g in zip(keys[a : a + 2048], parts[a : a + 2048], got) if g[0]]
+                rows += [(*k, len(p.split()), plain_words(p), *g) for k, p, g in zip(keys[a : a + 2048], parts[a : a + 2048], got)]
             yield pd.DataFrame(rows, columns=["rec", "seg_no", "n_words", "plain_words", "lang", "confidence"])
 
     return spread(df.select("rec", "texts"), "rec").mapInPandas(run, "rec long, seg_no int, n_words int, plain_words int, lang string, confidence double")
@@ -252,13 +252,23 @@ def record_language(segs: DataFrame, sure: float = 0.6, long_words: int = 6, lea
     side by side, hi if all is Hindi, else en. A segment votes if it has `least_words` plain words, and below
     `long_words` only if its confidence is `sure`; records without a voting segment take their surest segment."""
     votes_ = (F.col("plain_words") >= long_words) | ((F.col("plain_words") >= least_words) & (F.col("confidence") >= sure))
-    votes = segs.groupBy("rec").agg(
+    votes = segs.filter("lang IS NOT NULL").groupBy("rec").agg(
         *[F.max(F.when((F.col("lang") == k) & votes_, F.col("confidence"))).alias(k) for k in ("en", "hi", "hinglish")],
         F.max_by("lang", F.struct("plain_words", "confidence")).alias("any"),
-        F.max("confidence").alias("top"),
+        F.max_by("confidence", F.struct("plain_words", "confidence")).alias("top"),
     )
     mixed = F.col("hinglish").isNotNull() | (F.col("hi").isNotNull() & F.col("en").isNotNull())
     known = F.when(F.col("any").isin("hinglish", "hi"), F.col("any")).otherwise("en")
     lang = F.when(mixed, "hinglish").when(F.col("hi").isNotNull(), "hi").when(F.col("en").isNotNull(), "en").otherwise(known)
     sureness = F.when(F.col("hinglish").isNotNull(), F.col("hinglish")).when(mixed, F.least("hi", "en")).otherwise(F.coalesce("hi", "en", "top"))
     return votes.select("rec", lang.alias("lang"), sureness.alias("confidence"))
+
+
+def document_language(segs: DataFrame) -> DataFrame:
+    """(rec, lang, confidence) of texts: the language with the largest sum of confidence over the text's segments, each
+    weighted by its plain words (one at least); confidence is that sum over the weight of all segments with letters, so
+    lines in other languages lower it."""
+    weight = F.greatest("plain_words", F.lit(1))
+    per = segs.filter("lang IS NOT NULL").groupBy("rec", "lang").agg(F.sum(weight * F.col("confidence")).alias("mass"), F.sum(weight).alias("weight"))
+    best = per.groupBy("rec").agg(F.max(F.struct("mass", "lang")).alias("best"), F.sum("weight").alias("weight"))
+    return best.select("rec", F.col("best.lang").alias("lang"), (F.col("best.mass") / F.col("weight")).alias("confidence"))

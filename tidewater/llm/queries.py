@@ -220,7 +220,16 @@ def _language_model(spark: SparkSession, d: str) -> langid.ByteCNN:
     return langid.train(docs.unionByName(turns))
 
 
+def _record_sentences(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataFrame:
+    return langid.segments(turn_texts(spark, d, "hinglish_spot_check", "line_no").withColumnRenamed("rec_no", "rec"), model, "sentence")
+
+
 def _document_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rec"), F.array("text").alias("texts"))
+    return langid.segments(docs, model, "line")
+
+
+def _prose_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataFrame:
     docs = table(spark, d, "documents")
     # the text is read beside its statistics and blanked where it is no prose: a filter would be pushed below the
     # statistics and compute each of them once for every use
@@ -233,19 +242,38 @@ def _document_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataF
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     model = _language_model(spark, d)
     corpus = table(spark, d, "hinglish_spot_check")
-    segs = langid.segments(corpus.select(F.col("line_no").alias("rec"), F.col("turns.text").alias("texts")), model, "sentence")
+    segs = _record_sentences(spark, d, model)
     flags = corpus.select(F.col("line_no").alias("rec"), F.col("delivery.language_mix").alias("mix"))
     records = langid.record_language(segs).join(flags, "rec").filter(F.col("mix").isNull() | (F.col("mix") != (F.col("lang") == "hinglish")))
     labels = table(spark, d, "documents").select(F.col("doc_id").alias("rec"), F.coalesce(langid.language_name(F.col("lang")), F.lit("")).alias("label"))
-    lines = _document_lines(spark, d, model).filter("n_words >= 6").groupBy("rec", "lang").agg(F.max("confidence").alias("confidence"))
+    lines = _prose_lines(spark, d, model).filter("n_words >= 6").groupBy("rec", "lang").agg(F.max("confidence").alias("confidence"))
     wrong = lines.join(labels, "rec").filter("lang <> label")
     a = records.select(F.lit("hinglish_spot_check").alias("tbl"), F.col("rec").alias("rec_no"), "lang")
     return a.unionByName(wrong.select(F.lit("documents").alias("tbl"), F.col("rec").alias("rec_no"), "lang"))
 
 
+@query()
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its language; null where no segment has letters."""
+    found = langid.record_language(_record_sentences(spark, d, _language_model(spark, d)))
+    records = table(spark, d, "hinglish_spot_check").select(F.col("line_no").alias("rec"))
+    return records.join(found, "rec", "left").select(F.col("rec").alias("line_no"), "lang", "confidence")
+
+
+@query()
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, lists, tables and junk too, with its language; null where no line has letters."""
+    found = langid.document_language(_document_lines(spark, d, _language_model(spark, d)))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rec"))
+    return docs.join(found, "rec", "left").select(F.col("rec").alias("doc_id"), "lang", "confidence")
+
+
 @query()
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _document_lines(spark, d, _language_model(spark, d))
+    """Every sentence of the records and every line of the documents; only blank ones are left out."""
+    model = _language_model(spark, d)
+    sentences = _record_sentences(spark, d, model).select(F.lit("hinglish_spot_check").alias("tbl"), "*")
+    return sentences.unionByName(_document_lines(spark, d, model).select(F.lit("documents").alias("tbl"), "*"))
 
 
 # ---------------------------------------------------------------- 6: broken prompt-response pairs
