@@ -179,3 +179,11 @@ def test_defects(spark):
     got = {(r.rec, r.option_no): r.defect for r in defects.defective(df).collect()}
     assert got == {(1, 1): "empty", (1, 2): "empty", (1, 3): "refusal", (1, 4): "copy", (1, 5): "language", (1, 6): "truncated", (1, 10): "truncated", (2, 0): "empty"}
     assert defects.defective(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_truncated_option_do_not_vouch_for_it(spark):
+    whole = [f"Let us meet at the {w} before noon." for w in ("gate", "river", "hall", "roof")]
+    phrases = [f"The cook of the {w} says many thanks" for w in ("gate", "river", "hall", "roof")]
+    rows = [(i, ["x y"], [t], True) for i, t in enumerate(whole + phrases)] + [(100 + i, ["x y"], ["Let us meet near the wet"], True) for i in range(40)]
+    df = spark.createDataFrame(rows, "rec long, texts array<string>, options array<string>, due boolean")
+    assert {(r.rec, r.defect) for r in defects.defective(df).collect()} == {(100 + i, "truncated") for i in range(40)}

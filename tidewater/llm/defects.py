@@ -6,7 +6,7 @@
 * copy: the response is compressed with its prompt as the zstandard dictionary and the prompt with the response as the
   dictionary; if both shrink to less than half of their size without it, each holds the other.
 * language: function-word dictionaries name the language of the response and the languages of the prompt.
-* truncated: a terminal-context model. From all responses it counts, for each pair of neighbouring words, how often
+* truncated: a terminal-context model. From all distinct responses it counts, for each pair of neighbouring words, how often
   the pair ends a response before a closing mark, ends it without one, and stands inside. A response without a closing
   mark is complete only if its last pair is known as an ending; trailing dashes, ellipses, commas and words that
   cannot end a sentence show a break without the model.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -127,7 +128,7 @@ def is_copy(response: str, prompt: str, z: Compressor, below: float = COPY_BELOW
 
 
 SENTENCES = re.compile(r"(?<=[.?!।…])\s+|[\r\n]+")
-SCHEMA = "rec long, option_no int, defect string, closed boolean, broken boolean, last string, inner array<string>"
+SCHEMA = "rec long, option_no int, defect string, closed boolean, broken boolean, last string, inner array<string>, words_key long"
 
 
 def options_read(df: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def options_read(df: DataFrame) -> DataFrame:
             for rec, texts, options, due in zip(b["rec"], b["texts"], b["options"], b["due"]):
                 if options is None or len(options) == 0:
                     if due is True or due == 1:
-                        rows.append((rec, 0, "empty", False, False, None, []))
+                        rows.append((rec, 0, "empty", False, False, None, [], 0))
                     continue
                 turns = [consistent(t) for t in (texts if texts is not None else []) if t]
                 langs = prompt_languages([s for t in turns for s in SENTENCES.split(t)])
@@ -150,7 +151,7 @@ def options_read(df: DataFrame) -> DataFrame:
                     text = consistent(raw).strip() if raw is not None else ""
                     words = WORD.findall(text.lower())
                     if not words:
-                        rows.append((rec, k, "empty", False, False, None, []))
+                        rows.append((rec, k, "empty", False, False, None, [], 0))
                         continue
                     if re.fullmatch(r"\w+", text) and "_" in text:
                         continue
@@ -167,16 +168,18 @@ def options_read(df: DataFrame) -> DataFrame:
                     closed = bool(CLOSED.search(text))
                     broken = bool(BROKEN.search(text)) or (unfinished and not closed)
                     pairs = [f"{x} {y}" for x, y in zip(words, words[1:])] or [words[0]]
-                    rows.append((rec, k, defect, closed, broken, pairs[-1], pairs[:-1]))
-            yield pd.DataFrame(rows, columns=["rec", "option_no", "defect", "closed", "broken", "last", "inner"])
+                    key = int.from_bytes(blake2b(" ".join(words).encode(), digest_size=8).digest(), signed=True)
+                    rows.append((rec, k, defect, closed, broken, pairs[-1], pairs[:-1], key))
+            yield pd.DataFrame(rows, columns=["rec", "option_no", "defect", "closed", "broken", "last", "inner", "words_key"])
 
     return spread(df.select("rec", "texts", "options", "due"), "rec").mapInPandas(run, SCHEMA)
 
 
 def terminal_contexts(read: DataFrame) -> DataFrame:
     """(last, complete) for the pairs that end a response: known as an ending if it ends closed responses, or if it is
-    a set phrase that ends many responses and hardly ever goes on."""
-    usable = read.filter("defect IS NULL AND last IS NOT NULL")
+    a set phrase that ends many responses and hardly ever goes on. Responses of the same words count once, so copies
+    of one response cannot vouch for themselves."""
+    usable = read.filter("defect IS NULL AND last IS NOT NULL").dropDuplicates(["words_key", "closed", "broken"])
     ends = usable.select(F.col("last").alias("pair"), F.col("closed").cast("int").alias("closed"), (~F.col("closed") & ~F.col("broken")).cast("int").alias("open"), F.lit(0).alias("inside"))
     inside = usable.select(F.explode("inner").alias("pair"), F.lit(0).alias("closed"), F.lit(0).alias("open"), F.lit(1).alias("inside"))
     counts = ends.unionByName(inside).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("closed", "open", "inside")])
