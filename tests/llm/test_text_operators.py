@@ -73,6 +73,15 @@ def test_names_are_found_outside_their_frames(spark):
     assert got == {50}
 
 
+def test_whole_names_are_redacted(spark):
+    texts = ["Ask for Greta Tonurst when you reach us", "The kettle of Greta Ruthowitz broke", "We saw Greta at Slate Road", "Ask for Lena Ruthdrel when you come", "We met Lena on Monday", "mujhe chaabi lena hai", "Dena mat bhoolna", "Ask for Greta Tonurst when the hall is dark", "My guide A. Tonurst will cook"]
+    df = spark.createDataFrame([("t", i, [t]) for i, t in enumerate(texts)], "tbl string, rec_no long, texts array<string>")
+    got = {r.rec_no: r.text for r in pii.redacted_turns(df).collect()}
+    name = "[PERSON_NAME]"
+    assert [got[i] for i in range(7)] == [f"Ask for {name} when you reach us", f"The kettle of {name} broke", f"We saw {name} at Slate Road", f"Ask for {name} when you come", f"We met {name} on Monday", *texts[5:7]]
+    assert got[8] == f"My guide {name} will cook"
+
+
 def test_redaction_keeps_the_rest():
     assert pii.redact("call 12345 or 6789 now", [(5, 10, "phone"), (14, 18, "phone")]) == "call [PHONE] or [PHONE] now"
     assert pii.redact("Salma Ruth here", [(0, 5, "person_name"), (6, 10, "person_name")]) == "[PERSON_NAME] here" and pii.redact(None, []) is None

@@ -117,9 +117,11 @@ NOT_A_NAME = set(
     grandmother grandfather guide driver plumber painter electrician carpenter cleaner teammate colleague co-host flatmate roommate landlord tenant neighbour
     receptionist cousin friend manager villa casa hotel parking breakfast booking wifi please kindly thankfully great okay ok thanks hi hello namaste the
     aap hum main mera mere woh yeh aaj kal parso aur bas kripya mujhe agar kya yaar suno ab phir pehle uske pe se ko ki ke ka hai na ne ho toh bhi
-    asked whether said says told kept found opened rukwa mil pi lena dena
+    asked whether said says told kept found opened rukwa mil pi
     somvaar mangalvaar budhvaar guruvaar shukravaar shanivaar ravivaar monday tuesday wednesday thursday friday saturday sunday""".split()
 )
+#: Hindi verbs that are given names too; `is_verb` tells them apart.
+VERB_OR_NAME = {"lena", "dena"}
 TITLE = r"(?:(?:mr|mrs|ms|miss|dr|prof|shri|smt|herr|frau|señora?|madame)\b\.?\s+)?"
 PART = r"(?:[^\W\d_]\.|[^\W\d_]{2,}(?:['’-][^\W\d_]+)*)"
 NAME = rf"({TITLE}{PART}(?:\s+{PART}){{0,2}})"
@@ -158,6 +160,49 @@ FRAMES = [
 PROPERTY_BEFORE = re.compile(r"\b(?:villa|casa|hotel|hostel|café|cafe|chez|homestay|cottage|palazzo|haus|restaurant|pension)\s+$", re.I)
 PROPERTY_AFTER = re.compile(r"^(?:['’]s\b|\s+(?:bakery|villa|hotel|hostel|cafe|café|store|shop|stores|market|kitchen|road|street|lane|marg|residency|tower|house|homestay|cottage|inn)\b)", re.I)
 
+# Words that open a sentence with a capital; where its stop is missing they stand beside a name.
+OPENERS = set(
+    """since for five four three two six seven eight nine ten before after while when where why how who what which whose if as at by on in of to from with
+    without until because although and but or so then now today tomorrow yesterday every each some many most both only just also perhaps maybe sadly
+    frankly did does do can could will would should may might must is are was were has have had be been not never always contact call write reach ask
+    give take keep leave bring see pay send use turn check ring text invoice reservation booking easier does guests before tell during between
+    under over near inside outside once again january february march april may june july august september october november december
+    humne tumne usne maine unhone jab tab kahan kaun kaise kab kyunki lekin yahan wahan har roz pichhle agle cab room key door house number""".split()
+)
+SENTENCE_START = re.compile(r"(?:^|[.!?।…:]\s+|\n\s*|[\"“'(]\s*)$")
+RUN_WORD = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*|[^\W\d_]\.")
+NEXT_WORD = re.compile(rf"\s({RUN_WORD.pattern})(?!\w)")
+LAST_WORD = re.compile(rf"(?<![\w@#/.'’-])({RUN_WORD.pattern})\s$")
+
+
+def is_verb(words: list[str]) -> bool:
+    """A framed name holds lena or dena as a verb: in lower case, and alone or behind other words, where a verb stands."""
+    return any(w in VERB_OR_NAME and (k > 0 or len(words) == 1) for k, w in enumerate(words))
+
+
+def part_of_name(word: str) -> bool:
+    """Written like a part of a name: a capital and small letters, or an initial, and no word of the language."""
+    w = word.strip(".").lower()
+    if word.endswith("."):
+        return word[0].isupper()
+    return word[0].isupper() and (len(w) == 1 or not word.isupper()) and w not in NOT_A_NAME and w not in OPENERS
+
+
+def name_run(text: str, a: int, b: int) -> tuple[int, int]:
+    """The run of capitalised words around the capitalised word at [a, b). The first word of a sentence joins only as
+    an initial, since any word has a capital there; words of a property's name do not join."""
+    if not part_of_name(text[a:b]):
+        return a, b
+    while (m := NEXT_WORD.match(text, b)) and part_of_name(m[1]) and not PROPERTY_AFTER.match(text[b : m.end()]) and not PROPERTY_AFTER.match(text[m.end() : m.end() + 14]):
+        b = m.end(1)
+    while (m := LAST_WORD.search(text[max(0, a - 40) : a])) and part_of_name(m[1]):
+        start = max(0, a - 40) + m.start(1)
+        if PROPERTY_BEFORE.search(text[start:a]) or (len(m[1]) > 2 and SENTENCE_START.search(text[:start])):
+            break
+        a = start
+    return a, b
+
+
 # ---------------------------------------------------------------- pieces over turns
 
 OPENS = re.compile(rf"^(?:\s*{FILLER}?\s*[,.!?]+\s*)+", re.I)
@@ -274,7 +319,7 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, str, l
             for m in frame.finditer(text):
                 a, b = m.span(1)
                 words = [w.strip(".").lower() for w in m.group(1).split()]
-                if any(w in NOT_A_NAME for w in words) or any(x < b and a < y for x, y in busy):
+                if any(w.strip(".").lower() in NOT_A_NAME for w in m.group(1).split() if not re.fullmatch(r"[A-Z]\.", w)) or is_verb(m.group(1).split()) or any(x < b and a < y for x, y in busy):
                     continue
                 if PROPERTY_BEFORE.search(text[:a]) or PROPERTY_AFTER.match(text[b:]):
                     continue
@@ -303,9 +348,8 @@ TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "smt", "herr", "frau"
 
 
 def term_occurrences(records: DataFrame) -> DataFrame:
-    """(tbl, rec_no, turn_no, a, b, term) of words that could be part of a name: written with a capital inside a
-    sentence, or in a text that is all in one case; words in links, handles, addresses and property names are left
-    out, as they disclose nobody."""
+    """(tbl, rec_no, turn_no, a, b, term) of words that could be part of a name, with the run of capitalised words
+    around each; words in links, handles, addresses and property names are left out, as they disclose nobody."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -322,7 +366,12 @@ def term_occurrences(records: DataFrame) -> DataFrame:
                             continue
                         if PROPERTY_BEFORE.search(text[max(0, a - 14) : a]) or PROPERTY_AFTER.match(text[a + len(term) : b + 14]):
                             continue
-                        rows.append((tbl, rec, k, a, b, term))
+                        if term in VERB_OR_NAME and (not w[0].isupper() or (SENTENCE_START.search(text[:a]) and name_run(text, a, b) == (a, b))):
+                            continue
+                        x, y = name_run(text, a, b)
+                        if any(p < y and x < q for p, q in busy):
+                            x, y = a, b
+                        rows.append((tbl, rec, k, x, y, term))
             yield pd.DataFrame(rows, columns=["tbl", "rec_no", "turn_no", "a", "b", "term"])
 
     return spread(records.select("tbl", "rec_no", "texts"), "tbl", "rec_no").mapInPandas(run, "tbl string, rec_no long, turn_no int, a int, b int, term string")
@@ -331,13 +380,13 @@ def term_occurrences(records: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- disclosure
 
 
-def name_terms(cands: DataFrame, terms: DataFrame, disclose: float = 0.35, least: int = 3) -> DataFrame:
-    """(term) that discloses a person: P(name | term) over the corpus is at least `disclose`, shrunk by two
-    occurrences that are no name, with `least` seed occurrences."""
+def name_terms(cands: DataFrame, terms: DataFrame, disclose: float = 0.35) -> DataFrame:
+    """(term) that discloses a person: P(name | term) over the corpus is at least `disclose`, however rare
+    the term is."""
     seeds = cands.filter("kind = 'person_name'").select(F.explode(F.split("terms", " ")).alias("term")).filter("length(term) > 2")
-    inside = seeds.groupBy("term").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
+    inside = seeds.groupBy("term").agg(F.count("*").alias("k"))
     total = terms.groupBy("term").agg(F.count("*").alias("n"))
-    return inside.join(total, "term").filter(F.col("k") >= disclose * (F.greatest("n", "k") + 2)).select("term")
+    return inside.join(total, "term").filter(F.col("k") >= disclose * F.greatest("n", "k")).select("term")
 
 
 def number_kinds(cands: DataFrame, threshold: float = 0.0) -> DataFrame:
