@@ -29,7 +29,7 @@ def test_digit_window_expires_at_its_lifetime(spark):
 
 
 def test_split_number_raises_the_tier(spark):
-    got = decide(spark, [msg(1, "sure, here it comes", 0), msg(2, "nine eight seven", 5), msg(3, "654", 10), msg(4, "3210", 15)])
+    got = decide(spark, [msg(1, "fine, in a moment", 0), msg(2, "two zero five", 5), msg(3, "318", 10), msg(4, "4477", 15)])
     assert [got[f"m000{i}"].score for i in (1, 2, 3, 4)] == [10, 24, 29, 37]
     assert got["m0004"].action == "soft_mask" and got["m0004"].text == "████"
 
@@ -87,15 +87,23 @@ def test_sessions_do_not_change_the_fold(spark):
 
 def test_stream_gives_the_batch_decisions(spark, tmp_path):
     rows = random_messages(120, 8)
+    rows += [(*msg(900 + i, f"no id {i}", 40 * i, sender="n")[:2], None, *msg(900 + i, f"no id {i}", 40 * i, sender="n")[3:]) for i in range(5)]
     df = spark.createDataFrame(rows, SCHEMA)
     for i, part in enumerate([rows[:60], rows[60:]]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = stream_decisions(stream, "30 days").writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = {r.msg_id: (r.score, r.action) for r in spark.table("decided").collect()}
-    want = {r.msg_id: (r.score, r.action) for r in M.decisions(df).collect()}
-    assert got == want
+    got = sorted((r.msg_id or "", r.final_text, r.score, r.action) for r in spark.table("decided").collect())
+    assert got == sorted((r.msg_id or "", r.final_text, r.score, r.action) for r in M.decisions(df).collect()) and len(got) == 125
+
+
+def test_stretches_hold_whole_sessions(spark):
+    df = spark.createDataFrame([(r[1], r[5]) for r in random_messages()] + [("x", None)], "sender_id string, ts timestamp").withColumn("m", F.monotonically_increasing_id())
+    s = ranking.sessions(df, "sender_id", "ts", 600, "m").withColumn("bucket", ranking.bucket_of(F.col("ts"), 600))
+    j = s.join(ranking.stretches(df, "sender_id", "ts", 600), ["sender_id", "bucket"])
+    assert j.count() == 301 and j.groupBy("sender_id", "session").agg(F.countDistinct("stretch").alias("n")).filter("n > 1").count() == 0
+    assert j.select("sender_id", "stretch").distinct().count() > 10
 
 
 def test_row_numbers_and_sessions_match_windows(spark):

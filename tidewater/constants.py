@@ -7,9 +7,10 @@ PLATFORM_KEYWORDS = ["insta", "instagram", "telegram", "snap", "snapchat", "disc
 
 # Patterns over canonical text.
 EMAIL = r"(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-URL_TLDS = "com|org|net|io|co|me|ly"
-URL_START = r"(?i)(https?://[^\s]+)|(www\.[^\s]+)|"
-PATH_AFTER = {"pipeline": r"(?:/[^\s]+)?", "standalone": r"(?:\s*/[\w-]+)?"}
+URL = {
+    "pipeline": r"(?i)(https?://[^\s]+)|(www\.[^\s]+)|([a-zA-Z0-9.-]+\.(com|org|net|io|co|me|ly)(?:/[^\s]+)?)",
+    "standalone": r"(?i)(https?://[^\s]+)|(www\.[^\s]+)|([a-zA-Z0-9.-]+\.(com|org|net|io|co|me|ly)(?:\s*/[\w-]+)?)",
+}
 PATH_CONTINUATION = r"^\s*[\(\[]?[a-zA-Z]{0,15}[\)\]]?(?:/[^\s]+)+"
 PHONE_SHAPE = r"\d{3}[-\s]?\d{3}[-\s]?\d{4}"
 DOMAIN = r"(?i)\b[a-zA-Z0-9-]+\.(com|org|net|io|co|me|ly|to|gg)\b"

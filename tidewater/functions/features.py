@@ -54,14 +54,6 @@ def has_handle(c: Column) -> Column:
     return t.rlike(K.BARE_HANDLE) & ~has_platform(t)
 
 
-def platform_score(platform_seen: Column, handle_seen: Column, prior_turns: Column) -> Column:
-    return F.when(prior_turns == 0, 0.0).when(platform_seen & handle_seen, 1.0).when(platform_seen | handle_seen, 0.2).otherwise(0.0)
-
-
-def history_score(prior_digits: Column, digits: Column) -> Column:
-    return F.least((prior_digits + digits) / F.lit(float(K.HISTORY_DIGITS)), F.lit(1.0))
-
-
 def risk_score(run: Column, contact: Column, pattern: Column, history: Column, link: Column, platform: Column) -> Column:
     """The weighted sum, added left to right in doubles and rounded half to even; floors, then the cap of 100."""
     parts = {"run": F.least(run / F.lit(10.0), F.lit(1.0)), "contact": contact, "pattern": pattern, "history": history, "link": link, "platform": platform}

@@ -20,7 +20,7 @@ SPACE = r"[\s\x1c-\x1f]"
 
 
 @lru_cache(1)
-def _folds() -> tuple[str, str, str]:
+def unicode_folds() -> tuple[str, str, str]:
     """From Unicode's compatibility decompositions: characters that fold to one ASCII character and those characters,
     and a JSON map of the ones that fold to several."""
     one, to, many = [], [], {}
@@ -39,7 +39,7 @@ def _folds() -> tuple[str, str, str]:
 
 def sanitize_unicode(c: Column) -> Column:
     """Drop zero-width characters, space out dashes, fold to ASCII by compatibility decomposition, drop the rest."""
-    one, to, many = _folds()
+    one, to, many = unicode_folds()
     t = F.regexp_replace(c, "[​-‏﻿]", "")
     t = F.replace(F.replace(t, F.lit("—"), F.lit("  ")), F.lit("–"), F.lit(" - "))
     t = F.translate(t, one, to)
@@ -132,7 +132,7 @@ def detect_spans(c: Column, variant: str = "pipeline") -> Column:
     """E-mail spans, then URL spans that do not start inside one; the pipeline variant extends URLs over a path that
     follows within 60 characters."""
     mails = _matches(c, K.EMAIL, "EMAIL")
-    urls = _matches(c, K.URL_START + rf"([a-zA-Z0-9.-]+\.({K.URL_TLDS}){K.PATH_AFTER[variant]})", "URL")
+    urls = _matches(c, K.URL[variant], "URL")
     urls = F.filter(urls, lambda u: ~F.exists(mails, lambda m: (m["start"] <= u["start"]) & (u["start"] < m["end"])))
     if variant == "pipeline":
 

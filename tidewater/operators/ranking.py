@@ -1,4 +1,4 @@
-"""Row numbers and sessions in groups of any size, without one task per group.
+"""Row numbers, sessions and stretches of activity in groups of any size, without one task per group.
 
 A window over a group puts all its rows in one task. Here rows are numbered inside (group, bucket), where a bucket is
 a bounded slice of the order; the buckets' sizes, one row each, are summed up per group and added as offsets. The
@@ -47,3 +47,18 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, tie: str, bucke
     counts = counts.select("__k", "__hour", F.coalesce(F.sum("__opened").over(by_hour.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
     local = F.sum("__open").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.withColumn("__local", local).join(counts, ["__k", "__hour"]).select(*df.columns, (F.col("__local") + F.col("__offset")).alias(out))
+
+
+def stretches(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """(key, bucket, stretch): time is cut into buckets of the gap's length; neighbouring buckets with rows of a key are
+    one stretch. Between two stretches lies an empty bucket, so more than the gap. Rows without a time share a bucket.
+
+    Coarser than `sessions`, but one aggregation and a window over one row per key and bucket are all it takes, and
+    any superset of the rows will do."""
+    buckets = df.select(F.col(key).alias(key), bucket_of(F.col(ts), gap_seconds).alias("bucket")).distinct()
+    place = F.row_number().over(W.partitionBy(key).orderBy("bucket"))
+    return buckets.select(key, "bucket", (F.col("bucket") - place).alias("stretch"))
+
+
+def bucket_of(ts: Column, seconds: int) -> Column:
+    return F.coalesce(F.floor(F.unix_micros(ts) / (seconds * 1_000_000)), F.lit(-(1 << 60)))

@@ -95,7 +95,7 @@ def tier(s: int) -> str:
     return "low" if s < K.LOW_BELOW else "moderate" if s < K.HIGH_FROM else "high"
 
 
-def _kept_options(options: list[str]) -> list[str]:
+def kept_options(options: list[str]) -> list[str]:
     out = []
     for o in options:
         run = longest = 0
@@ -139,7 +139,7 @@ def step(state: Sender, m: Message, provider: Provider) -> dict:
             logged = "high"
         else:
             action = log_action = "llm_escalation"
-            options, cleared = _kept_options(reply["options"]), True
+            options, cleared = kept_options(reply["options"]), True
     if cleared:
         digits, turns = "", []
         room.digits = ""

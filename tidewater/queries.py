@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater import constants as K
+from tidewater import oracles as O
 from tidewater.functions import features as X
 from tidewater.functions import text as T
 from tidewater.operators import curation, nested, ranking
@@ -131,40 +132,102 @@ def p7_raw_rounds(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- moderation
 
 
-@query()
+_FEATURES = "max_digit_run, digit_density, contact_kw_score, pattern_score, history_score, link_suspicion_score, cross_turn_platform_score"
+_OUTPUT = f"CASE action WHEN 'pass' THEN final_text WHEN 'soft_mask' THEN {O.soft_masked('final_text', 'cross_turn_platform_score', 'max_digit_run', 'history_score')} END"
+
+
+def _flat(decided: DataFrame) -> DataFrame:
+    """Decisions with times and option lists as text, so that engines can be compared."""
+    sent = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return decided.withColumns({"ts": sent, "options": F.array_join("options", " | ")})
+
+
+@query(
+    O.decisions(O.DELIVERED)
+    + f"""SELECT room_id, sender_id, msg_id, speaker, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, final_text, {_FEATURES}, score, tier, logged_tier,
+          action, action AS log_action, reason, options, escalated_from_suspicion, {_OUTPUT} AS text FROM decided"""
+)
 def moderation_decisions(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every message through canonical text, features, keyed state and intervention."""
-    return moderation.decisions(table(spark, d, "messages"))
+    return _flat(moderation.decisions(table(spark, d, "messages")))
 
 
-@query()
+@query(O.decisions(O.DELIVERED) + f"SELECT msg_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS logged_at, logged_tier AS tier, score, {_FEATURES}, action, reason FROM decided")
 def moderation_log(spark: SparkSession, d: str) -> DataFrame:
-    return moderation.decision_log(moderation.decisions(table(spark, d, "messages")))
+    log = moderation.decision_log(moderation.decisions(table(spark, d, "messages")))
+    return log.select("msg_id", "logged_at", "tier", "score", "features.*", "action", "reason")
 
 
-@query()
+def _phase1(spark: SparkSession, d: str, variant: str) -> DataFrame:
+    span = lambda s: F.concat(s["type"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.lit(":"), s["value"])
+    done = T.phase1(table(spark, d, "messages").select("msg_id", "text"), "text", variant)
+    return done.withColumn("spans", F.array_join(F.transform("spans_detected", span), "\n")).drop("spans_detected", "text")
+
+
+_PHASE1 = lambda variant, more="": f"WITH {O.phase1('messages', 'msg_id', 'text', variant)} SELECT msg_id, final_text, {O.spans_text()} AS spans{more} FROM n_done"
+
+
+@query(_PHASE1("pipeline", ", len(spans) > 0 AS deterministic_match"))
 def moderation_phase1(spark: SparkSession, d: str) -> DataFrame:
-    return T.phase1(table(spark, d, "messages").select("msg_id", "text")).select("msg_id", "final_text", F.to_json("spans_detected").alias("spans"), "deterministic_match")
+    return _phase1(spark, d, "pipeline")
 
 
-@query()
-def testcase_report(spark: SparkSession, d: str) -> DataFrame:
-    return moderation.testcase_report(table(spark, d, "testcases"))
+@query(_PHASE1("standalone"))
+def standalone_phase1(spark: SparkSession, d: str) -> DataFrame:
+    return _phase1(spark, d, "standalone")
+
+
+def _suite(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.testcase_log(table(spark, d, "testcases"))
+
+
+_SUITE = O.decisions(O.SUITE, "case_no, category, turn, room_id, sender_id, msg_id, speaker, text, ts")
+_IDS = lambda t: f"coalesce(string_agg(msg_id, ' ' ORDER BY turn) FILTER (tier = '{t}'), '') AS {t}_ids"
+_TIERS = ", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in ("low", "moderate", "high"))
 
 
 @query(
-    """SELECT msg_id, regexp_replace(trim(regexp_replace(text, '[\\s\\x1c-\\x1f]+', ' ', 'g')), ' +', ' ', 'g') AS text
-       FROM messages WHERE text IS NOT NULL"""
+    _SUITE
+    + f"""SELECT d.msg_id, d.case_no, d.category, d.turn, o.speaker, o.text AS input_text, final_text, {_FEATURES}, score, tier, logged_tier, action, action AS log_action,
+          reason, options, escalated_from_suspicion, {_OUTPUT} AS output_text FROM decided d JOIN once o ON o.msg_id = d.msg_id"""
 )
+def testcase_log(spark: SparkSession, d: str) -> DataFrame:
+    """The suite's output for each turn."""
+    return _suite(spark, d).withColumn("options", F.array_join("options", " | "))
+
+
+@query(_SUITE + f"SELECT case_no, category, {_TIERS}, {_IDS('low')}, {_IDS('moderate')}, {_IDS('high')} FROM decided GROUP BY ALL")
+def testcase_report(spark: SparkSession, d: str) -> DataFrame:
+    got = moderation.testcase_report(_suite(spark, d))
+    return got.withColumns({f"{t}_ids": F.array_join(f"{t}_ids", " ") for t in ("low", "moderate", "high")})
+
+
+@query(_SUITE + f"SELECT category, grouping(category)::INTEGER AS overall, {_TIERS} FROM decided GROUP BY ROLLUP (category)")
+def suite_totals(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.suite_totals(_suite(spark, d))
+
+
+@query(f"SELECT msg_id, {O.sanitized('text')} AS text FROM messages")
+def norm_sanitize_unicode(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", T.sanitize_unicode(F.col("text")).alias("text"))
+
+
+@query(f"SELECT msg_id, {O.isolated_joined('text')} AS text FROM messages")
+def norm_despace_isolated(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", T.despace_isolated(F.col("text")).alias("text"))
+
+
+@query(f"SELECT msg_id, {O.paths_joined('text')} AS text FROM messages")
+def norm_despace_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", T.despace_paths(F.col("text")).alias("text"))
+
+
+@query(f"SELECT msg_id, {O.flattened('text')} AS text FROM messages")
 def norm_flatten_whitespace(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").filter("text IS NOT NULL").select("msg_id", T.flatten_whitespace(F.col("text")).alias("text"))
+    return table(spark, d, "messages").select("msg_id", T.flatten_whitespace(F.col("text")).alias("text"))
 
 
-@query(
-    """SELECT msg_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-         '[\\s\\[\\(\\{<]*(at|aat|@)[\\s\\]\\)\\}>]+', '@', 'gi'), '[\\s\\[\\(\\{<]*(dot|dawt|daht|d0t|\\.)[\\s\\]\\)\\}>]+', '.', 'gi'),
-         '[\\s\\x1c-\\x1f]*@[\\s\\x1c-\\x1f]*', '@', 'g'), '[\\s\\x1c-\\x1f]*\\.[\\s\\x1c-\\x1f]*', '.', 'g') AS text FROM messages"""
-)
+@query(f"SELECT msg_id, {O.verbal_signs('text')} AS text FROM messages")
 def norm_substitute_verbal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_id", T.substitute_verbal(F.col("text")).alias("text"))
 
@@ -174,7 +237,7 @@ def norm_revert_verbal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_id", T.revert_verbal(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"WITH c AS MATERIALIZED (SELECT msg_id, {O.flattened(O.sanitized('text'))} AS t FROM messages) SELECT msg_id, {O.digits_for_words('t')} AS text FROM c")
 def norm_words_to_digits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_id", T.words_to_digits(T.flatten_whitespace(T.sanitize_unicode(F.col("text")))).alias("text"))
 

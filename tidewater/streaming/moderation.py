@@ -16,13 +16,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater import constants as K
 from tidewater.operators import state as S
-from tidewater.plans.moderation import DECISION, fold, stateless_features  # noqa: F401
+from tidewater.plans.moderation import state_key, stateless_features
 
 
 def stream_decisions(messages: DataFrame, watermark: str = "10 minutes", provider: S.Provider = S.stub_provider) -> DataFrame:
     """`messages` is a streaming DataFrame with the columns of the batch plan; gives its decisions, in append mode."""
-    rows = messages.withColumn("sender_id", F.coalesce("sender_id", F.concat(F.lit("\0"), "room_id"))).filter("ts IS NOT NULL")
-    feats = stateless_features(rows.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["msg_id"]))
+    rows = messages.withColumn("sender_id", state_key()).filter("ts IS NOT NULL")
+    # messages without an id are no copies of each other: each gets a key that never comes again
+    once = rows.withColumn("__id", F.coalesce(F.concat(F.lit("m"), "msg_id"), F.uuid())).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["__id"])
+    feats = stateless_features(once)
     out = "room_id string, sender_id string, msg_id string, ts timestamp, final_text string, history_score double, cross_turn_platform_score double, score int, tier string, logged_tier string, action string, log_action string, reason string, options array<string>, escalated_from_suspicion boolean"
     names = [c.split()[0] for c in out.split(", ")]
 
