@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import curation as C
+from tidewater.operators.embedding import embed
 from tidewater.operators.graph import connected_components
 from tidewater.plans.curation import curate
+from tidewater.plans.generation import generate, generate_round, stub_generator
 from tidewater.sources import files
 from tidewater.sources.providers import Pace, Rotator, generate_until
 
@@ -68,6 +70,11 @@ def test_vector_pairs_exact_and_hashed(spark):
     assert exact == want and len(want) >= 40
     hashed = {(r.a, r.b) for r in C.vector_candidates(df, "id", "v", 0.85).collect()}
     assert hashed <= want and len(hashed) >= 0.95 * len(want)
+    # buckets far over their size are split, and what cannot be split is still compared
+    same = spark.createDataFrame([(1000 + i, base[0].tolist()) for i in range(30)], "id long, v array<double>").unionByName(df)
+    crowded = {(r.a, r.b) for r in C.vector_candidates(same, "id", "v", 0.85, bucket_rows=3).collect()}
+    assert {(a, b) for a, b in crowded if a >= 1000 and b >= 1000} == {(a, b) for a in range(1000, 1030) for b in range(a + 1, 1030)}
+    assert len(crowded & want) >= 0.9 * len(want)
 
 
 def test_representatives_and_review(spark):
@@ -75,7 +82,7 @@ def test_representatives_and_review(spark):
     pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.93), (4, 5, 0.9)], "a long, b long, similarity double")
     chosen, clusters, review = C.deduplicate(items, pairs, "id", "t")
     assert {(r.cluster, r.id, r.position) for r in chosen.collect()} == {(1, 2, 1), (4, 4, 4), (5, 5, 5)}
-    assert review.count() == 1 and clusters.count() == 5
+    assert [tuple(r) for r in review.collect()] == [(0.9, 4, None, 5, "q")] and clusters.count() == 5
 
 
 def test_pipeline(spark):
@@ -91,6 +98,12 @@ def test_resume_rewrite_and_lines(spark, tmp_path):
     spark.range(10).write.parquet(p)
     files.rewrite(spark.read.parquet(p).filter("id > 3"), p)
     assert spark.read.parquet(p).count() == 6
+    files.rewrite(spark.range(3), p, backup=True)
+    assert spark.read.parquet(p).count() == 3 and spark.read.parquet(f"{p}.bak").count() == 6
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a crash between the renames
+    spark.range(4).write.parquet(f"{p}.new")
+    files.recover(spark, p)
+    assert spark.read.parquet(p).count() == 4
     (tmp_path / "x.jsonl").write_text("one\n\nthree\n")
     assert [(r.line_no, r.raw) for r in files.read_lines(spark, str(tmp_path / "x.jsonl")).orderBy("line_no").collect()] == [(1, "one"), (2, ""), (3, "three")]
     (tmp_path / "c.json").write_text(json.dumps([{"id": "A", "category": "c", "turns": [{"speaker": "g", "text": "t"}]}]))
@@ -126,3 +139,39 @@ def test_pacing_and_rotation():
         r.next()
     got = iter([3, 2, 0])
     assert generate_until(10, 5, lambda n: next(got)) == 5
+
+
+def test_generation_fills_what_is_missing(spark):
+    corpus = spark.createDataFrame([(1, "a", [("g", "a request 0")]), (2, "b", [("g", "x")])], "line_no long, subtype string, turns array<struct<speaker:string,text:string>>")
+    targets = spark.createDataFrame([("a", 3), ("b", 1), ("c", 4), ("d", 2)], "subtype string, target int")
+
+    def generator(subtype, prompt, n):
+        if subtype == "d":
+            raise RuntimeError("no answer")
+        return stub_generator(subtype, prompt, n)
+
+    got = {(r.id, r.turns[0].text) for r in generate_round(corpus, targets, 5, generator).collect()}
+    assert got == {("a_0001", "a request 1"), ("c_0000", "c request 0"), ("c_0001", "c request 1"), ("c_0002", "c request 2"), ("c_0003", "c request 3")}
+    made = generate(corpus, targets, 2, lambda s, p, n: generator(s, p, n) if s != "c" else "not a batch")
+    assert {r.id for r in made.collect()} == {"a_0001"}  # a's second round adds nothing, c and d never do
+
+
+def test_default_embedder(spark):
+    df = spark.createDataFrame([(1, "the lamp is wet"), (2, "The lamp is wet!"), (3, None), (4, "")], "k long, t string")
+    v = {r.k: np.array(r.embedding) for r in embed(df, "k", "t").collect()}
+    assert abs(v[1] @ v[2] - 1) < 1e-9 and not v[3].any() and not v[4].any()
+
+
+def test_golden_slice_and_lines_kept_verbatim(spark):
+    df = spark.createDataFrame([(i, "a" if i < 90 else None) for i in range(100)], "line_no long, subtype string")
+    held, rest = C.golden_slice(df, 10)
+    assert held.filter("subtype = 'a'").count() == 9 and held.filter("subtype IS NULL").count() == 1 and held.unionByName(rest).distinct().count() == 100
+    flags = '{"delivery": {"multiturn": true, "language_mix": %s}, "label": {"contains_violation": true}}'
+    raws = ["{broken ", "", "[1]", flags % "true", flags % '"true"', "{}"]
+    got = C.delete_flagged_lines(lines(spark, raws)).orderBy("line_no").collect()
+    assert [r.raw for r in got] == ["{broken ", "", "[1]", flags % '"true"', "{}"]
+
+
+def test_flags_in_any_spelling(spark):
+    good, _ = C.validate(lines(spark, [{**GOOD, "delivery": {"multiturn": "Yes", "language_mix": 0}}]))
+    assert good.first().delivery == (True, False) and good.first().label.contains_violation is False

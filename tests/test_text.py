@@ -81,6 +81,7 @@ def test_replies_fail_closed(spark):
         (f'{{"contains_violation": true, "options": {four}}}', True, True, 3), ('{"contains_violation": true, "options": ["a b c d"]}', True, False, 0),
         ('{"contains_violation": false, "options": [1]}', False, True, 0), ('{"options": []}', True, False, 0), ("nope", True, False, 0), (None, True, False, 0),
         (f'{{"contains_violation": "false", "options": {four}}}', True, True, 3), ('{"contains_violation": true, "options": null}', True, False, 0),
+        ('{"contains_violation": true, "options": [{"text": "a b c d"}, "a b c d", "a b c d"]}', True, False, 0),
     ]
     from tidewater.sources.providers import checked
 
@@ -103,8 +104,14 @@ def test_one_rule_wherever_it_is_written(spark):
 
 
 def test_sql_functions(spark):
-    assert "risk_tier" in register(spark)
-    assert spark.sql("SELECT flatten_whitespace('a \t b') a, risk_tier(64) t, contact_kw_score('call me') k").first() == ("a b", "moderate", 0.65)
+    names = register(spark)
+    assert {"normalize_text", "detect_spans", "redact", "risk_score", "risk_tier", "soft_mask"} <= set(names)
+    assert spark.sql("SELECT flatten_whitespace('a \t b') a, risk_tier(64) t, contact_kw_score('call me') k, risk_score(3, 0.5D, 0D, 0.6D, 0D, 0.2D) s, risk_score(null, 0.5D, 0D, 0.6D, 0D, 0.2D) n").first() == ("a b", "moderate", 0.65, 29, None)
+    texts = [t for t, _, _ in FINAL] + ["see https://x.com/a@b.com now", "½ ｆｉｖｅ ﬁ — ok", "my_handle on insta 98"]
+    spark.createDataFrame([(t,) for t in texts], "text string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT text, redact(text) r, detect_spans(text) s, normalize_text(text) n, soft_mask(text, 0.2D, 1, 0D) m FROM texts")
+    want = T.phase1(T.canonical(spark.table("texts"), "text", "n")).select("text", F.col("final_text").alias("r"), F.col("spans_detected").alias("s"), "n", X.soft_mask(F.col("text"), F.lit(0.2), F.lit(1), F.lit(0.0)).alias("m"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert len(K.WEIGHTS) == 6
 
 
@@ -118,7 +125,7 @@ def test_masking_queries_run_over_every_row(spark, tmp_path):
     def brute(t):
         return None if t is None else "".join("█" if unicodedata.category(c) == "Nd" else c for c in t)
 
-    got = {r.msg_id: r.text for r in queries.QUERIES["mask_digits_all"](spark, str(tmp_path)).collect()}
+    got = {r.msg_id: r.text for r in queries.QUERIES["mask_digits"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     kept = {i: None if o is None else sum(o_ is not None and "█" * 7 not in brute(o_) for o_ in o) for i, o in enumerate(options)} | {6: None}
-    assert {r.line_no: r.kept for r in queries.QUERIES["option_gate_all"](spark, str(tmp_path)).collect()} == kept == {0: 1, 1: 1, 2: 0, 3: 1, 4: 0, 5: None, 6: None}
+    assert {r.line_no: r.kept for r in queries.QUERIES["option_gate"](spark, str(tmp_path)).collect()} == kept == {0: 1, 1: 1, 2: 0, 3: 1, 4: 0, 5: None, 6: None}

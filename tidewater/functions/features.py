@@ -64,7 +64,8 @@ def risk_score(run: Column, contact: Column, pattern: Column, history: Column, l
     score = F.rint(raw * 100).cast("int")
     score = F.when(history.cast("double") >= K.HISTORY_FLOOR_AT, F.greatest(score, F.lit(K.FLOOR))).otherwise(score)
     score = F.when(platform.cast("double") >= K.PLATFORM_FLOOR_AT, F.greatest(score, F.lit(K.FLOOR))).otherwise(score)
-    return F.least(score, F.lit(100))
+    # greatest and least pass over nulls, so a missing feature must be told apart
+    return F.when(raw.isNotNull() & run.isNotNull(), F.least(score, F.lit(100)))
 
 
 def tier(score: Column) -> Column:
@@ -120,6 +121,9 @@ def validated_response(content: Column) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(v, "$.contains_violation", "variant"))
     flag = F.try_variant_get(v, "$.contains_violation", "string")
     truthy = F.when(kind == "BOOLEAN", flag == "true").when(kind == "STRING", flag != "").when(kind == "VOID", False).otherwise(~flag.isin("0", "0.0"))
+    listed = F.try_variant_get(v, "$.options", "array<variant>")
+    # a number or object turns into text when it is read as string, so its type is looked at first
+    texts = F.coalesce(F.forall(listed, lambda o: F.coalesce(F.schema_of_variant(o) == "STRING", F.lit(False))), F.lit(False))
     options = F.try_variant_get(v, "$.options", "array<string>")
     fallback = lambda why: F.struct(F.lit(True).alias("contains_violation"), F.array().cast("array<string>").alias("options"), F.lit(False).alias("valid"), F.lit(why).alias("fallback_reason"))
     good = lambda flag, options: F.struct(flag.alias("contains_violation"), options.alias("options"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("fallback_reason"))
@@ -128,6 +132,6 @@ def validated_response(content: Column) -> Column:
         .when(kind.isNull() | F.try_variant_get(v, "$.options", "variant").isNull(), fallback("missing key"))
         .when(~truthy, good(F.lit(False), F.array().cast("array<string>")))
         .when(options.isNull() | (F.size(options) != K.OPTION_COUNT), fallback("wrong number of options"))
-        .when(F.exists(options, lambda o: o.isNull() | (words_in(o) < K.OPTION_MIN_WORDS)), fallback("option too short"))
+        .when(~texts | F.exists(options, lambda o: o.isNull() | (words_in(o) < K.OPTION_MIN_WORDS)), fallback("option too short"))
         .otherwise(good(F.lit(True), options))
     )

@@ -30,7 +30,7 @@ def validation_error(raw: Column) -> Column:
     v = F.try_parse_json(raw)
     kind = lambda path, of=v: F.schema_of_variant(F.try_variant_get(of, path, "variant"))
     text = lambda path: F.coalesce(kind(path) == "STRING", F.lit(False))
-    is_flag = lambda path: F.coalesce((kind(path) == "BOOLEAN") | F.lower(F.try_variant_get(v, path, "string")).isin("true", "false", "0", "1", "yes", "no", "on", "off", "t", "f", "y", "n"), F.lit(False))
+    is_flag = lambda path: F.coalesce((kind(path) == "BOOLEAN") | flag(F.try_variant_get(v, path, "string")).isNotNull(), F.lit(False))
     turns = F.try_variant_get(v, "$.turns", "array<variant>")
     turn_ok = lambda t: F.coalesce((kind("$.speaker", t) == "STRING") & (kind("$.text", t) == "STRING"), F.lit(False))
     options = F.try_variant_get(v, "$.label.options", "variant")
@@ -49,13 +49,23 @@ def validation_error(raw: Column) -> Column:
     )
 
 
-CORPUS = "id string, intent string, subtype string, delivery struct<multiturn:boolean,language_mix:boolean>, turns array<struct<speaker:string,text:string>>, label struct<contains_violation:boolean,options:array<string>,action:string,violation_type:string>, metadata map<string,string>"
+#: The corpus record; flags are read as text first, since they may be spelled in several ways.
+CORPUS = "id string, intent string, subtype string, delivery struct<multiturn:string,language_mix:string>, turns array<struct<speaker:string,text:string>>, label struct<contains_violation:string,options:array<string>,action:string,violation_type:string>, metadata map<string,string>"
+TRUE, FALSE = ("true", "1", "yes", "on", "t", "y"), ("false", "0", "no", "off", "f", "n")
+
+
+def flag(c: Column) -> Column:
+    """A boolean from one of its spellings, else null."""
+    return F.when(F.lower(c).isin(*TRUE), True).when(F.lower(c).isin(*FALSE), False)
 
 
 def validate(lines: DataFrame, key: str = "line_no", raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(valid records, invalid lines with error and the first 200 characters). Blank lines are neither."""
     rows = lines.select(F.col(key), F.col(raw).alias("raw")).filter(F.length(F.trim("raw")) > 0).withColumn("error", validation_error(F.col("raw")))
     good = rows.filter("error IS NULL").select(key, F.from_json("raw", CORPUS).alias("r")).select(key, "r.*")
+    for group, names in (("delivery", ("multiturn", "language_mix")), ("label", ("contains_violation",))):
+        for name in names:
+            good = good.withColumn(group, F.col(group).withField(name, flag(F.col(f"{group}.{name}"))))
     return good, rows.filter("error IS NOT NULL").select(F.col(key).alias("line"), "error", F.substring("raw", 1, 200).alias("raw"))
 
 
@@ -100,27 +110,44 @@ def vector_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_
     return keyed.groupBy("p", "q").applyInPandas(run, "a long, b long, similarity double")
 
 
-def vector_candidates(vectors: DataFrame, key: str, vector: str, least: float, tables: int = 60, bits: int = 12, seed: int = 5) -> DataFrame:
+def vector_candidates(vectors: DataFrame, key: str, vector: str, least: float, tables: int = 60, bits: int = 12, seed: int = 5, bucket_rows: int = 1000) -> DataFrame:
     """The same pairs by sign hashes of random planes, for collections where all block pairs are too many. A pair at
-    cosine 0.85 is found with a probability of 0.998; buckets are joined, pairs verified exactly."""
+    cosine 0.85 shares one of the 60 hashes with a probability of 0.998.
+
+    A bucket with more than `bucket_rows` vectors is split by more planes of its own table, level by level, until its
+    parts are small or `bits` more planes are used up; what is larger then holds nearly equal vectors, and goes through
+    the exact blocked product. No bucket is dropped. Pairs are verified exactly; null, empty and zero vectors have none."""
     v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    v = v.filter(F.exists("v", lambda x: x != 0)).dropDuplicates(["id"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = None
         for b in batches:
             m = np.array(b["v"].tolist())
             if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(m.shape[1], tables * bits))
-            signs = (m @ planes > 0).reshape(len(m), tables, bits)
-            code = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-            yield pd.DataFrame({"id": b["id"], "codes": list(code.astype(np.int64))})
-
-    coded = spread(v, "id").mapInPandas(run, "id long, codes array<long>").select("id", F.explode("codes").alias("code"))
-    pairs = coded.alias("x").join(coded.alias("y"), "code").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], tables * 2 * bits))
+            signs = (m @ planes > 0).reshape(len(m), tables, 2 * bits)
+            code = lambda s: (s * (1 << np.arange(bits))).sum(axis=2)
+            head = (code(signs[:, :, :bits]) + (np.arange(tables) << bits)).astype(np.int64)
+            yield pd.DataFrame({"id": b["id"], "codes": list(head), "more": list(code(signs[:, :, bits:]).astype(np.int64))})
+
+    coded = spread(v, "id").mapInPandas(run, "id long, codes array<long>, more array<long>")
+    rows = cut(coded.select("id", F.explode(F.arrays_zip("codes", "more")).alias("x")).select("id", F.col("x.codes").alias("code"), F.col("x.more").alias("more")))
+    sizes = rows.groupBy("code").agg(F.count("*").alias("n"))
+    # the planes a bucket needs so that its parts hold about bucket_rows: a close pair stays together on each with the
+    # same probability as on the planes before, and every table has planes of its own
+    extra = F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / bucket_rows)))).cast("int")
+    parts = rows.join(sizes.select("code", extra.alias("extra")), "code").select("id", "code", F.expr("more & (shiftleft(1L, extra) - 1)").alias("part"))
+    big = parts.groupBy("code", "part").agg(F.count("*").alias("n"))
+    marked = cut(parts.join(big, ["code", "part"]).filter("n > 1"))
+    small = marked.filter(F.col("n") <= 8 * bucket_rows)
+    pairs = small.alias("x").join(small.alias("y"), ["code", "part"]).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     joined = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return joined.select("a", "b", (dot / (norm("va") * norm("vb"))).alias("similarity")).filter(F.col("similarity") >= least)
+    near = joined.select("a", "b", (dot / (norm("va") * norm("vb"))).alias("similarity")).filter(F.col("similarity") >= least)
+    crowded = v.join(marked.filter(F.col("n") > 8 * bucket_rows).select("id").distinct(), "id", "left_semi")
+    return near.unionByName(vector_pairs(crowded, "id", "v", least)).dropDuplicates(["a", "b"])
 
 
 def deduplicate(items: DataFrame, pairs: DataFrame, key: str, text: str, drop_at: float = K.DROP_AT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,8 +157,16 @@ def deduplicate(items: DataFrame, pairs: DataFrame, key: str, text: str, drop_at
     clusters = items.join(comp.withColumnRenamed("node", key), key, "left").withColumn("cluster", F.coalesce("component", F.col(key))).drop("component")
     best = F.max_by(F.col(key), F.struct(F.coalesce(F.length(text), F.lit(0)), -F.col(key)))
     chosen = clusters.groupBy("cluster").agg(best.alias(key), F.count("*").alias("members"), F.min(key).alias("position"))
-    review = pairs.filter(F.col("similarity") < drop_at).select(F.round("similarity", 4).alias("similarity"), F.col("a").alias("example_a"), F.col("b").alias("example_b"))
-    return chosen, clusters.select(key, "cluster"), review
+    return chosen, clusters.select(key, "cluster"), review_pairs(items, pairs, key, text, drop_at)
+
+
+def review_pairs(items: DataFrame, pairs: DataFrame, key: str, text: str, drop_at: float = K.DROP_AT) -> DataFrame:
+    """(similarity, example_a, text_a, example_b, text_b) of the pairs below `drop_at`, most similar first. The order is
+    a range-partitioned sort, so it holds for any number of pairs."""
+    out = pairs.filter(F.col("similarity") < drop_at).select(F.round("similarity", 4).alias("similarity"), F.col("a").alias("example_a"), F.col("b").alias("example_b"))
+    for side in "ab":
+        out = out.join(items.select(F.col(key).alias(f"example_{side}"), F.col(text).alias(f"text_{side}")), f"example_{side}", "left")
+    return out.select("similarity", "example_a", "text_a", "example_b", "text_b").orderBy(F.desc("similarity"), "example_a", "example_b")
 
 
 # ---------------------------------------------------------------- balance, samples, deletion
@@ -161,6 +196,26 @@ def delete_flagged(corpus: DataFrame) -> DataFrame:
     return corpus.filter(~F.coalesce(every, F.lit(False)))
 
 
+def delete_flagged_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """Lines of JSON without those whose three flags are true, and nothing else changed: lines that are no JSON, other
+    shapes and missing parts stay as they are."""
+    v = F.try_parse_json(raw)
+    true = lambda path: F.coalesce((F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
+    return lines.filter(~(true("$.delivery.multiturn") & true("$.delivery.language_mix") & true("$.label.contains_violation")))
+
+
+def golden_slice(corpus: DataFrame, size: int = 200, key: str = "line_no") -> tuple[DataFrame, DataFrame]:
+    """(held out, rest): about `size` records that are never trained on, each subtype by its share and at least one,
+    those with the smallest md5 of their key. Any rerun over the same corpus holds out the same records."""
+    hashed = corpus.withColumn("__h", F.md5(F.col(key).cast("string")))
+    counts = corpus.groupBy("subtype").agg(F.count("*").alias("__n"))
+    sizes = counts.withColumn("__total", corpus.agg(F.count("*")).scalar())
+    quota = sizes.select(F.col("subtype").alias("__s"), F.greatest(F.lit(1), F.floor(F.col("__n") * size / F.col("__total"))).alias("__quota"))
+    numbered = row_numbers(hashed, ["subtype"], ["__h", key], F.substring("__h", 1, 3), "__rn")
+    marked = numbered.join(quota, F.col("subtype").eqNullSafe(F.col("__s")))
+    return marked.filter("__rn <= __quota").select(*corpus.columns), marked.filter("__rn > __quota").select(*corpus.columns)
+
+
 def delete_ids(corpus: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
     """(corpus without the ids, the ids that were not there)."""
     wanted = corpus.sparkSession.createDataFrame([(i,) for i in ids], "id string")
@@ -194,11 +249,11 @@ def deficits(corpus: DataFrame, targets: DataFrame, batch: int) -> DataFrame:
 
 
 def assign_ids(batch: DataFrame, have: DataFrame, order: str = "line_no") -> DataFrame:
-    """id = subtype_NNNN, counting on from what each subtype has, in order of arrival."""
+    """id = subtype_NNNN, counting on from what each subtype has, in order of arrival; null without a subtype."""
     numbered = row_numbers(batch, ["subtype"], [order], F.floor(F.col(order) / 4096), "__rn")
     joined = numbered.join(have.select(F.col("subtype").alias("__s"), "have"), F.col("subtype") == F.col("__s"), "left")
     n = (F.coalesce("have", F.lit(0)) + F.col("__rn") - 1).cast("long")
-    return joined.withColumn("id", F.format_string("%s_%04d", "subtype", n)).select(*[c for c in batch.columns if c != "id"], "id")
+    return joined.withColumn("id", F.when(F.col("subtype").isNotNull(), F.format_string("%s_%04d", "subtype", n))).select(*[c for c in batch.columns if c != "id"], "id")
 
 
 def language_mix_sample(corpus: DataFrame, key: str = "line_no", share: float = K.LANGUAGE_MIX_SHARE, chunk: int = K.LANGUAGE_MIX_BATCH) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewater import constants as K
 from tidewater.operators import curation as C
+from tidewater.operators.embedding import Embedder, embed, hashed_words
+from tidewater.runtime import cut
 
 
 @dataclass
@@ -24,11 +26,16 @@ class Curated:
     spot_check: DataFrame
 
 
-def curate(lines: DataFrame, targets: DataFrame, embeddings: DataFrame, drop_at: float = K.DROP_AT, review_at: float = K.REVIEW_AT) -> Curated:
-    """`lines` (line_no, raw), `targets` (subtype, target), `embeddings` (line_no, embedding)."""
+def curate(
+    lines: DataFrame, targets: DataFrame, embeddings: DataFrame | None = None, drop_at: float = K.DROP_AT, review_at: float = K.REVIEW_AT, embedder: Embedder = hashed_words
+) -> Curated:
+    """`lines` (line_no, raw), `targets` (subtype, target), `embeddings` (line_no, embedding); without embeddings the
+    `embedder` makes them from the records' joined turns."""
     valid, invalid = C.validate(lines)
     kept, flagged = C.check_options(valid)
     texts = kept.withColumn("__text", F.array_join("turns.text", " "))
+    if embeddings is None:
+        embeddings = cut(embed(texts, "line_no", "__text", embedder))
     pairs = C.vector_pairs(embeddings.join(kept.select("line_no"), "line_no", "left_semi"), "line_no", "embedding", review_at)
     chosen, _, review = C.deduplicate(texts.select("line_no", "__text"), pairs, "line_no", "__text", drop_at)
     clean = kept.join(chosen.select("line_no", "position"), "line_no")

@@ -11,9 +11,12 @@ from tidewater import constants as K
 from tidewater import oracles as O
 from tidewater.functions import features as X
 from tidewater.functions import text as T
+from tidewater.functions.register import register
 from tidewater.operators import curation, nested, ranking
-from tidewater.plans import moderation
-from tidewater.runtime import table
+from tidewater.plans import curation as pipeline
+from tidewater.plans import generation, moderation
+from tidewater.runtime import scratch, table
+from tidewater.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -242,55 +245,53 @@ def norm_words_to_digits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("msg_id", T.words_to_digits(T.flatten_whitespace(T.sanitize_unicode(F.col("text")))).alias("text"))
 
 
-_KW = lambda words: " + ".join(f"(contains(lower(text), '{w}'))::INT" for w in words)
-
-
-@query(
-    f"""SELECT msg_id,
-          coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x))), 0)::INTEGER AS max_digit_run,
-          length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS digit_density,
-          greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * ({_KW(K.CONTACT_KEYWORDS)}) - 0.15::DOUBLE * ({_KW(K.QUANTITY_KEYWORDS)}))) AS contact_kw_score,
-          CASE WHEN regexp_matches(text, '[0-9]{{3}}[-\\s]?[0-9]{{3}}[-\\s]?[0-9]{{4}}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pattern_score
-        FROM messages WHERE text IS NOT NULL"""
-)
+@query("WITH m AS (SELECT msg_id, text FROM messages) SELECT msg_id, max_digit_run, digit_density, contact_kw_score, pattern_score FROM (" + O.features("m", "msg_id", "coalesce(text, '')") + ")")
 def feature_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, d, "messages").filter("text IS NOT NULL").select(
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "messages").select(
         "msg_id", X.max_digit_run(t).alias("max_digit_run"), X.digit_density(t).alias("digit_density"), X.contact_kw_score(t).alias("contact_kw_score"), X.pattern_score(t).alias("pattern_score")
     )
 
 
+@query("WITH m AS (SELECT msg_id, text FROM messages) SELECT msg_id, link_suspicion_score FROM (" + O.features("m", "msg_id", "coalesce(text, '')") + ")")
+def feature_link(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("msg_id", X.link_suspicion_score(F.coalesce("text", F.lit(""))).alias("link_suspicion_score"))
+
+
 @query(
-    """SELECT msg_id, CASE WHEN NOT regexp_matches(text, '(?i)\\b[a-zA-Z0-9-]+\\.(com|org|net|io|co|me|ly|to|gg)\\b') THEN 0.0::DOUBLE
-            WHEN regexp_matches(text, '(?is)\\b[a-zA-Z0-9-]+\\.(com|org|net|io|co|me|ly|to|gg)\\b.{0,38}/\\S') THEN 1.0::DOUBLE
-            ELSE 0.3::DOUBLE END AS link_suspicion_score FROM messages WHERE text IS NOT NULL"""
+    f"WITH {O.phase1('messages', 'msg_id, text', 'text')} SELECT msg_id, final_text, canonical, len(spans)::INTEGER AS spans, "
+    f"{O.soft_masked('final_text', '0.2::DOUBLE', '1', '0')} AS masked FROM n_done"
 )
-def feature_link(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").filter("text IS NOT NULL").select("msg_id", X.link_suspicion_score(F.col("text")).alias("link_suspicion_score"))
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The operators by their SQL names."""
+    register(spark)
+    rows = table(spark, d, "messages").select("msg_id", "text")
+    done = rows.selectExpr("msg_id", "redact(text) AS final_text", "normalize_text(text) AS canonical", "CASE WHEN text IS NOT NULL THEN size(detect_spans(text)) END AS spans")
+    return done.withColumn("masked", F.expr("soft_mask(final_text, 0.2D, 1, 0D)"))
 
 
 _LOGGED = "features.max_digit_run AS run, features.contact_kw_score AS kw, features.pattern_score AS pat, features.history_score AS hist, features.link_suspicion_score AS link, features.cross_turn_platform_score AS plat"
-_SCORE_SQL = f"""WITH f AS (SELECT msg_id, logged_at, {_LOGGED} FROM decision_log WHERE features IS NOT NULL),
+_SCORE_SQL = f"""WITH f AS (SELECT msg_id, logged_at, {_LOGGED} FROM decision_log),
     r AS (SELECT *, round_even((0.25::DOUBLE * least(run / 10.0::DOUBLE, 1.0::DOUBLE) + 0.20::DOUBLE * kw + 0.15::DOUBLE * pat + 0.15::DOUBLE * hist
                     + 0.15::DOUBLE * link + 0.10::DOUBLE * plat) * 100, 0)::INTEGER AS raw FROM f),
-    s AS (SELECT msg_id, logged_at, least(CASE WHEN hist >= 0.7::DOUBLE OR plat >= 1.0::DOUBLE THEN greatest(raw, 35) ELSE raw END, 100) AS score FROM r)
+    s AS (SELECT msg_id, logged_at, CASE WHEN raw IS NOT NULL THEN least(CASE WHEN hist >= 0.7::DOUBLE OR plat >= 1.0::DOUBLE THEN greatest(raw, 35) ELSE raw END, 100) END AS score FROM r)
     """
 
 
 def _rescored(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "decision_log").filter("features IS NOT NULL")
+    f = table(spark, d, "decision_log")
     score = X.risk_score(*[F.col(f"features.{c}") for c in ("max_digit_run", "contact_kw_score", "pattern_score", "history_score", "link_suspicion_score", "cross_turn_platform_score")])
     return f.select("msg_id", "logged_at", score.alias("score"))
 
 
-@query(_SCORE_SQL + "SELECT msg_id, logged_at, score, CASE WHEN score < 35 THEN 'low' WHEN score < 65 THEN 'moderate' ELSE 'high' END AS tier FROM s")
+@query(_SCORE_SQL + "SELECT msg_id, logged_at, score, CASE WHEN score < 35 THEN 'low' WHEN score < 65 THEN 'moderate' WHEN score IS NOT NULL THEN 'high' END AS tier FROM s")
 def score_log(spark: SparkSession, d: str) -> DataFrame:
     return _rescored(spark, d).withColumn("tier", X.tier(F.col("score")))
 
 
 @query(
     _SCORE_SQL
-    + """SELECT CASE WHEN score < 35 THEN 'low' WHEN score < 65 THEN 'moderate' ELSE 'high' END AS tier, count(*) AS records,
+    + """SELECT CASE WHEN score < 35 THEN 'low' WHEN score < 65 THEN 'moderate' WHEN score IS NOT NULL THEN 'high' END AS tier, count(*) AS records,
          min(score)::INTEGER AS lowest, max(score)::INTEGER AS highest FROM s GROUP BY 1"""
 )
 def tier_report(spark: SparkSession, d: str) -> DataFrame:
@@ -302,16 +303,9 @@ def action_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "decision_log").rollup("action", "tier").agg(F.count("*").alias("records"))
 
 
-@query("SELECT msg_id, regexp_replace(text, '[0-9]', '█', 'g') AS text FROM messages WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
-def mask_digits(spark: SparkSession, d: str) -> DataFrame:
-    """Masking agrees with SQL where digits are ASCII; other scripts are covered by tests."""
-    rows = table(spark, d, "messages").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return rows.select("msg_id", X.mask_digits(F.col("text")).alias("text"))
-
-
 @query(r"SELECT msg_id, regexp_replace(text, '\p{Nd}', '█', 'g') AS text FROM messages")
-def mask_digits_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every message, digits of all scripts masked; `mask_digits` is the part that plain [0-9] SQL can compare."""
+def mask_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Digits of all scripts."""
     return table(spark, d, "messages").select("msg_id", X.mask_digits(F.col("text")).alias("text"))
 
 
@@ -320,46 +314,91 @@ def render_turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "testcases").select("case_no", X.render_turns(F.col("turns")).alias("chat"))
 
 
-@query(
-    """SELECT line_no, len(list_filter(label.options, lambda o: o IS NOT NULL AND NOT regexp_matches(o, '[0-9]{7,}')))::INTEGER AS kept
-       FROM hinglish_spot_check WHERE label.options IS NOT NULL
-         AND len(list_filter(label.options, lambda o: o IS NOT NULL AND NOT regexp_full_match(o, '[\\x00-\\x7F]*'))) = 0"""
-)
-def option_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "hinglish_spot_check").filter("label.options IS NOT NULL")
-    rows = rows.filter(~F.coalesce(F.exists("label.options", lambda o: o.rlike("[^\\x00-\\x7F]")), F.lit(False)))
-    return rows.select("line_no", F.size(X.gate_options(F.col("label.options"))).alias("kept"))
-
-
 @query(
     r"""SELECT line_no, len(list_filter(label.options, lambda o: o IS NOT NULL AND NOT regexp_matches(o, '\p{Nd}{7,}')))::INTEGER AS kept
         FROM hinglish_spot_check"""
 )
-def option_gate_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every record, null where it has no options; `option_gate` is the part that plain [0-9] SQL can compare."""
+def option_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Options left of every record, null where it has none to begin with."""
     gated = X.gate_options(F.col("label.options"))
     return table(spark, d, "hinglish_spot_check").select("line_no", F.when(gated.isNotNull(), F.size(gated)).alias("kept"))
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT sender_id, ts, msg_id FROM messages WHERE sender_id IS NOT NULL),
+    """WITH m AS (SELECT DISTINCT sender_id, ts, msg_id FROM messages),
          g AS (SELECT *, ts - lag(ts) OVER w AS gap FROM m WINDOW w AS (PARTITION BY sender_id ORDER BY ts, msg_id))
        SELECT sender_id, msg_id, (sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 600 SECOND THEN 1 ELSE 0 END)
               OVER (PARTITION BY sender_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM g"""
 )
 def sender_sessions(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages").filter("sender_id IS NOT NULL").select("sender_id", F.col("ts").cast("timestamp").alias("ts"), "msg_id").distinct()
+    m = table(spark, d, "messages").select("sender_id", F.col("ts").cast("timestamp").alias("ts"), "msg_id").distinct()
     return ranking.sessions(m, "sender_id", "ts", 600, "msg_id").select("sender_id", "msg_id", "session")
 
 
 # ---------------------------------------------------------------- curation
 
 
-@query()
+_IS = lambda x, kind: f"coalesce(json_type({x}) = '{kind}', false)"
+_FLAGS = ", ".join(f"'{x}'" for x in curation.TRUE + curation.FALSE)
+_IS_FLAG = lambda x, text: f"coalesce(json_type({x}) = 'BOOLEAN' OR lower({text}) IN ({_FLAGS}), false)"
+_ELEMENTS = lambda x: f"from_json({x}, '[\"JSON\"]')"
+_CHECKED_SQL = f"""WITH j AS (SELECT line_no, raw, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM raw_examples WHERE length(trim(raw)) > 0),
+    checked AS (SELECT line_no, raw, v, CASE WHEN v IS NULL THEN 'not valid JSON' WHEN NOT {_IS("v", "OBJECT")} THEN 'not an object'
+      WHEN NOT {_IS("(v->'id')", "VARCHAR")} THEN 'id: string required' WHEN NOT {_IS("(v->'intent')", "VARCHAR")} THEN 'intent: string required'
+      WHEN NOT {_IS("(v->'subtype')", "VARCHAR")} THEN 'subtype: string required'
+      WHEN NOT {_IS_FLAG("(v->'delivery'->'multiturn')", "(v->'delivery'->>'multiturn')")} THEN 'delivery.multiturn: boolean required'
+      WHEN NOT {_IS_FLAG("(v->'delivery'->'language_mix')", "(v->'delivery'->>'language_mix')")} THEN 'delivery.language_mix: boolean required'
+      WHEN NOT {_IS("(v->'turns')", "ARRAY")} THEN 'turns: list required'
+      WHEN len(list_filter({_ELEMENTS("(v->'turns')")}, lambda t: NOT ({_IS("(t->'speaker')", "VARCHAR")} AND {_IS("(t->'text')", "VARCHAR")}))) > 0 THEN 'turns: speaker and text required'
+      WHEN NOT {_IS_FLAG("(v->'label'->'contains_violation')", "(v->'label'->>'contains_violation')")} THEN 'label.contains_violation: boolean required'
+      WHEN (v->'label'->'options') IS NOT NULL AND NOT ({_IS("(v->'label'->'options')", "ARRAY")}
+           AND len(list_filter(CASE WHEN {_IS("(v->'label'->'options')", "ARRAY")} THEN {_ELEMENTS("(v->'label'->'options')")} END, lambda o: NOT {_IS("o", "VARCHAR")})) = 0) THEN 'label.options: list of strings required'
+      WHEN NOT {_IS("(v->'metadata')", "OBJECT")} THEN 'metadata: object required' END AS error FROM j)
+    """
+
+
+@query(_CHECKED_SQL + "SELECT line_no AS line, error, substring(raw, 1, 200) AS raw FROM checked WHERE error IS NOT NULL")
 def corpus_invalid(spark: SparkSession, d: str) -> DataFrame:
     return curation.validate(table(spark, d, "raw_examples"))[1]
 
 
+_TRUE = ", ".join(f"'{x}'" for x in curation.TRUE)
+
+
+@query(
+    _CHECKED_SQL
+    + f"""SELECT line_no, v->>'id' AS id, v->>'subtype' AS subtype, lower(v->'delivery'->>'multiturn') IN ({_TRUE}) AS multiturn,
+          lower(v->'label'->>'contains_violation') IN ({_TRUE}) AS violation, len({_ELEMENTS("(v->'turns')")})::INTEGER AS turns,
+          array_to_string(list_transform({_ELEMENTS("(v->'turns')")}, lambda t: t->>'text'), ' ') AS example_text FROM checked WHERE error IS NULL"""
+)
+def corpus_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Records that pass, read into the corpus shape."""
+    good = curation.validate(table(spark, d, "raw_examples"))[0]
+    return good.select(
+        "line_no", "id", "subtype", F.col("delivery.multiturn").alias("multiturn"), F.col("label.contains_violation").alias("violation"),
+        F.size("turns").alias("turns"), F.array_join("turns.text", " ").alias("example_text"),
+    )
+
+
+_REPLY_SQL = f"""WITH r AS (SELECT line_no, CASE WHEN json_valid(raw) THEN raw::JSON->'label' END AS v FROM raw_examples),
+    k AS (SELECT line_no, v, json_type(v->'contains_violation') AS kind, v->>'contains_violation' AS flag, json_type(v->'options') AS listed,
+                 CASE WHEN json_type(v->'options') = 'ARRAY' THEN {_ELEMENTS("(v->'options')")} END AS o FROM r),
+    c AS (SELECT *, CASE kind WHEN 'BOOLEAN' THEN flag = 'true' WHEN 'VARCHAR' THEN flag <> '' WHEN 'NULL' THEN false ELSE coalesce(TRY_CAST(flag AS DOUBLE) <> 0, true) END AS truthy FROM k),
+    w AS (SELECT line_no, CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'not valid JSON' WHEN kind IS NULL OR listed IS NULL THEN 'missing key' WHEN NOT truthy THEN NULL
+      WHEN o IS NULL OR len(o) <> 3 THEN 'wrong number of options'
+      WHEN len(list_filter(o, lambda x: json_type(x) <> 'VARCHAR' OR len(list_filter(regexp_split_to_array(x->>'$', '[\\s\\x{{00A0}}\\x{{2002}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+'), lambda y: y <> '')) < 4)) > 0 THEN 'option too short' END AS fallback_reason,
+      truthy, CASE WHEN truthy AND len(o) = 3 THEN 3 ELSE 0 END AS n FROM c)
+    SELECT line_no, fallback_reason, fallback_reason IS NULL AS valid, fallback_reason IS NOT NULL OR truthy AS contains_violation, CASE WHEN fallback_reason IS NULL THEN n ELSE 0 END AS options FROM w"""
+
+
+@query(_REPLY_SQL)
+def replies_validated(spark: SparkSession, d: str) -> DataFrame:
+    """The labels of the delivered records, read as replies of a language model."""
+    reply = F.try_variant_get(F.try_parse_json("raw"), "$.label", "variant")
+    rows = table(spark, d, "raw_examples").select("line_no", X.validated_response(F.to_json(reply)).alias("r"))
+    return rows.select("line_no", "r.fallback_reason", "r.valid", "r.contains_violation", F.size("r.options").alias("options"))
+
+
 _WORDS = "len(list_filter(regexp_split_to_array(o, '[\\s\\x{00A0}\\x{2002}-\\x{200A}\\x{202F}\\x{3000}]+'), lambda w: w <> ''))"
 _FLAG_SQL = f"""WITH c AS (SELECT line_no, id, coalesce(label.contains_violation, false) AS v, coalesce(len(label.options), 0) AS n, label.options AS o FROM hinglish_spot_check),
     f AS (SELECT line_no, id, CASE WHEN NOT v AND n > 0 THEN 'non-violation has options'
@@ -405,11 +444,60 @@ def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
     return curation.deduplicate(items, _vector_pairs(spark, d), "vec_id", "text", VECTOR_DROP)[1]
 
 
-@query()
-def vector_representatives(spark: SparkSession, d: str) -> DataFrame:
+_CLUSTER_SQL = ORACLE["vector_clusters"].replace("SELECT vec_id, coalesce(component, vec_id) AS cluster FROM embeddings", ", k AS (SELECT vec_id, coalesce(component, vec_id) AS cluster FROM embeddings") + ")"
+
+
+def _with_texts(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    items = table(spark, d, "embeddings").select("vec_id").join(texts, "vec_id", "left")
-    return curation.deduplicate(items, _vector_pairs(spark, d), "vec_id", "text", VECTOR_DROP)[0]
+    return table(spark, d, "embeddings").select("vec_id").join(texts, "vec_id", "left")
+
+
+@query(
+    _CLUSTER_SQL
+    + """, t AS (SELECT cluster, k.vec_id, row_number() OVER (PARTITION BY cluster ORDER BY coalesce(length(text), 0) DESC, k.vec_id) AS place,
+           count(*) OVER (PARTITION BY cluster) AS members, min(k.vec_id) OVER (PARTITION BY cluster) AS "position" FROM k LEFT JOIN documents ON doc_id = k.vec_id)
+         SELECT cluster, vec_id, members, "position" FROM t WHERE place = 1"""
+)
+def vector_representatives(spark: SparkSession, d: str) -> DataFrame:
+    return curation.deduplicate(_with_texts(spark, d), _vector_pairs(spark, d), "vec_id", "text", VECTOR_DROP)[0]
+
+
+@query(
+    _PAIR_SQL
+    + f"""SELECT round(s, 4) AS similarity, a AS example_a, x.text AS text_a, b AS example_b, y.text AS text_b
+          FROM p LEFT JOIN documents x ON x.doc_id = a LEFT JOIN documents y ON y.doc_id = b WHERE s >= {VECTOR_REVIEW} AND s < {VECTOR_DROP} ORDER BY 1 DESC, 2, 4"""
+)
+def vector_review(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs for review with both texts, most similar first."""
+    return curation.review_pairs(_with_texts(spark, d), _vector_pairs(spark, d), "vec_id", "text", VECTOR_DROP)
+
+
+_CURATED_SQL = (
+    _CHECKED_SQL.replace("WITH j", "WITH RECURSIVE j")
+    + f""", good AS (SELECT line_no, v->>'id' AS id, lower(v->'label'->>'contains_violation') IN ({_TRUE}) AS v,
+             list_transform(CASE WHEN {_IS("(v->'label'->'options')", "ARRAY")} THEN {_ELEMENTS("(v->'label'->'options')")} ELSE [] END, lambda o: o->>'$') AS o,
+             array_to_string(list_transform({_ELEMENTS("(v->'turns')")}, lambda t: t->>'text'), ' ') AS text FROM checked WHERE error IS NULL),
+        bad AS (SELECT id FROM good WHERE (NOT v AND len(o) > 0) OR (v AND (len(o) <> 3 OR len(list_filter(o, lambda x: WORDS < 4)) > 0))),
+        kept AS (SELECT line_no, text FROM good WHERE id NOT IN (SELECT id FROM bad)),
+        m AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT line_no FROM kept)),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM m a JOIN m b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {VECTOR_DROP}),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT DISTINCT a AS n, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON r.n = e.a),
+        c AS (SELECT n, min(m) AS component FROM r GROUP BY n)
+        SELECT line_no FROM (SELECT line_no, row_number() OVER (PARTITION BY coalesce(component, line_no) ORDER BY length(text) DESC, line_no) AS place FROM kept LEFT JOIN c ON n = line_no) WHERE place = 1"""
+)
+
+
+@query(_CURATED_SQL.replace("WORDS", "len(list_filter(regexp_split_to_array(x, '[\\s\\x{00A0}\\x{2002}-\\x{200A}\\x{202F}\\x{3000}]+'), lambda y: y <> ''))"))
+def curation_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline over the delivered records, with the vectors of the same numbers."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("line_no"), "embedding")
+    return pipeline.curate(table(spark, d, "raw_examples"), table(spark, d, "subtype_targets"), vectors, VECTOR_DROP, VECTOR_REVIEW).clean.select("line_no")
+
+
+@query()
+def curation_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the default embedder instead of given vectors."""
+    return pipeline.curate(table(spark, d, "raw_examples"), table(spark, d, "subtype_targets")).clean.select("line_no", "id")
 
 
 @query(
@@ -442,6 +530,24 @@ def delete_flagged(spark: SparkSession, d: str) -> DataFrame:
     return curation.delete_flagged(table(spark, d, "hinglish_spot_check")).select("line_no")
 
 
+_ALL_TRUE = " AND ".join(f"coalesce(json_type(v->'{a}'->'{b}') = 'BOOLEAN' AND (v->'{a}'->>'{b}') = 'true', false)" for a, b in (("delivery", "multiturn"), ("delivery", "language_mix"), ("label", "contains_violation")))
+
+
+@query(f"WITH j AS (SELECT line_no, raw, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM raw_examples) SELECT line_no, raw FROM j WHERE NOT ({_ALL_TRUE})")
+def delete_flagged_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same on lines as delivered: what cannot be parsed stays word for word."""
+    return curation.delete_flagged_lines(table(spark, d, "raw_examples").select("line_no", "raw"))
+
+
+@query(
+    """WITH r AS (SELECT line_no, subtype, row_number() OVER (PARTITION BY subtype ORDER BY md5(line_no::VARCHAR), line_no) AS rn,
+                         count(*) OVER (PARTITION BY subtype) AS n, count(*) OVER () AS total FROM hinglish_spot_check)
+       SELECT line_no, subtype FROM r WHERE rn <= greatest(1, floor(n * 200 / total))"""
+)
+def golden_slice(spark: SparkSession, d: str) -> DataFrame:
+    return curation.golden_slice(table(spark, d, "hinglish_spot_check"))[0].select("line_no", "subtype")
+
+
 _IDS = ", ".join(f"('{i}')" for i in K.IDS_TO_REMOVE)
 
 
@@ -477,12 +583,14 @@ def generation_deficit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT line_no, subtype || '_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS id
-       FROM (SELECT line_no, subtype, row_number() OVER (PARTITION BY subtype ORDER BY line_no) - 1 AS n FROM hinglish_spot_check WHERE subtype IS NOT NULL)"""
+    """SELECT line_no, h.subtype || '_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS id
+       FROM (SELECT h.line_no, h.subtype, coalesce(target, 0) + row_number() OVER (PARTITION BY h.subtype ORDER BY line_no) - 1 AS n
+             FROM hinglish_spot_check h LEFT JOIN subtype_targets t ON t.subtype = h.subtype) h"""
 )
 def assign_ids(spark: SparkSession, d: str) -> DataFrame:
-    corpus = table(spark, d, "hinglish_spot_check").filter("subtype IS NOT NULL")
-    return curation.assign_ids(corpus, corpus.select("subtype").distinct().withColumn("have", F.lit(0))).select("line_no", "id")
+    """Ids that go on behind what is there; the targets stand for the number of earlier records."""
+    have = table(spark, d, "subtype_targets").select("subtype", F.col("target").alias("have"))
+    return curation.assign_ids(table(spark, d, "hinglish_spot_check"), have).select("line_no", "id")
 
 
 @query(
@@ -495,8 +603,92 @@ def language_mix_chunks(spark: SparkSession, d: str) -> DataFrame:
     return s.select("line_no", "chunk", "place")
 
 
-@query()
+_CHUNKS = ORACLE["language_mix_chunks"]
+
+
+@query(
+    f"""SELECT id || '_hi' AS id, intent, subtype, CASE WHEN delivery IS NOT NULL THEN delivery.multiturn END AS multiturn, CASE WHEN delivery IS NOT NULL THEN true END AS language_mix,
+          array_to_string(list_transform(turns, lambda t: coalesce(t.speaker, '') || ': ' || coalesce('yaar, ' || t.text, '')), chr(10)) AS chat, id AS derived_from
+        FROM hinglish_spot_check JOIN ({_CHUNKS}) USING (line_no) WHERE place < 8"""
+)
 def derive_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Rewritten records: a rewriter that puts a word in front and leaves out the last two of each chunk stands in."""
     s = curation.language_mix_sample(table(spark, d, "hinglish_spot_check"))
-    replies = s.select("chunk", "place", "turns", "label")  # a rewriting provider's replies would stand here
-    return curation.derive_mixed(s, replies)
+    mixed = F.transform("turns", lambda t: F.when(t.isNotNull(), F.struct(t["speaker"].alias("speaker"), F.concat(F.lit("yaar, "), t["text"]).alias("text"))))
+    out = curation.derive_mixed(s, s.filter("place < 8").select("chunk", "place", mixed.alias("turns"), "label"))
+    return out.select(
+        "id", "intent", "subtype", F.col("delivery.multiturn").alias("multiturn"), F.col("delivery.language_mix").alias("language_mix"), X.render_turns(F.col("turns")).alias("chat"),
+        F.col("metadata")["derived_from"].alias("derived_from"),
+    )
+
+
+_REQUESTS_SQL = """WITH h AS (SELECT subtype, count(*) AS have, arg_min(turns[1].text, line_no) AS shown FROM hinglish_spot_check GROUP BY 1),
+    q AS (SELECT t.subtype, coalesce(have, 0) AS have, least(target - coalesce(have, 0), 25) AS next_batch, shown FROM subtype_targets t LEFT JOIN h ON h.subtype = t.subtype WHERE target > coalesce(have, 0))
+    """
+
+
+@query(_REQUESTS_SQL + "SELECT subtype, have, next_batch, 'Write ' || next_batch || ' more conversations like these: ' || CASE WHEN shown IS NULL THEN '[]' ELSE to_json([shown])::VARCHAR END AS prompt FROM q")
+def generation_requests(spark: SparkSession, d: str) -> DataFrame:
+    return generation.requests(table(spark, d, "hinglish_spot_check"), table(spark, d, "subtype_targets"), 25)
+
+
+@query(
+    _REQUESTS_SQL
+    + """, g AS (SELECT subtype, have, k, subtype || ' request ' || CASE WHEN k % 4 = 0 THEN 0 ELSE k END AS text FROM (SELECT *, unnest(generate_series(0, next_batch - 1)) AS k FROM q)),
+         f AS (SELECT subtype, have, text, min(k) AS k FROM g GROUP BY ALL),
+         n AS (SELECT *, have + row_number() OVER (PARTITION BY subtype ORDER BY k) - 1 AS no FROM f)
+         SELECT subtype || '_' || CASE WHEN no < 10000 THEN lpad(no::VARCHAR, 4, '0') ELSE no::VARCHAR END AS id, subtype, text FROM n"""
+)
+def generation_round(spark: SparkSession, d: str) -> DataFrame:
+    """One batch for each subtype that lacks records, from the stand-in generator: parsed, deduplicated, numbered."""
+    made = generation.generate_round(table(spark, d, "hinglish_spot_check"), table(spark, d, "subtype_targets"), 25)
+    return made.select("id", "subtype", F.get("turns.text", F.lit(0)).alias("text"))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT row_number() OVER (ORDER BY line_no) AS line_no, coalesce(raw, '') AS raw FROM raw_examples")
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as lines over several files and numbered again in file order."""
+    path = scratch(spark, "lines")
+    rows = table(spark, d, "raw_examples").select("line_no", F.coalesce("raw", F.lit("")).alias("raw"))
+    rows.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("raw").write.text(path)
+    return files.read_lines(spark, path)
+
+
+@query("SELECT id, category, array_to_string(list_transform(turns, lambda t: coalesce(t.speaker, '') || ': ' || coalesce(t.text, '')), chr(10)) AS chat FROM testcases")
+def file_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The suite written as JSON, rewritten in place and read back."""
+    path = scratch(spark, "cases")
+    files.write_jsonl(table(spark, d, "testcases").select("id", "category", "turns", F.lit(1).alias("extra")), path)
+    files.rewrite(spark.read.schema(files.CASES).json(path), path, source="json")
+    got = files.read_corpus(spark, path, files.CASES)
+    return got.select("id", "category", X.render_turns(F.col("turns")).alias("chat"))
+
+
+@query(
+    "SELECT msg_id, logged_at, tier, score, features.max_digit_run AS max_digit_run, features.history_score AS history_score, action, reason FROM decision_log "
+    "UNION ALL SELECT msg_id, logged_at, tier, score, features.max_digit_run, features.history_score, action, reason FROM decision_log"
+)
+def file_log(spark: SparkSession, d: str) -> DataFrame:
+    """The decision log appended twice and read back."""
+    path = scratch(spark, "log")
+    log = table(spark, d, "decision_log")
+    for _ in range(2):
+        files.append_log(log, path)
+    got = spark.read.schema(log.schema).json(path)
+    return got.select("msg_id", "logged_at", "tier", "score", "features.max_digit_run", "features.history_score", "action", "reason")
+
+
+_SEEN_KEY = _KEY_SQL.format("t.text")
+
+
+@query(
+    f"SELECT 'subtype' AS what, subtype AS name, count(*) AS n FROM hinglish_spot_check GROUP BY 2 "
+    f"UNION ALL SELECT 'turn', {_SEEN_KEY}, 1 FROM (SELECT unnest(turns) AS t FROM hinglish_spot_check) WHERE {_SEEN_KEY} IS NOT NULL GROUP BY ALL"
+)
+def resume_scan(spark: SparkSession, d: str) -> DataFrame:
+    """What a resumed generation knows: records per subtype and the keys of all turns."""
+    have, keys = files.resume(table(spark, d, "hinglish_spot_check"))
+    return have.select(F.lit("subtype").alias("what"), F.col("subtype").alias("name"), F.col("have").alias("n")).unionByName(keys.select(F.lit("turn").alias("what"), F.col("key").alias("name"), F.lit(1).cast("long").alias("n")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -68,6 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Hold a reused intermediate on local disk; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
