@@ -54,12 +54,51 @@ def test_json_rows_match_a_recursive_walk(spark):
 
 def test_json_tables_link_children_to_parents(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "line_no long, raw string")
-    rows = N.json_rows(df, "line_no", "raw", ARRAYS, TEXT)
-    plan = N.json_plan(N.json_schema(rows))
-    spans = N.json_table(rows, plan["turns_spans"]).collect()
+    t = N.json_tables(df, "line_no", "raw", ARRAYS, TEXT)
+    spans = t.table("turns_spans").collect()
     assert {(r.record_key, r.parent_path, r.path, r.position) for r in spans} == {(0, "turns.1", "turns.1.spans.1", 1), (1, "turns.1", "turns.1.spans.1", 1)}
-    assert {r.f_rule for r in N.json_table(rows, plan["turns_spans_hits"]).collect()} == {"1", None}
-    assert {r.path for r in rows.filter("record_key = 9").collect()} == {"", "tree.tree"}  # recursive objects get rows
+    assert {r.f_rule for r in t.table("turns_spans_hits").collect()} == {"1", None}
+    assert {r.path for r in t.rows.filter("record_key = 9").collect()} == {"", "tree", "tree.tree"}  # recursive objects share one table
+    assert t.table("records").filter("record_key = 2").first().f_label == "plain"  # a scalar in an object's place
+
+
+def scalars(v):
+    if isinstance(v, dict):
+        return sum((scalars(x) for x in v.values()), [])
+    if isinstance(v, list):
+        return sum((scalars(x) for x in v), [])
+    return [] if v is None else [str(v)]
+
+
+def test_no_scalar_is_lost_in_json(spark):
+    records = [
+        {"addr": {"x": "1"}, "b": {"addr": {"x": "2", "y": "3"}}, "list": [{"addr": {"x": "4"}}, {"addr": [{"x": "5"}]}, "6"]},
+        {"node": {"v": "7", "node": {"v": "8", "kids": [{"node": {"v": "9"}}]}}, "a_b": "10", "a": {"b": "11"}, "a.b": "12"},
+        {"list": [["13", ["14"]], [], {"value": "15"}], "addr": "16", "path": "17", "position": {"path": "18"}}, {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "line_no long, raw string")
+    t = N.json_tables(df, "line_no", "raw")
+    got, paths = [], []
+    for name in t.plans:
+        for r in t.table(name).collect():
+            paths.append((r.record_key, r.path))
+            got += [v for k, v in r.asDict().items() if k.startswith("f_") and v is not None]
+    assert sorted(got) == sorted(sum(map(scalars, records), []))
+    assert len(paths) == len(set(paths)) == t.rows.count()
+    assert {(r.record_key, r.path) for r in t.table("addr").collect()} >= {(0, "addr"), (0, "b.addr"), (0, "list.1.addr"), (0, "list.2.addr.1")}
+
+
+def test_no_scalar_is_lost_in_typed_columns(spark):
+    schema = "k long, addr struct<x:string>, b struct<addr:struct<x:string,y:string>,path:string>, list array<struct<addr:struct<x:string>,path:string,value:string>>, m map<string,struct<addr:struct<x:string>,n:string>>, a_b string, a struct<b:string>"
+    rows = [(1, ("1",), (("2", "3"), "4"), [(("5",), "6", "7"), None, (None, None, None)], {"p": (("8",), "9"), "q": None}, "10", ("11",)), (2, None, None, None, None, None, None)]
+    t = N.inline_typed(spark.createDataFrame(rows, schema), "k", ["addr", "b", "list", "m", "a_b", "a"])
+    got = []
+    for df in t.values():
+        for r in df.collect():
+            got += [str(v) for k, v in r.asDict().items() if k not in N.LINKS and v is not None]
+    assert sorted(got) == sorted([str(i) for i in range(1, 12)] + ["p", "q"])
+    assert sorted((r.record_key, r.parent_path, r.path) for r in t["addr"].collect()) == [(1, "", "addr"), (1, "", "b.addr"), (1, "list.1", "list.1.addr"), (1, "m.p", "m.p.addr")]
+    assert "record_key" in t["records"].columns and {"a_b", "a_b_2"} <= set(t["records"].columns)
 
 
 def test_typed_tables(spark):

@@ -76,8 +76,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     for name in ("turns", "label_options", "metadata"):
         part = flat[name].select(F.lit("hinglish_spot_check").alias("tbl"), F.col("record_key").alias("line_no"), "path")
         rows = part if rows is None else rows.unionByName(part)
-    raw = nested.json_rows(table(spark, d, "raw_examples"), "line_no", "raw", **RAW_SHAPE)
-    elements = raw.filter(F.col("position").isNotNull()).select(F.lit("raw_examples").alias("tbl"), F.col("record_key").alias("line_no"), "path")
+    elements = _raw_tables(spark, d).elements().filter("position IS NOT NULL").select(F.lit("raw_examples").alias("tbl"), F.col("record_key").alias("line_no"), "path")
     # paths are unique within a record and keys within a table, so the rows are distinct without a shuffle
     return rows.unionByName(elements)
 
@@ -117,19 +116,33 @@ def p7_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _corpus_tables(spark, d)["metadata"].select("record_key", "path", "is_null", "name", "value")
 
 
-def _raw_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    rows = nested.json_rows(table(spark, d, "raw_examples"), "line_no", "raw", **RAW_SHAPE)
-    return nested.json_table(rows, nested.json_plan(nested.json_schema(rows))[name])
+def _raw_tables(spark: SparkSession, d: str) -> nested.JsonTables:
+    return nested.json_tables(table(spark, d, "raw_examples"), "line_no", "raw", **RAW_SHAPE)
 
 
-@query()
+_RAW_SQL = _P7_SQL[: _P7_SQL.index("SELECT 'raw_examples'")]
+_FIELDS = lambda *names: ", ".join(f"e->>'{n}' AS f_{n}" for n in names)
+_LINKED = "line_no AS record_key, regexp_replace(path, '\\.[a-z]+\\.[0-9]+$', '') AS parent_path, path, regexp_extract(path, '[0-9]+$')::INTEGER AS \"position\", json_type(e) = 'NULL' AS is_null"
+
+
+def _columns(df: DataFrame, *names: str) -> DataFrame:
+    """The links and the named attributes, null where no row has them."""
+    return df.select(*nested.LINKS, *[F.col(f"f_{n}") if f"f_{n}" in df.columns else F.lit(None).cast("string").alias(f"f_{n}") for n in names])
+
+
+@query(_RAW_SQL + f"SELECT {_LINKED}, {_FIELDS('type', 'start', 'end', 'value', 'confidence')} FROM s")
 def p7_raw_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _raw_table(spark, d, "turns_spans")
+    return _columns(_raw_tables(spark, d).table("turns_spans"), "type", "start", "end", "value", "confidence")
 
 
-@query()
+@query(_RAW_SQL + f"SELECT * REPLACE ('' AS parent_path) FROM (SELECT {_LINKED}, {_FIELDS('reviewer')} FROM r)")
 def p7_raw_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return _raw_table(spark, d, "metadata_review_rounds")
+    return _columns(_raw_tables(spark, d).table("metadata_review_rounds"), "reviewer")
+
+
+@query(_RAW_SQL + f"SELECT {_LINKED}, e->>'$' AS f_value FROM n WHERE json_type(e) NOT IN ('OBJECT', 'ARRAY')")
+def p7_raw_notes(spark: SparkSession, d: str) -> DataFrame:
+    return _columns(_raw_tables(spark, d).table("metadata_review_rounds_notes"), "value")
 
 
 # ---------------------------------------------------------------- moderation
