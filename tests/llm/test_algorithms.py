@@ -1,9 +1,11 @@
 """Near-duplicates, sampling, packing and leakage against brute force."""
 
+import json
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import leakage, neardup, packing, sampling
@@ -107,38 +109,55 @@ def test_sample_meets_its_targets(spark):
     sample = sampling.calibrated_sample(members, want).cache()
     counts = defaultdict(int)
     for r in sample.collect():
-        for c in r.pattern.split("|"):
-            counts[r.plan_id, c] += 1
+        for c in json.loads(r.pattern):
+            counts[r.plan_id, c["category"]] += 1
     for k in [(1, "big_one"), (1, "mid")]:
         assert abs(counts[k] - t[k].wanted) <= 1
     assert counts[1, "small"] == 12 and counts[2, "small"] == 12
     assert sample.groupBy("plan_id", "id").count().filter("count > 1").count() == 0
     rep = {(r.plan_id, r.category): r for r in sampling.sample_report(want, sample).collect()}
     assert rep[1, "small"].sampled == 12 and rep[1, "small"].gap == 4
+    tilts = sampling.calibrate(sampling.unit_patterns(members, want), want)
+    short = {(r.plan_id, r.category) for r in sampling.calibration_report(want, tilts).filter("short").collect()}
+    assert short == {k for k, r in t.items() if r.gap > 0}
     assert sampling.targets(df.limit(0), "id", members.limit(0), plan).filter("gap > 0").count() == 5
+    none = sampling.targets(df.limit(0), "id", members.limit(0), plan).cache()
+    assert sampling.calibrated_sample(members.limit(0), none).count() == 0
+
+
+def test_equal_names_in_two_fields_and_odd_names(spark):
+    rows = [(f"i{k}", ["a|b", 'q"]'][k % 2], ["a|b", "z"][k // 50 % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id string, x string, y string")
+    plan = spark.createDataFrame([(1, "x", "a|b", 25, 1, 40), (1, "x", 'q"]', 25, 1, 40), (1, "y", "a|b", 40, 1, 40), (1, "y", "z", 10, 1, 40)], "plan_id int, field string, category string, share_pct int, min_rows int, sample_pct int")
+    members = sampling.memberships(df, "id", {"x": F.col("x"), "y": F.col("y")})
+    want = sampling.targets(df, "id", members, plan).cache()
+    rep = {(r.field, r.category): (r.wanted, r.sampled) for r in sampling.sample_report(want, sampling.calibrated_sample(members, want)).collect()}
+    assert {k: w for k, (w, _) in rep.items()} == {("x", "a|b"): 40, ("x", 'q"]'): 40, ("y", "a|b"): 64, ("y", "z"): 16}
+    assert all(abs(w - got) <= 2 for w, got in rep.values())
 
 
 def test_newton_solves_overlapping_categories():
     m = np.array([[1, 0], [0, 1], [1, 1]], dtype=float)
     n = np.array([500.0, 300.0, 100.0])
 
-    def moments(lam, b):
-        pi = b * np.exp(m @ lam)
+    def moments(lam):
+        pi = 0.3 * np.exp(m @ lam)
         return m.T @ (n * np.minimum(pi, 1)), m.T @ (m * np.where(pi < 1, n * pi, 0)[:, None])
 
-    lam = sampling.newton(["a", "b"], {"a": 120.0, "b": 200.0}, moments, 0.3)
-    assert np.allclose(moments(np.array([lam["a"], lam["b"]]), 0.3)[0], [120, 200], atol=1e-3)
+    assert np.allclose(moments(sampling.solve(["a", "b"], np.array([120.0, 200.0]), moments))[0], [120, 200], atol=1e-3)
 
 
-def test_pivotal_keeps_expectation_and_size():
-    rng = random.Random(3)
-    hits = Counter()
-    for _ in range(3000):
-        units = [(1, "p", str(k), 0.3, rng.random()) for k in range(10)]
-        got = [u[2] for u in sampling._duel(iter(units), lambda a, b: True) if u[3] > 0.999]
-        assert len(got) == 3
-        hits.update(got)
-    assert all(abs(hits[str(k)] / 3000 - 0.3) < 0.05 for k in range(10))
+@pytest.mark.parametrize("partitions,each", [(1, 10), (8, 5), (64, 1)])
+def test_pivotal_keeps_expectation_and_size(spark, partitions, each):
+    """Every plan is one draw; all go through the whole path of stages."""
+    draws, ids = 2_500, [f"u{k}" for k in range(max(10, partitions * each))]
+    units = spark.range(draws).select(F.col("id").cast("int").alias("plan_id"), F.explode(F.array(*[F.lit(i) for i in ids])).alias("id"))
+    units = units.select("plan_id", F.concat(F.lit("p"), F.expr("ascii(substr(id, 2)) % 2")).alias("pattern"), "id", F.lit(0.3).alias("p"))
+    got = sampling.pivotal(units, partitions=partitions).cache()
+    hits = {r["id"]: r["count"] / draws for r in got.groupBy("id").count().collect()}
+    assert all(abs(hits[i] - 0.3) < 0.04 for i in ids), hits
+    sizes = [r["count"] for r in got.groupBy("plan_id").count().collect()]
+    assert set(sizes) <= {int(0.3 * len(ids) + 1e-9), -int(-0.3 * len(ids) // 1)} and abs(np.mean(sizes) - 0.3 * len(ids)) < 0.05
 
 
 # ---------------------------------------------------------------- 8

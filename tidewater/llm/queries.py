@@ -86,8 +86,23 @@ _PLAN_SQL = """WITH m AS (
 
 @query(_PLAN_SQL + "SELECT plan_id, category FROM t WHERE available < wanted")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    _, wanted = _plan_inputs(spark, d)
-    return wanted.filter("gap > 0").select("plan_id", "category")
+    """Categories that the calibrated sample cannot fill."""
+    members, wanted = _plan_inputs(spark, d)
+    wanted = cut(wanted)
+    tilts = sampling.calibrate(sampling.unit_patterns(members, wanted), wanted)
+    return sampling.calibration_report(wanted, tilts).filter("short").select("plan_id", "category")
+
+
+@query(
+    _PLAN_SQL
+    + """SELECT plan_id, category, wanted, CASE WHEN available < wanted THEN available ELSE wanted END AS expected FROM t"""
+)
+def p2_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each category of the calibrated sample has: what is wanted, or all there are."""
+    members, wanted = _plan_inputs(spark, d)
+    wanted = cut(wanted)
+    tilts = sampling.calibrate(sampling.unit_patterns(members, wanted), wanted)
+    return sampling.calibration_report(wanted, tilts).select("plan_id", "category", "wanted", F.round("expected").cast("long").alias("expected"))
 
 
 @query(_PLAN_SQL + "SELECT plan_id, field, category, wanted, available, greatest(wanted - available, 0) AS gap FROM t")

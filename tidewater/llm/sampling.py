@@ -3,34 +3,36 @@
 A plan names, per category, its share of the sample and a minimum of rows. Wanted = the larger of the minimum and
 floor(floor(N x sample_pct / 100) x share_pct / 100), N the number of distinct ids.
 
-1. Units (distinct ids) are grouped by their pattern, the set of the plan's categories they belong to; the group sizes
-   are the only moments needed and come from one distributed aggregation.
+1. Units (distinct ids) are grouped by their pattern, the set of the plan's (field, category) pairs they belong to; the
+   group sizes are the only moments needed and come from one distributed aggregation.
 2. Calibration: inclusion probabilities min(1, n/N * exp(lambda . pattern)); lambda solves the dual of exponential
-   tilting by damped Newton steps, each from moments summed over the patterns. Categories that must be taken whole are
-   fixed at probability 1 before.
+   tilting by damped Newton steps. Each step sums moments over the patterns in one job for all plans; only one row per
+   plan and pair of categories comes back. Categories that must be taken whole are fixed at probability 1.
 3. Selection: the pivotal method. Each partition fights its units pairwise, pattern by pattern, and leaves at most one
-   undecided unit per plan and pattern; those few fight again, per plan, in pattern order. Counts of a category differ
-   from their calibrated sums by less than one per pattern, and by nothing where each unit has one category.
-4. The report sets wanted, available and sampled rows side by side.
+   undecided unit per plan and pattern. Those few fight on in a tree: survivors of 32 partitions at a time, then
+   patterns in 4096 cells, then the cells of a plan. Every duel draws a number of its own, a hash of the seed, the
+   stage and both units, so a unit that survives has not spent its chance. Counts of a category differ from their
+   calibrated sums by less than one per pattern, and by nothing where each unit has one category.
+4. The report sets wanted, available, calibrated and sampled rows side by side.
 
 Defined results: units with a null id, or without a category of the plan, are never drawn; repeated rows of an id are
-one unit; an id that has several categories counts for each; an empty table gives an empty sample and a report in
-which every category with a target falls short.
+one unit; an id that has several categories counts for each; equal names in two fields are two categories, and names
+may hold any character; an empty table gives an empty sample and a report in which every category with a target falls
+short.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.runtime import cut, spread
-
-#: Patterns up to this number are calibrated from a collected summary; beyond it each Newton step aggregates in Spark.
-PATTERNS_ON_DRIVER = 20_000
+from tidewater.runtime import cut, parallelism
 
 
 def category_name(c: Column) -> Column:
@@ -59,85 +61,103 @@ def targets(df: DataFrame, key: str, members: DataFrame, plan: DataFrame) -> Dat
     )
 
 
+PAIR = "array<struct<field:string,category:string>>"
+
+
 def unit_patterns(members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(plan_id, pattern, id): pattern = sorted categories of the unit that the plan names."""
+    """(plan_id, id, pattern): pattern = JSON text of the sorted (field, category) pairs of the unit that the plan names."""
     p = wanted.select("plan_id", "field", "category")
-    return members.join(p, ["field", "category"]).groupBy("plan_id", "id").agg(F.sort_array(F.collect_set("category")).alias("pattern"))
+    pairs = members.join(p, ["field", "category"]).groupBy("plan_id", "id").agg(F.sort_array(F.collect_set(F.struct("field", "category"))).alias("pairs"))
+    return pairs.select("plan_id", "id", F.to_json("pairs").alias("pattern"))
+
 
+@dataclass
+class Tilt:
+    """What calibration found for a plan: lambda by (field, category), the base rate, the categories taken whole, and
+    the expected rows of each category."""
 
-def newton(cats: list[str], goal: dict[str, float], moments, base: float, steps: int = 60) -> dict[str, float]:
-    """lambda per category. `moments(lam)` gives (sums, hessian) of min(1, base exp(lam . pattern)) over all units."""
+    lam: dict[tuple[str, str], float]
+    base: float
+    whole: set[tuple[str, str]]
+    expected: dict[tuple[str, str], float]
+
+
+def solve(cats: list, goal: np.ndarray, moments: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], steps: int = 60) -> np.ndarray:
+    """lambda of one plan by `newton_step`s; `moments(lam)` gives sums and hessian of min(1, base exp(lam . pattern))."""
     lam = np.zeros(len(cats))
-    want = np.array([goal[c] for c in cats], dtype=float)
     for _ in range(steps):
-        sums, hess = moments(lam, base)
-        miss = want - sums
-        if np.all(np.abs(miss) <= 1e-6 * np.maximum(1, want)):
+        sums, hess = moments(lam)
+        if settled(goal, sums):
             break
-        step = np.linalg.lstsq(hess + 1e-9 * np.eye(len(cats)), miss, rcond=None)[0]
-        lam = np.clip(lam + np.clip(step, -2, 2), -50, 50)
-    return {c: float(x) for c, x in zip(cats, lam)}
-
-
-def calibrate(patterns: DataFrame, wanted: DataFrame) -> dict[int, tuple[dict[str, float], float, set[str]]]:
-    """plan_id -> (lambda by category, base rate, categories taken whole). The plan and its patterns are small: the
-    plan is a parameter table, and patterns are summarised before anything reaches the driver."""
-    sums = patterns.groupBy("plan_id", "pattern").agg(F.count("*").alias("n"))
-    summary = sums.limit(PATTERNS_ON_DRIVER + 1).collect()
-    on_driver = len(summary) <= PATTERNS_ON_DRIVER
-    out = {}
-    by_plan: dict[int, list] = {}
-    for r in wanted.collect():
-        by_plan.setdefault(r["plan_id"], []).append(r)
-    for plan_id, rows in by_plan.items():
-        whole = {r["category"] for r in rows if r["wanted"] >= r["available"]}
-        cats = sorted({r["category"] for r in rows} - whole)
-        goal = {r["category"]: float(r["wanted"]) for r in rows}
-        groups = [(frozenset(r["pattern"]), r["n"]) for r in summary if r["plan_id"] == plan_id]
-        base = max(1e-12, sum(r["wanted"] for r in rows) / max(1, sum(n for _, n in groups)))
-        if on_driver:
-            full = [(p, n) for p, n in groups if p & whole]
-            free = [(p, n) for p, n in groups if not p & whole]
-            for c in cats:  # units taken anyway serve their other categories too
-                goal[c] -= sum(n for p, n in full if c in p)
-            m = np.array([[c in p for c in cats] for p, _ in free], dtype=float).reshape(len(free), len(cats))
-            n = np.array([x for _, x in free], dtype=float)
-
-            def moments(lam, b, m=m, n=n):
-                pi = b * np.exp(m @ lam)
-                inside = np.where(pi < 1, n * pi, 0)
-                return m.T @ (n * np.minimum(pi, 1)), m.T @ (m * inside[:, None])
-        else:
-            mine = sums.filter(F.col("plan_id") == plan_id)
-
-            def moments(lam, b, mine=mine, cats=cats, whole=whole):
-                on = [F.array_contains("pattern", c).cast("double") for c in cats]
-                taken = F.arrays_overlap("pattern", F.array(*[F.lit(w) for w in whole])) if whole else F.lit(False)
-                pi = F.when(taken, F.lit(2.0)).otherwise(F.lit(b) * F.exp(sum((o * float(x) for o, x in zip(on, lam)), F.lit(0.0))))
-                cols = [F.sum(F.col("n") * F.least(pi, F.lit(1.0)) * o).alias(f"s{i}") for i, o in enumerate(on)]
-                cols += [F.sum(F.when(pi < 1, F.col("n") * pi * on[i] * on[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(len(on)) for j in range(len(on))]
-                got = mine.agg(*cols).first()
-                k = len(cats)
-                return np.array([got[f"s{i}"] or 0.0 for i in range(k)]), np.array([[got[f"h{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-
-        goal = {c: max(0.0, goal[c]) for c in cats}
-        lam = newton(cats, goal, moments, base) if cats else {}
-        out[plan_id] = (lam, base, whole)
-    return out
-
-
-def inclusion(tilts: dict[int, tuple[dict[str, float], float, set[str]]]) -> Column:
-    """The inclusion probability as a Column over (plan_id, pattern)."""
+        lam = newton_step(lam, goal, sums, hess)
+    return lam
+
+
+def settled(goal: np.ndarray, sums: np.ndarray) -> bool:
+    return bool(np.all(np.abs(goal - sums) <= 1e-6 * np.maximum(1, goal)))
+
+
+def newton_step(lam: np.ndarray, goal: np.ndarray, sums: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    step = np.linalg.lstsq(hess + 1e-9 * np.eye(len(lam)), goal - sums, rcond=None)[0]
+    return np.clip(lam + np.clip(step, -2, 2), -50, 50)
+
+
+def _literal(pair: tuple[str, str]) -> Column:
+    return F.struct(F.lit(pair[0]).alias("field"), F.lit(pair[1]).alias("category"))
+
+
+def inclusion(tilts: dict[int, Tilt], pairs: Column) -> Column:
+    """The inclusion probability as a Column over plan_id and the unit's (field, category) pairs."""
     p = F.lit(0.0)
-    for plan_id, (lam, base, whole) in tilts.items():
-        score = sum((F.array_contains("pattern", c).cast("double") * float(x) for c, x in lam.items()), F.lit(0.0))
-        tilt = F.least(F.lit(base) * F.exp(score), F.lit(1.0))
-        if whole:
-            tilt = F.when(F.arrays_overlap("pattern", F.array(*[F.lit(c) for c in sorted(whole)])), 1.0).otherwise(tilt)
+    for plan_id, t in tilts.items():
+        score = sum((F.array_contains(pairs, _literal(c)).cast("double") * float(x) for c, x in t.lam.items()), F.lit(0.0))
+        tilt = F.least(F.lit(t.base) * F.exp(score), F.lit(1.0))
+        if t.whole:
+            tilt = F.when(F.arrays_overlap(pairs, F.array(*[_literal(c) for c in sorted(t.whole)])), 1.0).otherwise(tilt)
         p = F.when(F.col("plan_id") == plan_id, tilt).otherwise(p)
     return p
 
 
+def calibrate(patterns: DataFrame, wanted: DataFrame, steps: int = 60) -> dict[int, Tilt]:
+    """The tilt of every plan. The plan is a parameter table; of the units only moments reach the driver: per step one
+    row for each plan and pair of its categories, at any number of patterns."""
+    sums = cut(patterns.groupBy("plan_id", "pattern").agg(F.count("*").alias("n"))).withColumn("pairs", F.from_json("pattern", PAIR))
+    sizes = {r["plan_id"]: r["n"] for r in sums.groupBy("plan_id").agg(F.sum("n").alias("n")).collect()}
+    rows: dict[int, list] = {}
+    for r in wanted.collect():
+        rows.setdefault(r["plan_id"], []).append(r)
+    name = lambda r: (r["field"], r["category"])
+    tilts, goal = {}, {}
+    for plan_id, plan in rows.items():
+        whole = {name(r) for r in plan if r["wanted"] >= r["available"]}
+        base = max(1e-12, sum(r["wanted"] for r in plan) / max(1, sizes.get(plan_id, 0)))
+        tilts[plan_id] = Tilt({name(r): 0.0 for r in sorted(plan, key=name) if name(r) not in whole}, base, whole, {name(r): 0.0 for r in plan})
+        goal[plan_id] = np.array([float(r["wanted"]) for r in sorted(plan, key=name) if name(r) not in whole])
+    open_ = set(tilts)
+    for step in range(steps + 1):
+        # units of whole categories count with 1 and leave the hessian alone
+        pi = inclusion({k: tilts[k] for k in open_}, F.col("pairs"))
+        moved = sums.filter(F.col("plan_id").isin(*open_)).withColumn("pi", pi)
+        crossed = moved.select("plan_id", "n", "pi", "pairs", F.explode("pairs").alias("x")).select("plan_id", "n", "pi", "x", F.explode("pairs").alias("y"))
+        per = crossed.groupBy("plan_id", "x", "y").agg(F.sum(F.col("n") * F.col("pi")).alias("s"), F.sum(F.when(F.col("pi") < 1, F.col("n") * F.col("pi")).otherwise(0.0)).alias("h"))
+        got: dict[int, dict] = {k: {} for k in open_}
+        for r in per.collect():
+            got[r["plan_id"]][tuple(r["x"]), tuple(r["y"])] = (r["s"], r["h"])
+        for plan_id in sorted(open_):
+            t, m = tilts[plan_id], got[plan_id]
+            t.expected = {c: m.get((c, c), (0.0, 0.0))[0] for c in t.expected}
+            cats = list(t.lam)
+            have = np.array([t.expected[c] for c in cats])
+            if settled(goal[plan_id], have) or not cats:
+                open_.discard(plan_id)
+            elif step < steps:
+                hess = np.array([[m.get((a, b), (0.0, 0.0))[1] for b in cats] for a in cats])
+                t.lam = dict(zip(cats, newton_step(np.array(list(t.lam.values())), goal[plan_id], have, hess).tolist()))
+        if not open_:
+            break
+    return tilts
+
+
 EPS = 1e-9
 
 
@@ -151,9 +171,14 @@ def fight(pa: float, pb: float, u: float) -> tuple[float, float]:
     return (1.0, s - 1) if u * (2 - s) < 1 - pb else (s - 1, 1.0)
 
 
-def _duel(stream: Iterator[tuple], same) -> Iterator[tuple]:
-    """Runs the units (plan, pattern, id, p, u) through duels among units that are `same`; yields decided units
-    (p is 0 or 1) and, at each change, the undecided rest."""
+def uniform(seed: int, stage: int, plan: int, *ids: str) -> float:
+    """A number in (0, 1) that belongs to one stage and these units."""
+    return (xxhash.xxh3_64_intdigest("\0".join(map(str, (seed, stage, plan, *ids)))) + 0.5) / float(1 << 64)
+
+
+def duel(stream: Iterator[tuple], same: Callable[[tuple, tuple], bool], seed: int, stage: int) -> Iterator[tuple]:
+    """Runs the units (plan, pattern, id, p, cell) through duels among units that are `same`; yields decided units (p is
+    0 or 1) and, at each change, the undecided rest. Each duel has its own number, whatever its units went through."""
     held = None
     for unit in stream:
         if unit[3] >= 1 - EPS or unit[3] <= EPS:
@@ -164,7 +189,7 @@ def _duel(stream: Iterator[tuple], same) -> Iterator[tuple]:
                 yield held
             held = unit
             continue
-        a, b = fight(held[3], unit[3], unit[4])
+        a, b = fight(held[3], unit[3], uniform(seed, stage, unit[0], held[2], unit[2]))
         rest = None
         for x, p in ((held, a), (unit, b)):
             if EPS < p < 1 - EPS:
@@ -176,53 +201,76 @@ def _duel(stream: Iterator[tuple], same) -> Iterator[tuple]:
         yield held
 
 
-OUT = "plan_id int, pattern string, id string, p double, u double"
+NAMES = ["plan_id", "pattern", "id", "p", "cell"]
+OUT = "plan_id int, pattern string, id string, p double, cell long"
+FAN_IN, CELLS = 32, 4096
 
 
-def pivotal(units: DataFrame) -> DataFrame:
-    """Units (plan_id, pattern, id, p, u) with p decided to 0 or 1, u a uniform number of each unit."""
-    part = spread(units, "id")
+def pivotal(units: DataFrame, seed: int = 7, partitions: int | None = None) -> DataFrame:
+    """The chosen units, p = 1, of (plan_id, pattern, id, p)."""
+    n = partitions or parallelism(units.sparkSession)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for b in batches for r in b.itertuples(index=False, name=None))
         chunk = []
-        for r in _duel(rows, lambda x, y: x[:2] == y[:2]):
+        for r in duel(rows, lambda x, y: x[:2] == y[:2], seed, 0):
             if r[3] > 0:
                 chunk.append(r)
             if len(chunk) >= 20_000:
-                yield pd.DataFrame(chunk, columns=["plan_id", "pattern", "id", "p", "u"])
+                yield pd.DataFrame(chunk, columns=NAMES)
                 chunk = []
-        yield pd.DataFrame(chunk, columns=["plan_id", "pattern", "id", "p", "u"])
+        yield pd.DataFrame(chunk, columns=NAMES)
 
+    laid = units.select("plan_id", "pattern", "id", "p").repartition(n, "id").withColumn("cell", F.spark_partition_id().cast("long"))
     # both branches below must see the same duels
-    first = cut(part.sortWithinPartitions("plan_id", "pattern", "id").mapInPandas(local, OUT))
-    done, open_ = first.filter(F.col("p") >= 1), first.filter(F.col("p") < 1)
+    first = cut(laid.sortWithinPartitions("plan_id", "pattern", "id").mapInPandas(local, OUT))
+    left = first.filter(F.col("p") < 1)
+
+    def among(keys: list[str], by_pattern: bool, stage: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["pattern", "cell", "id"])
+            same = (lambda x, y: x[:2] == y[:2]) if by_pattern else (lambda x, y: True)
+            rows = [r for r in duel(pdf[NAMES].itertuples(index=False, name=None), same, seed, stage) if r[3] > 0]
+            return pd.DataFrame(rows, columns=NAMES)
+
+        return run
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pattern", "id"])
-        rows = list(_duel(pdf.itertuples(index=False, name=None), lambda x, y: x[:2] == y[:2]))
-        rest = sorted((r for r in rows if EPS < r[3] < 1 - EPS), key=lambda r: r[1])
-        rows = [r for r in rows if not EPS < r[3] < 1 - EPS] + list(_duel(iter(rest), lambda x, y: True))
-        return pd.DataFrame([(*r[:3], 1.0 if r[3] > r[4] else 0.0, r[4]) if EPS < r[3] < 1 - EPS else r for r in rows], columns=pdf.columns)
+    stage, width = 1, n
+    while width > 1:  # one survivor per partition and pattern, then per 32 partitions, and so on
+        left = left.withColumn("cell", F.floor(F.col("cell") / FAN_IN)).groupBy("plan_id", "pattern", "cell").applyInPandas(among(["plan_id", "pattern", "cell"], True, stage), OUT)
+        stage, width = stage + 1, -(-width // FAN_IN)
+    cells = left.withColumn("cell", F.pmod(F.xxhash64("pattern"), F.lit(CELLS))).groupBy("plan_id", "cell")
+    left = cells.applyInPandas(among(["plan_id", "cell"], False, stage), OUT)
 
-    # at most one undecided unit per partition, plan and pattern: its size follows the cluster, not the data
-    last = open_.groupBy("plan_id").applyInPandas(final, OUT).filter(F.col("p") >= 1)
-    return done.unionByName(last)
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = among(["plan_id"], False, stage + 1)(pdf)
+        lone = [uniform(seed, stage + 2, plan, i) < p for plan, i, p in zip(got["plan_id"], got["id"], got["p"])]
+        return got[np.array(lone, dtype=bool)].assign(p=1.0)
 
+    final = left.groupBy("plan_id").applyInPandas(last, OUT)
+    return first.filter(F.col("p") >= 1).unionByName(final).select("plan_id", "pattern", "id")
 
-def calibrated_sample(members: DataFrame, wanted: DataFrame, seed: int = 7) -> DataFrame:
-    """(plan_id, id, pattern, probability) of the drawn units. `members` and `wanted` should be materialised."""
+
+def calibrated_sample(members: DataFrame, wanted: DataFrame, seed: int = 7, tilts: dict[int, Tilt] | None = None) -> DataFrame:
+    """(plan_id, id, pattern) of the drawn units. `members` and `wanted` should be materialised."""
     patterns = unit_patterns(members, wanted)
-    p = inclusion(calibrate(patterns, wanted))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "plan_id", "id"), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    units = patterns.select(F.col("plan_id").cast("int").alias("plan_id"), F.concat_ws("|", "pattern").alias("pattern"), "id", p.alias("p"), u.alias("u")).filter("p > 0")
-    return pivotal(units).select("plan_id", "id", "pattern")
+    p = inclusion(tilts if tilts is not None else calibrate(patterns, wanted), F.from_json("pattern", PAIR))
+    return pivotal(patterns.select(F.col("plan_id").cast("int").alias("plan_id"), "pattern", "id", p.alias("p")).filter("p > 0"), seed)
+
+
+def calibration_report(wanted: DataFrame, tilts: dict[int, Tilt]) -> DataFrame:
+    """`wanted` with the rows that each category is expected to have after calibration, and whether it falls short. A
+    category that is taken whole and still too small is short; so is one whose target no tilt reaches."""
+    rows = [(int(k), f, c, float(x)) for k, t in tilts.items() for (f, c), x in t.expected.items()]
+    expected = wanted.sparkSession.createDataFrame(rows, "plan_id int, field string, category string, expected double")
+    out = wanted.join(expected, ["plan_id", "field", "category"], "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+    return out.withColumn("short", F.col("expected") < F.col("wanted") - 0.5)
 
 
 def sample_report(wanted: DataFrame, sample: DataFrame) -> DataFrame:
     """wanted, available and sampled rows per category, and the share reached."""
-    drawn = sample.select("plan_id", F.explode(F.split("pattern", r"\|")).alias("category")).groupBy("plan_id", "category").agg(F.count("*").alias("sampled"))
+    drawn = sample.select("plan_id", F.explode(F.from_json("pattern", PAIR)).alias("x")).groupBy("plan_id", "x.field", "x.category").agg(F.count("*").alias("sampled"))
     size = sample.groupBy("plan_id").agg(F.count("*").alias("size"))
-    rows = wanted.join(drawn, ["plan_id", "category"], "left").join(size, "plan_id", "left")
+    rows = wanted.join(drawn, ["plan_id", "field", "category"], "left").join(size, "plan_id", "left")
     got = F.coalesce("sampled", F.lit(0))
     return rows.select("plan_id", "field", "category", "share_pct", "wanted", "available", "gap", got.alias("sampled"), F.round(100 * got / F.col("size"), 3).alias("reached_pct"))
