@@ -90,7 +90,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     members, wanted = _plan_inputs(spark, d)
     wanted = cut(wanted)
     tilts = sampling.calibrate(sampling.unit_patterns(members, wanted), wanted)
-    return sampling.calibration_report(wanted, tilts).filter("short").select("plan_id", "category")
+    return sampling.calibration_report(wanted, tilts).filter("short AND available < wanted").select("plan_id", "category")
 
 
 @query(

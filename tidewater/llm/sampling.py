@@ -82,24 +82,28 @@ class Tilt:
     expected: dict[tuple[str, str], float]
 
 
-def solve(cats: list, goal: np.ndarray, moments: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], steps: int = 60) -> np.ndarray:
-    """lambda of one plan by `newton_step`s; `moments(lam)` gives sums and hessian of min(1, base exp(lam . pattern))."""
-    lam = np.zeros(len(cats))
-    for _ in range(steps):
-        sums, hess = moments(lam)
-        if settled(goal, sums):
-            break
-        lam = newton_step(lam, goal, sums, hess)
-    return lam
+class Newton:
+    """Damped Newton steps on the dual of one plan, whose gradient is goal - sums of min(1, base exp(lam . pattern)).
 
+    Units at their cap of 1 have no curvature, so a step may overshoot: the largest step of a category halves whenever
+    its miss changes sign, and grows again where it does not."""
 
-def settled(goal: np.ndarray, sums: np.ndarray) -> bool:
-    return bool(np.all(np.abs(goal - sums) <= 1e-6 * np.maximum(1, goal)))
+    def __init__(self, goal: np.ndarray):
+        self.goal = goal
+        self.lam = np.zeros(len(goal))
+        self.limit = np.full(len(goal), 2.0)
+        self.miss = np.zeros(len(goal))
 
+    def settled(self, sums: np.ndarray) -> bool:
+        return bool(np.all(np.abs(self.goal - sums) <= 1e-6 * np.maximum(1, self.goal)))
 
-def newton_step(lam: np.ndarray, goal: np.ndarray, sums: np.ndarray, hess: np.ndarray) -> np.ndarray:
-    step = np.linalg.lstsq(hess + 1e-9 * np.eye(len(lam)), goal - sums, rcond=None)[0]
-    return np.clip(lam + np.clip(step, -2, 2), -50, 50)
+    def step(self, sums: np.ndarray, curved: np.ndarray, capped: np.ndarray) -> None:
+        """`curved` and `capped` are the sums over pairs of categories of units below and at their cap."""
+        miss = self.goal - sums
+        self.limit = np.where(miss * self.miss < 0, self.limit / 2, np.minimum(2.0, self.limit * 1.5))
+        self.miss = miss
+        move = np.linalg.lstsq(curved + 0.02 * capped + 1e-9 * np.eye(len(miss)), miss, rcond=None)[0]
+        self.lam = np.clip(self.lam + np.clip(move, -self.limit, self.limit), -50, 50)
 
 
 def _literal(pair: tuple[str, str]) -> Column:
@@ -118,41 +122,56 @@ def inclusion(tilts: dict[int, Tilt], pairs: Column) -> Column:
     return p
 
 
-def calibrate(patterns: DataFrame, wanted: DataFrame, steps: int = 60) -> dict[int, Tilt]:
+#: A tilt beyond every cap: categories that are taken whole.
+WHOLE = 1000.0
+
+
+def calibrate(patterns: DataFrame, wanted: DataFrame, steps: int = 100) -> dict[int, Tilt]:
     """The tilt of every plan. The plan is a parameter table; of the units only moments reach the driver: per step one
     row for each plan and pair of its categories, at any number of patterns."""
-    sums = cut(patterns.groupBy("plan_id", "pattern").agg(F.count("*").alias("n"))).withColumn("pairs", F.from_json("pattern", PAIR))
-    sizes = {r["plan_id"]: r["n"] for r in sums.groupBy("plan_id").agg(F.sum("n").alias("n")).collect()}
-    rows: dict[int, list] = {}
-    for r in wanted.collect():
-        rows.setdefault(r["plan_id"], []).append(r)
     name = lambda r: (r["field"], r["category"])
-    tilts, goal = {}, {}
-    for plan_id, plan in rows.items():
-        whole = {name(r) for r in plan if r["wanted"] >= r["available"]}
-        base = max(1e-12, sum(r["wanted"] for r in plan) / max(1, sizes.get(plan_id, 0)))
-        tilts[plan_id] = Tilt({name(r): 0.0 for r in sorted(plan, key=name) if name(r) not in whole}, base, whole, {name(r): 0.0 for r in plan})
-        goal[plan_id] = np.array([float(r["wanted"]) for r in sorted(plan, key=name) if name(r) not in whole])
-    open_ = set(tilts)
+    plans: dict[int, list] = {}
+    for r in sorted(wanted.collect(), key=lambda r: (r["plan_id"], *name(r))):
+        plans.setdefault(r["plan_id"], []).append(r)
+    if not plans:
+        return {}
+    # categories and plans get numbers, so that every step runs the same compiled query over other parameters
+    number = {(k, name(r)): i for i, (k, r) in enumerate(((k, r) for k, rows in plans.items() for r in rows), 1)}
+    by_number = {i: key for key, i in number.items()}
+    keys = F.create_map(*[F.lit(x) for (k, (f, c)), i in number.items() for x in (f"{k}\0{f}\0{c}", i)])
+    at = {k: i for i, k in enumerate(plans, 1)}
+    plan_no = F.create_map(*[F.lit(x) for k, i in at.items() for x in (k, i)])
+    cats = F.transform(F.from_json("pattern", PAIR), lambda x: keys[F.concat_ws("\0", F.col("plan_id").cast("string"), x["field"], x["category"])])
+    sums = patterns.groupBy("plan_id", "pattern").agg(F.count("*").alias("n"))
+    sums = cut(sums.select(plan_no[F.col("plan_id")].alias("plan"), cats.alias("cats"), "n"))
+    sizes = {r["plan"]: r["n"] for r in sums.groupBy("plan").agg(F.sum("n").alias("n")).collect()}
+    tilts = {}
+    for k, rows in plans.items():
+        whole = {name(r) for r in rows if r["wanted"] >= r["available"]}
+        base = max(1e-12, sum(r["wanted"] for r in rows) / max(1, sizes.get(at[k], 0)))
+        tilts[k] = Tilt({name(r): 0.0 for r in rows if name(r) not in whole}, base, whole, {name(r): 0.0 for r in rows})
+    solvers = {k: Newton(np.array([float(r["wanted"]) for r in rows if name(r) in tilts[k].lam])) for k, rows in plans.items()}
+    open_ = set(plans)
     for step in range(steps + 1):
-        # units of whole categories count with 1 and leave the hessian alone
-        pi = inclusion({k: tilts[k] for k in open_}, F.col("pairs"))
-        moved = sums.filter(F.col("plan_id").isin(*open_)).withColumn("pi", pi)
-        crossed = moved.select("plan_id", "n", "pi", "pairs", F.explode("pairs").alias("x")).select("plan_id", "n", "pi", "x", F.explode("pairs").alias("y"))
-        per = crossed.groupBy("plan_id", "x", "y").agg(F.sum(F.col("n") * F.col("pi")).alias("s"), F.sum(F.when(F.col("pi") < 1, F.col("n") * F.col("pi")).otherwise(0.0)).alias("h"))
-        got: dict[int, dict] = {k: {} for k in open_}
-        for r in per.collect():
-            got[r["plan_id"]][tuple(r["x"]), tuple(r["y"])] = (r["s"], r["h"])
-        for plan_id in sorted(open_):
-            t, m = tilts[plan_id], got[plan_id]
-            t.expected = {c: m.get((c, c), (0.0, 0.0))[0] for c in t.expected}
-            cats = list(t.lam)
-            have = np.array([t.expected[c] for c in cats])
-            if settled(goal[plan_id], have) or not cats:
-                open_.discard(plan_id)
+        lam = F.lit([tilts[k].lam.get(c, WHOLE) for k, c in by_number.values()])
+        base = F.lit([t.base for t in tilts.values()])
+        score = F.aggregate("cats", F.lit(0.0), lambda s, x: s + F.element_at(lam, x))
+        pi = F.least(F.lit(1.0), F.element_at(base, F.col("plan")) * F.exp(F.least(score, F.lit(700.0))))
+        moved = sums.select((F.col("n") * pi).alias("s"), (pi >= 1).alias("c"), "cats", F.explode("cats").alias("x")).select("s", "c", "x", F.explode("cats").alias("y"))
+        per = moved.groupBy("x", "y").agg(F.sum("s").alias("s"), F.sum(F.when(F.col("c"), F.col("s")).otherwise(0.0)).alias("c"))
+        got = {(r["x"], r["y"]): (r["s"], r["c"]) for r in per.collect()}
+        for k in sorted(open_):
+            t = tilts[k]
+            no = {c: number[k, c] for c in t.expected}
+            t.expected = {c: got.get((i, i), (0.0, 0.0))[0] for c, i in no.items()}
+            free = list(t.lam)
+            have = np.array([t.expected[c] for c in free])
+            if not free or solvers[k].settled(have):
+                open_.discard(k)
             elif step < steps:
-                hess = np.array([[m.get((a, b), (0.0, 0.0))[1] for b in cats] for a in cats])
-                t.lam = dict(zip(cats, newton_step(np.array(list(t.lam.values())), goal[plan_id], have, hess).tolist()))
+                pairs = np.array([[got.get((no[a], no[b]), (0.0, 0.0)) for b in free] for a in free])
+                solvers[k].step(have, pairs[:, :, 0] - pairs[:, :, 1], pairs[:, :, 1])
+                t.lam = dict(zip(free, solvers[k].lam.tolist()))
         if not open_:
             break
     return tilts
