@@ -176,6 +176,12 @@ def test_windows_hold_every_piece_once(spark):
         assert per[0] <= 2048 and per[1] <= 20 and per[2] <= 2048 * 2048
         assert sorted(map(tuple, w.select("doc_id", "piece_no", "start_token", "n_tokens").collect())) == sorted(map(tuple, parts.collect()))
         assert packing.fill_report(w, 2048).first().unused_share < 0.05
+    # a lower limit of attention binds: windows of two long texts are no longer allowed, a long text stands alone
+    free, bound = packing.pack(parts, 2048).cache(), packing.pack(parts, 2048, attention_share=0.5).cache()
+    assert sorted(map(tuple, bound.drop("window_id").collect())) == sorted(map(tuple, free.drop("window_id").collect()))
+    cost = lambda w: w.groupBy("window_id").agg(F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("q"), F.count("*").alias("c"))
+    assert cost(free).filter(f"c > 1 AND q > {0.5 * 2048**2}").count() > 0 and cost(bound).filter(f"c > 1 AND q > {0.5 * 2048**2}").count() == 0
+    assert bound.select("window_id").distinct().count() > free.select("window_id").distinct().count()
     split = {r.doc_id for r in parts.filter("piece_no > 1").collect()}
     assert split == {i for i, n in rows if n > 2048}
     assert packing.pack(parts.limit(0), 2048).count() == 0

@@ -22,11 +22,26 @@ def test_skeletons():
     assert all(skeleton.skeleton(skeleton.skeleton(chr(c))) == skeleton.skeleton(chr(c)) for c in range(0x20, 0x3000) if not 0xD800 <= c <= 0xDFFF)
 
 
+def test_letters_of_many_scripts():
+    shown = {"к": "k", "ո": "n", "ⲟ": "o", "ꓮ": "A", "ꮯ": "c", "ѵ": "v", "ꜱ": "s", "ʏ": "y", "ᴋ": "k", "ı": "i", "𐐬": "o", "ꮪ": "s", "ԍ": "g", "ꓢ": "S", "𝓪": "a", "ｚ": "z"}
+    for a, b in shown.items():
+        assert skeleton.consistent(a) == b, a
+    assert len(skeleton.LOOK_ALIKES.split()) // 2 <= 200
+
+
+def test_a_confusables_file_extends_the_table(tmp_path):
+    f = tmp_path / "confusables.txt"
+    f.write_text("\ufeff# comment\n0B66 ;\t006F ;\tMA\t# digit\n0031 ; 006C ; MA\n", encoding="utf-8")
+    assert skeleton.consistent("\u0b66k 1", str(f)) == "ok 1" and skeleton.consistent("\u0b66k") == "\u0b66k"
+
+
 def test_look_alike_pairs_are_all_pairs_of_different_variants(spark):
     rows = [(1, ["paypal", "x"]), (2, ["pаypal", "x"]), (3, ["paypal", "x"]), (4, ["paypal"]), (5, None), (6, None), (7, [None]), (8, [""]), (9, ["pаypаl", "x"])]
     df = spark.createDataFrame(rows, "rec_no long, texts array<string>").withColumn("rec", F.lit("clash"))
     got = {(r.rec_a, r.rec_b) for r in skeleton.look_alike_pairs(skeleton.look_alike_groups(df, "rec_no", "texts")).collect()}
     assert got == {(1, 2), (2, 3), (1, 9), (3, 9), (2, 9)}
+    classes = {r.rec: (r.class_rec, r.variant_rec, r.links) for r in skeleton.look_alike_classes(skeleton.look_alike_groups(df, "rec_no", "texts")).collect()}
+    assert classes == {1: (1, 1, 2), 3: (1, 1, 2), 2: (1, 2, 3), 9: (1, 9, 3), 4: (4, 4, 0), 5: (5, 5, 0), 6: (5, 5, 0), 7: (7, 7, 0), 8: (8, 8, 0)}
     assert skeleton.look_alike_pairs(skeleton.look_alike_groups(df.limit(0), "rec_no", "texts")).count() == 0
 
 

@@ -3,7 +3,7 @@
 1. Sizes: each text is measured in tokens of a public tokenizer (its file is a parameter).
 2. Splitting: only a text longer than a window is cut, into full windows and a rest.
 3. Vector best-fit, largest first: a piece asks for tokens, one document slot and attention cost (the square of its
-   length); among the open windows with room in every dimension the rule picks one: `norm` the window whose residual
+   length, within a share of what one full text costs); among the open windows with room in every dimension the rule picks one: `norm` the window whose residual
    after placing has the smallest weighted norm, `dot` the one with the largest weighted dot product of demand and
    residual. Pieces are packed in shards of `shard_pieces` by hash, so shards are bounded at any corpus size; windows
    left emptier than `refill_below` are opened again and packed once more across shards.
@@ -101,16 +101,17 @@ def pack(
     parts: DataFrame,
     capacity: int = 2048,
     max_docs: int = 128,
-    max_attention: float | None = None,
+    attention_share: float = 1.0,
     weights: tuple[float, float, float] = (1.0, 0.1, 0.1),
     rule: str = "norm",
     shard_pieces: int = 20_000,
     refill_below: float = 0.97,
 ) -> DataFrame:
-    """(window_id, doc_id, piece_no, start_token, n_tokens). `parts` should be materialised."""
-    attention = float(max_attention if max_attention is not None else capacity * capacity)
-    if attention < capacity * capacity:
-        raise ValueError("max_attention must admit a full single text: capacity * capacity at least")
+    """(window_id, doc_id, piece_no, start_token, n_tokens). `parts` should be materialised.
+
+    A window's attention cost, the sum of its pieces' squared lengths, stays within `attention_share` x capacity^2. A
+    piece that costs more by itself stands alone."""
+    attention = attention_share * capacity * capacity
     schema = "window_id string, doc_id long, piece_no int, start_token long, n_tokens long"
 
     def packed(df: DataFrame, shards: int, tag: str) -> DataFrame:
@@ -123,14 +124,10 @@ def pack(
         keyed = df.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)))
         return keyed.groupBy("shard").applyInPandas(run, schema)
 
-    full = parts.filter(F.col("n_tokens") == capacity)
-    rest = parts.filter(F.col("n_tokens") < capacity)
-    n = rest.count()
-    first = packed(rest, max(1, -(-n // shard_pieces)), "a")
-    alone = full.select(F.concat(F.lit("f-"), "doc_id", F.lit("-"), "piece_no").alias("window_id"), "doc_id", "piece_no", "start_token", "n_tokens")
-    if n <= shard_pieces:
-        return alone.unionByName(first)
-    first = cut(first)
+    whole = (F.col("n_tokens") >= capacity) | (F.col("n_tokens").cast("double") * F.col("n_tokens") > attention)
+    alone = parts.filter(whole).select(F.concat(F.lit("f-"), "doc_id", F.lit("-"), "piece_no").alias("window_id"), "doc_id", "piece_no", "start_token", "n_tokens")
+    rest = parts.filter(~whole)
+    first = cut(packed(rest, max(1, -(-rest.count() // shard_pieces)), "a"))
     poor = first.groupBy("window_id").agg(F.sum("n_tokens").alias("t")).filter(F.col("t") < refill_below * capacity).select("window_id")
     again = cut(first.join(poor, "window_id", "left_semi").drop("window_id"))
     second = packed(again, max(1, -(-again.count() // shard_pieces)), "b")

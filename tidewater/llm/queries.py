@@ -55,6 +55,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query()
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each record: the smallest record that looks the same, its variant, and how many records look the same
+    in other characters."""
+    out = None
+    for tbl, key in TURN_TABLES:
+        part = skeleton.look_alike_classes(cut(skeleton.look_alike_groups(turn_texts(spark, d, tbl, key), "rec_no", "texts"))).select(F.lit(tbl).alias("tbl"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query()
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     rows = turns_long(spark, d)
@@ -136,20 +147,28 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return packing.pieces(packing.token_sizes(table(spark, d, "documents"), "doc_id", "text"), WINDOW)
 
 
+#: Attention that the texts of one window may cost together, as a share of one text that fills it.
+ATTENTION_SHARE = 0.9
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(cut(_pieces(spark, d)), WINDOW, attention_share=ATTENTION_SHARE)
+
+
 @query()
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that are cut: exactly those longer than a window have a second piece."""
-    return _pieces(spark, d).filter("piece_no = 2").select("doc_id")
+    """Texts that the packing spreads over several windows: exactly those longer than one."""
+    return _windows(spark, d).groupBy("doc_id").agg(F.countDistinct("window_id").alias("n")).filter("n > 1").select("doc_id")
 
 
 @query()
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(cut(_pieces(spark, d)), WINDOW)
+    return _windows(spark, d)
 
 
 @query()
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(packing.pack(cut(_pieces(spark, d)), WINDOW), WINDOW)
+    return packing.fill_report(_windows(spark, d), WINDOW)
 
 
 # ---------------------------------------------------------------- 9: evaluation texts in the corpus

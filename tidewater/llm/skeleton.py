@@ -26,29 +26,51 @@ from pyspark.sql import types as T
 
 from tidewater.runtime import spread
 
-# Letters of other scripts that look like an ASCII letter, in pairs "look-alike letter".
+# Letters of other scripts that look like an ASCII letter, by script, in pairs "look-alike letter".
 LOOK_ALIKES = """
-а a  е e  о o  р p  с c  у y  х x  ѕ s  і i  ј j  һ h  ԁ d  ԛ q  ԝ w  ӏ l  ү y
-А A  В B  Е E  К K  М M  Н H  О O  Р P  С C  Т T  Х X  У Y  Ѕ S  І I  Ј J  Ԁ D  Ԛ Q  Ԝ W  Ү Y  Ӏ I
-α a  ι i  κ k  ν v  ο o  ρ p  υ u  ϲ c  ϳ j
+а a  е e  о o  р p  с c  у y  х x  ѕ s  і i  ј j  һ h  ԁ d  ԛ q  ԝ w  ӏ l  ү y  к k  ѵ v  ԍ g  ь b
+А A  В B  Е E  К K  М M  Н H  О O  Р P  С C  Т T  Х X  У Y  Ѕ S  І I  Ј J  Ԁ D  Ԛ Q  Ԝ W  Ү Y  Ӏ I  Ѵ V  Ԍ G
+α a  ι i  κ k  ν v  ο o  ρ p  υ u  ϲ c  ϳ j  γ y  ω w
 Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X  Ϲ C  Ϳ J
-օ o  ս u  հ h  ց g  զ q  յ j  Օ O  Տ S  Ս U  Լ L
-ɑ a  ɡ g  ᴄ c  ᴏ o  ᴠ v  ᴡ w  ᴢ z
-Ꭺ A  Ᏼ B  Ꮯ C  Ꭰ D  Ꭼ E  Ꮋ H  Ꭻ J  Ꮶ K  Ꮮ L  Ꮇ M  Ꮲ P  Ꭱ R  Ꮪ S  Ꭲ T  Ꮩ V  Ꮃ W  Ꮓ Z
+օ o  ս u  հ h  ց g  զ q  յ j  ո n  ք p  Օ O  Տ S  Ս U  Լ L
+ɑ a  ɡ g  ı i  ɩ i  ɪ i  ʋ u  ʏ y  ᴄ c  ᴋ k  ᴏ o  ᴜ u  ᴠ v  ᴡ w  ᴢ z  ꜱ s  ƅ b  ƽ s  ȷ j  ɯ w
+Ꭺ A  Ᏼ B  Ꮯ C  Ꭰ D  Ꭼ E  Ꮐ G  Ꮋ H  Ꭻ J  Ꮶ K  Ꮮ L  Ꮇ M  Ꮲ P  Ꭱ R  Ꮪ S  Ꭲ T  Ꮩ V  Ꮃ W  Ꮓ Z
+ꓮ A  ꓐ B  ꓚ C  ꓓ D  ꓰ E  ꓝ F  ꓖ G  ꓧ H  ꓲ I  ꓙ J  ꓗ K  ꓡ L  ꓟ M  ꓠ N  ꓳ O  ꓑ P  ꓣ R  ꓢ S  ꓔ T  ꓴ U  ꓦ V  ꓪ W  ꓫ X  ꓬ Y  ꓜ Z
+ⲟ o  ⲣ p  ⲥ c  Ⲃ B  Ⲏ H  Ⲓ I  Ⲕ K  Ⲙ M  Ⲛ N  Ⲟ O  Ⲣ P  Ⲥ C  Ⲧ T  Ⲭ X  Ⲩ Y  Ⲍ Z
+𐐬 o  𐐽 c  𐐄 O  𐐕 C  𐐛 L
 ‐ -  ‑ -
 ۰ ٠  ۱ ١  ۲ ٢  ۳ ٣  ۷ ٧  ۸ ٨  ۹ ٩
 """
+#: Scripts whose small letters are drawn as small capitals: they look like the small letter where both cases share a shape.
+SMALL_CAPITALS = "CHEROKEE SMALL LETTER"
+SAME_SHAPE = "COSVWZ"
 # Compatibility classes of Unicode whose members look like what they stand for.
 SHOWN_AS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>")
 # Invisible characters outside the format class.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 
 
-@lru_cache(1)
-def prototypes() -> dict[int, str]:
-    """The prototype of every character that has one, from the pairs above and rules on Unicode's own properties."""
+def read_confusables(path: str) -> dict[int, str]:
+    """Prototypes from a file in the format of the Unicode confusables data: source; prototype; class, in hexadecimal. Pairs
+    of two ASCII characters stay apart, and prototypes are followed to their end."""
+    out: dict[int, str] = {}
+    for line in open(path, encoding="utf-8-sig"):
+        parts = line.split("#")[0].split(";")
+        if len(parts) >= 2:
+            source = [int(x, 16) for x in parts[0].split()]
+            if len(source) == 1 and source[0] >= 0x80:
+                out[source[0]] = "".join(chr(int(x, 16)) for x in parts[1].split())
+    return out
+
+
+@lru_cache(4)
+def prototypes(table: str | None = None) -> dict[int, str]:
+    """The prototype of every character that has one: from rules on Unicode's own properties, the pairs above and, if it
+    is given, a confusables file (`table`), whose entries win."""
     pairs = LOOK_ALIKES.split()
     out = {ord(a): b for a, b in zip(pairs[::2], pairs[1::2])}
+    out |= {ord(c.lower()): out[ord(c)].lower() for c in map(chr, list(out)) if out[ord(c)] in SAME_SHAPE and unicodedata.name(c.lower(), "").startswith(SMALL_CAPITALS)}
+    out |= read_confusables(table) if table else {}
     for c in range(0x80, sys.maxunicode + 1):
         ch = chr(c)
         cat = unicodedata.category(ch)
@@ -65,17 +87,18 @@ def prototypes() -> dict[int, str]:
     return out
 
 
-def skeleton(text: str | None) -> str | None:
+def skeleton(text: str | None, table: str | None = None) -> str | None:
     if text is None or text.isascii():
         return text
-    mapped = unicodedata.normalize("NFD", text).translate(prototypes())
+    mapped = unicodedata.normalize("NFD", text).translate(prototypes(table))
     return unicodedata.normalize("NFD", mapped)
 
 
-def consistent(text: str | None) -> str | None:
+def consistent(text: str | None, table: str | None = None) -> str | None:
     """The skeleton in composed form: the one text that stands for all its look-alikes."""
-    s = skeleton(text)
-    return s if s is None else unicodedata.normalize("NFC", s)
+    if text is None or text.isascii():
+        return text
+    return unicodedata.normalize("NFC", skeleton(text, table))
 
 
 @F.pandas_udf(T.StringType())
@@ -122,6 +145,16 @@ def look_alike_groups(df: DataFrame, key: str, texts: str) -> DataFrame:
     return forms.select("rec", exact("c").alias("skeleton_id"), exact("t").alias("variant_id"))
 
 
+def look_alike_classes(groups: DataFrame) -> DataFrame:
+    """(rec, class_rec, variant_rec, links) for every record: the smallest record of equal skeleton, the smallest stored in
+    the same characters, and the number of records of equal skeleton and different characters. Sizes are summed per
+    variant before anything is joined, so a class may hold a third of all records."""
+    variants = groups.groupBy("skeleton_id", "variant_id").agg(F.count("*").alias("n"), F.min("rec").alias("variant_rec"))
+    classes = variants.groupBy("skeleton_id").agg(F.sum("n").alias("all"), F.min("variant_rec").alias("class_rec"))
+    known = variants.join(classes, "skeleton_id").select("skeleton_id", "variant_id", "class_rec", "variant_rec", (F.col("all") - F.col("n")).alias("links"))
+    return groups.join(known, ["skeleton_id", "variant_id"]).select("rec", "class_rec", "variant_rec", "links")
+
+
 def look_alike_pairs(groups: DataFrame) -> DataFrame:
     """Record pairs (rec_a < rec_b) of equal skeleton and different characters.
 
