@@ -84,6 +84,32 @@ def test_super_min_hash_estimates_jaccard_with_early_stopping():
     assert (each.min(axis=0) == sig[0]).all()
 
 
+def test_long_records_take_the_minimum_over_their_lots():
+    rng = np.random.default_rng(4)
+    es = [rng.integers(-(2**62), 2**62, n).tolist() for n in (5, 90, 3000, 40)]
+    assert (neardup.record_signatures(es, 256) == neardup.record_signatures(es, 256, most=64)).all()
+    assert [sum(b - a for _, a, b in lot) for lot in neardup.lots([5, 90, 3000, 40], 1000)] == [1000, 1000, 1000, 135]
+
+
+def test_a_crowded_bucket_that_does_not_verify_is_split(spark):
+    """All records share one bucket; a few pairs belong together, the rest met by chance."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(400):
+        base = [rng.choice(WORDS) for _ in range(30)]
+        texts.append(base)
+        if rng.random() < 0.1:
+            texts.append([rng.choice(WORDS) if k == 7 else w for k, w in enumerate(base)])
+    rows = [(i, [" ".join(t)]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "line_no long, texts array<string>")
+    records = neardup.elements(df, "line_no", "texts", 12).cache()
+    signed = neardup.signatures(records).cache()
+    one = signed.select("id", F.lit(5).cast("long").alias("key"))
+    links = {(r.a, r.b) for r in neardup.bucket_links(one, signed, records, 0.8, small=8).collect()}
+    groups = brute_groups(rows)
+    assert links == {(g, i) for i, g in groups.items() if i != g} and len(links) > 20
+
+
 # ---------------------------------------------------------------- 2
 
 

@@ -7,17 +7,20 @@ of a pair is an element of its own, so this is the Dice similarity of two sets a
 2. SuperMinHash (Ertl, 2017) signatures: every element ranks the registers by its own random permutation; a register
    keeps the smallest rank + fraction among the record's elements. The ranks of all elements are advanced level by
    level, and a record stops as soon as each of its registers is filled, since later levels only hold larger values.
+   Elements are taken in lots of bounded number; a record longer than a lot takes the minimum over its lots.
 3. Banding: records that agree in all registers of a band share a bucket.
 4. Candidates without pairing off whole buckets: first every member with the smallest id of its bucket. What that
-   links is one component. Then, in buckets that still hold several components, the members outside the smallest id's
-   component with the members of other components. Pairs within a component need no check, so a bucket that holds a
-   third of all records costs one comparison for each of its members.
+   links is one component. Buckets that still hold several components are settled by their size: up to `SMALL` members,
+   each pair of different components is compared; larger ones are split by `PARTS` keys of three more registers each,
+   and the parts go through the same steps. Two records at the threshold that share the bucket share one of the parts
+   with a probability of 0.99997, records that merely met by chance hardly ever do. Pairs within a component need no
+   check, so a bucket that holds a third of all records costs one comparison for each of its members.
 5. Verification: a 256-bit sketch of the signature drops candidates that are more than five standard deviations below
    the threshold, the rest is compared exactly.
 6. Groups: connected components over the verified links.
 
-With 80 bands of 6 registers a pair at the threshold of 0.8 is missed with a probability of 0.0006, one at 0.85 of
-less than 1e-6.
+With 51 bands of 5 registers a pair at the threshold of 0.8 is missed with a probability of 0.0008, one at 0.85 of
+less than 1e-5.
 
 Defined results: records with fewer than `min_words` words, or without neighbouring words, are in no group; nulls are
 empty texts; copies fall into one class; an empty table gives no groups.
@@ -38,10 +41,13 @@ from tidewater.llm.skeleton import reader_words
 from tidewater.operators.graph import connected_components
 from tidewater.runtime import cut, spread
 
-BANDS, ROWS = 80, 6
+BANDS, ROWS = 51, 5
 SKETCH_BITS = 256
-#: Records whose signatures are made together.
-LOT = 1024
+#: Elements whose ranks are advanced together: their permutations take 2 bytes for each of 256 registers.
+LOT = 1 << 15
+#: Members up to which a bucket of several components is compared pair by pair; larger ones are split.
+SMALL = 32
+PARTS, PART_ROWS, SPLITS = 30, 3, 2
 
 
 def pair_elements(texts: list[str | None], min_words: int) -> list[int] | None:
@@ -87,7 +93,7 @@ def super_min_hash(flat: np.ndarray, rec: np.ndarray, n_rec: int, m: int) -> np.
     without elements keep infinite registers."""
     sig = np.full(n_rec * m, np.inf)
     uniq, inv = np.unique(flat, return_inverse=True)
-    perm = np.tile(np.arange(m, dtype=np.int32), (len(uniq), 1))
+    perm = np.tile(np.arange(m, dtype=np.int16), (len(uniq), 1))
     rows = np.arange(len(uniq))
     base, el = rec * m, inv
     live_rec = rec
@@ -126,20 +132,50 @@ def sketch(sig: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(b.astype(np.uint8), axis=1).view(np.int64)
 
 
+def lots(sizes: list[int], most: int = LOT) -> Iterator[list[tuple[int, int, int]]]:
+    """(record, from, to) slices of the records' elements in lots of at most `most` elements."""
+    lot: list[tuple[int, int, int]] = []
+    room = most
+    for k, n in enumerate(sizes):
+        a = 0
+        while a < n:
+            if not room:
+                yield lot
+                lot, room = [], most
+            b = min(n, a + room)
+            lot.append((k, a, b))
+            room -= b - a
+            a = b
+    if lot:
+        yield lot
+
+
+def record_signatures(es: list, m: int, most: int = LOT) -> np.ndarray:
+    """Signatures of records given as lists of elements; the registers of a record that spans several lots are the
+    minima over them."""
+    sig = np.full((len(es), m), np.inf)
+    for lot in lots([len(e) for e in es], most):
+        own = np.array([k for k, _, _ in lot])
+        rec = np.repeat(np.arange(len(lot)), [b - a for _, a, b in lot])
+        flat = np.concatenate([np.asarray(es[k][a:b], dtype=np.int64) for k, a, b in lot]).view(np.uint64)
+        sig[own] = np.minimum(sig[own], super_min_hash(flat, rec, len(lot), m))
+    return sig
+
+
 def signatures(records: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, keys, sketch) from (id, n, e)."""
+    """(id, keys, parts, sketch) from (id, n, e); parts are keys of three registers for splitting buckets."""
+    m = max(bands * rows, SKETCH_BITS)
+    order = np.random.default_rng(1).permutation(m)[: PARTS * PART_ROWS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, es = b["id"].to_numpy(), b["e"].tolist()
-            for a in range(0, len(ids), LOT):
-                part = es[a : a + LOT]
-                rec = np.repeat(np.arange(len(part)), [len(e) for e in part])
-                flat = np.concatenate([np.asarray(e, dtype=np.int64) for e in part]).view(np.uint64)
-                sig = super_min_hash(flat, rec, len(part), max(bands * rows, SKETCH_BITS))
-                yield pd.DataFrame({"id": ids[a : a + LOT], "keys": list(band_keys(sig, bands, rows)), "sketch": list(sketch(sig))})
+            for a in range(0, len(ids), 2048):
+                sig = record_signatures(es[a : a + 2048], m)
+                parts = band_keys(sig[:, order], PARTS, PART_ROWS)
+                yield pd.DataFrame({"id": ids[a : a + 2048], "keys": list(band_keys(sig, bands, rows)), "parts": list(parts), "sketch": list(sketch(sig))})
 
-    return spread(records.select("id", "e"), "id").mapInPandas(run, "id long, keys array<long>, sketch array<long>")
+    return spread(records.select("id", "e"), "id").mapInPandas(run, "id long, keys array<long>, parts array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, records: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -167,23 +203,36 @@ def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.8,
     member = cut(marked.join(marked.groupBy("f").agg(F.min("id").alias("copy_of")), "f").select("id", "copy_of"))
     records = cut(every.join(member.filter("id = copy_of").select("id"), "id", "left_semi"))
     signed = cut(signatures(records, bands, rows))
-    sketches = signed.select("id", "sketch")
-
-    rows_ = signed.select("id", F.explode("keys").alias("key"))
-    buckets = rows_.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(rows_.join(buckets, "key"))
-    star = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(_verified(star, records, sketches, threshold))
-    comp = cut(connected_components(links))
-
-    # buckets of two are settled by their one comparison
-    larger = members.filter("size > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = larger.filter("id = head").select("key", F.col("component").alias("head_component"))
-    larger = cut(larger.join(heads, "key"))
-    outside = larger.filter("component <> head_component").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    inside = larger.filter("id <> head").select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    cross = outside.join(inside, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = cut(_verified(cross, records, sketches, threshold))
-    group = connected_components(links.unionByName(more)) if more.limit(1).count() else comp
-    group = group.select(F.col("node").alias("copy_of"), F.col("component").alias("group_id"))
+    links = bucket_links(signed.select("id", F.explode("keys").alias("key")), signed, records, threshold)
+    group = connected_components(links).select(F.col("node").alias("copy_of"), F.col("component").alias("group_id"))
     return member.join(group, "copy_of", "left").select("id", "copy_of", F.coalesce("group_id", "copy_of").alias("group_id"))
+
+
+def bucket_links(rows: DataFrame, signed: DataFrame, records: DataFrame, threshold: float, small: int = SMALL, splits: int = SPLITS) -> DataFrame:
+    """Verified links (a, b) that join all members of the buckets `rows` (id, key) that belong together."""
+    sketches = signed.select("id", "sketch")
+    links = None
+    for level in range(splits + 1):
+        buckets = rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
+        members = cut(rows.join(buckets, "key"))
+        star = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+        found = _verified(star, records, sketches, threshold)
+        links = cut(found if links is None else links.unionByName(found).distinct())
+        # buckets of two are settled by their one comparison
+        comp = connected_components(links).withColumnRenamed("node", "id")
+        larger = members.filter("size > 2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # several components: more than the head's; min and max tell without counting distinct values
+        mixed = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        larger = cut(larger.join(mixed, "key", "left_semi").select("key", "id", "component", "size"))
+        last = level == splits
+        close = larger if last else larger.filter(F.col("size") <= small)
+        pair = close.alias("x").join(close.alias("y"), "key").filter("x.id < y.id AND x.component <> y.component")
+        pair = pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        links = cut(links.unionByName(_verified(pair, records, sketches, threshold)).distinct())
+        wide = larger.filter(F.col("size") > small)
+        if last or wide.isEmpty():
+            return links
+        # the parts of one bucket; a record is in a part once however many buckets it shares with the others
+        parts = wide.select("key", "id").join(signed.select("id", "parts"), "id").select("id", "key", F.posexplode("parts").alias("no", "part"))
+        rows = parts.select("id", F.xxhash64("key", "no", "part").alias("key"))
+    return links

@@ -14,7 +14,6 @@ Defined results: null gives null, the empty text itself; whole texts are process
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -116,15 +115,15 @@ def consistent_texts(texts: Column) -> Column:
     return consistent_array_udf(texts)
 
 
-WORD = re.compile(r"\S+")
-
-
 def reader_words(text: str | None) -> list[str]:
     """Words as a reader sees them: runs without spaces of the consistent text, lower-cased, less outer punctuation."""
     if not text:
         return []
     out = []
-    for w in WORD.findall(consistent(text).lower()):
+    for w in consistent(text).lower().split():
+        if w[0].isalnum() and w[-1].isalnum():
+            out.append(w)
+            continue
         a, b = 0, len(w)
         while a < b and not w[a].isalnum():
             a += 1
