@@ -205,6 +205,19 @@ def test_defects(spark):
     assert defects.defective(df.limit(0)).count() == 0
 
 
+def test_refusals_in_either_language():
+    yes = ["Main is text ko rewrite nahi de sakti, kuch aur likhiye.", "That request lies outside what I may do.", "Aisa message likhna mana hai.", "I refuse to rephrase it.", "Main iska jawab nahi likhunga."]
+    no = ["Main apna number nahi de sakta, yahin likhiye.", "I cannot open the gate before noon.", "Nahi, kal milte hain.", "We will answer you in this chat."]
+    assert all(map(defects.is_refusal, yes)) and not any(map(defects.is_refusal, no))
+
+
+def test_copies_with_long_additions_and_english_under_hinglish(spark):
+    prompt = ["Yaar gate ki chaabi kahan hai, main kal subah aapke ghar aa raha hoon aur mujhe pehle room dekhna hai."]
+    options = ["Please ask the cook to bring the key before noon and reply in this thread.", "Chaabi ki baat yahin kar lete hain, kal tak hum aur main dekh lenge.", f"{prompt[0]} {prompt[0]}"]
+    got = {r.option_no: r.defect for r in defects.defective(spark.createDataFrame([(1, prompt, options, True)], "rec long, texts array<string>, options array<string>, due boolean")).collect()}
+    assert got == {1: "language", 3: "copy"}
+
+
 def test_copies_of_a_truncated_option_do_not_vouch_for_it(spark):
     whole = [f"Let us meet at the {w} before noon." for w in ("gate", "river", "hall", "roof")]
     phrases = [f"The cook of the {w} says many thanks" for w in ("gate", "river", "hall", "roof")]

@@ -6,10 +6,11 @@
 * copy: the response is compressed with its prompt as the zstandard dictionary and the prompt with the response as the
   dictionary; if both shrink to less than half of their size without it, each holds the other.
 * language: function-word dictionaries name the language of the response and the languages of the prompt.
-* truncated: a terminal-context model. From all distinct responses it counts, for each pair of neighbouring words, how often
-  the pair ends a response before a closing mark, ends it without one, and stands inside. A response without a closing
-  mark is complete only if its last pair is known as an ending; trailing dashes, ellipses, commas and words that
-  cannot end a sentence show a break without the model.
+* truncated: a terminal-context model. From all distinct responses it counts, for each pair of neighbouring words, how
+  often the pair ends a response before a closing mark, ends it without one, and stands inside. A response without a
+  closing mark is complete only if its last pair is known as an ending: from closed responses, or as a set phrase that
+  many others end with and that hardly ever goes on. A trailing dash, ellipsis, comma or open bracket is a break by
+  itself. No list of words takes part.
 
 The first defect that holds is reported, in the order above. Prompts and responses are read whole, in place; only
 contexts and counts are shuffled.
@@ -33,6 +34,8 @@ from tidewater.llm.skeleton import consistent
 from tidewater.runtime import cut, spread
 
 COPY_BELOW = 0.5
+#: Share of all responses without a closing mark from which the same last words are a set phrase.
+PHRASE_SHARE = 0.02
 
 # Function words that are frequent in one language and rare in the others.
 DICTIONARY = {
@@ -42,19 +45,10 @@ DICTIONARY = {
     "fr": "le la les des et est une dans pour pas sur avec nous vous mais au du de un il avons était quand avant chaque à dès personne",
     "de": "der die das und ist nicht mit ein eine den von zu wir wenn uns aus hat im in war vor noch als bitte jeden auf",
 }
-# Words that cannot end a sentence.
-UNFINISHED = set(
-    """the a an and or but of to for with through because if when while before after into from by than that which whose
-    can will would could should must my your our their his its not very so as at on in is are was were be been about over
-    under between until unless without within the ki ka ke ko se mein par aur ya lekin kyunki taaki agar jab jo uske iske
-    unke apne mere tere hamare bhi toh ne tak wala wali el la los las de y que con para por un una des les le du et que pour
-    dans der die das und mit für ein eine zu weil dass wenn""".split()
-) - {"in", "on", "is", "tak", "par", "bhi", "so", "over"}
-# Conjunctions that open a clause which one more word cannot finish.
-OPENS_CLAUSE = set("kyunki taaki because although unless whereas jabki porque aunque parce puisque weil dass".split())
+# Cues of declining and words for the task, as stems.
 DECLINES = re.compile(
-    r"\b(?:can ?not|can['’]?t|won['’]?t|will not|unable|not able|declin\w+|refus\w+|apolog\w+|not something|not comfortable|not allowed|"
-    r"no alternative|cannot|nahi kar|nahi de sak|nahi likh|nahi hoga|nahi bana|khilaf|against|maaf|breaks? my)\b|request declined|\[refused\]",
+    r"\b(?:can ?not|can['’]?t|won['’]?t|will not|not going to|unable|not able|declin\w+|refus\w+|apolog\w+|not something|not comfortable|not allowed|not permitted|"
+    r"no alternative|outside (?:of )?(?:what|my)|beyond what|nahi (?:kar|de|likh|bana|ho|paa?)\w*(?: sak\w*)?|mana hai|mumkin nahi|khilaf|against|maaf|breaks? my)\b|request declined|\[refused\]",
     re.I,
 )
 TASK = re.compile(
@@ -121,8 +115,6 @@ def is_copy(response: str, prompt: str, z: Compressor, below: float = COPY_BELOW
     a, b = response.encode(), prompt.encode()
     if min(len(a), len(b)) < 8:
         return len(a) > 0 and a == b
-    if not 0.5 < len(a) / len(b) < 2:
-        return False
     # a window that spans both texts lets the dictionary reach back as far as they are long
     return z.ratio(a, b) < below and z.ratio(b, a) < below
 
@@ -162,11 +154,9 @@ def options_read(df: DataFrame) -> DataFrame:
                         defect = "copy"
                     else:
                         own = language(text)
-                        if own and langs and own not in langs and not (own == "en" and "hinglish" in langs):
+                        if own and langs and own not in langs:
                             defect = "language"
-                    unfinished = words[-1] in UNFINISHED or (len(words) > 1 and words[-2] in OPENS_CLAUSE)
-                    closed = bool(CLOSED.search(text))
-                    broken = bool(BROKEN.search(text)) or (unfinished and not closed)
+                    closed, broken = bool(CLOSED.search(text)), bool(BROKEN.search(text))
                     pairs = [f"{x} {y}" for x, y in zip(words, words[1:])] or [words[0]]
                     key = int.from_bytes(blake2b(" ".join(words).encode(), digest_size=8).digest(), signed=True)
                     rows.append((rec, k, defect, closed, broken, pairs[-1], pairs[:-1], key))
@@ -183,10 +173,11 @@ def terminal_contexts(read: DataFrame) -> DataFrame:
     ends = usable.select(F.col("last").alias("pair"), F.col("closed").cast("int").alias("closed"), (~F.col("closed") & ~F.col("broken")).cast("int").alias("open"), F.lit(0).alias("inside"))
     inside = usable.select(F.explode("inner").alias("pair"), F.lit(0).alias("closed"), F.lit(0).alias("open"), F.lit(1).alias("inside"))
     counts = ends.unionByName(inside).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("closed", "open", "inside")])
-    total = usable.agg(F.count("*").alias("total"))
+    unclosed = ends.agg(F.sum("open").alias("unclosed"))
     known = (F.col("closed") >= 2) & (F.col("closed") + F.col("open") > 0.05 * F.col("inside"))
-    phrase = (F.col("open") >= F.greatest(F.lit(3), 0.004 * F.col("total"))) & (F.col("open") > 9 * F.col("inside"))
-    return counts.filter("closed + open > 0").withColumn("total", total.scalar()).select(F.col("pair").alias("last"), (known | phrase).alias("complete"))
+    # the response itself is left out of what vouches for it
+    phrase = (F.col("open") - 1 >= PHRASE_SHARE * F.col("unclosed")) & (F.col("open") > 1) & (F.col("open") > 9 * F.col("inside"))
+    return counts.filter("closed + open > 0").withColumn("unclosed", unclosed.scalar()).select(F.col("pair").alias("last"), (known | phrase).alias("complete"))
 
 
 def defective(df: DataFrame) -> DataFrame:
