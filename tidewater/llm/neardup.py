@@ -163,16 +163,17 @@ def record_signatures(es: list, m: int, most: int = LOT) -> np.ndarray:
 
 
 def signatures(records: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, keys, parts, sketch) from (id, n, e); parts are keys of three registers for splitting buckets."""
+    """(id, keys, parts, sketch) from (id, n, e); parts are keys of three registers for splitting buckets, others at each
+    split."""
     m = max(bands * rows, SKETCH_BITS)
-    order = np.random.default_rng(1).permutation(m)[: PARTS * PART_ROWS]
+    order = np.random.default_rng(1).permutation(m)[: SPLITS * PARTS * PART_ROWS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, es = b["id"].to_numpy(), b["e"].tolist()
             for a in range(0, len(ids), 2048):
                 sig = record_signatures(es[a : a + 2048], m)
-                parts = band_keys(sig[:, order], PARTS, PART_ROWS)
+                parts = band_keys(sig[:, order], SPLITS * PARTS, PART_ROWS)
                 yield pd.DataFrame({"id": ids[a : a + 2048], "keys": list(band_keys(sig, bands, rows)), "parts": list(parts), "sketch": list(sketch(sig))})
 
     return spread(records.select("id", "e"), "id").mapInPandas(run, "id long, keys array<long>, parts array<long>, sketch array<long>")
@@ -211,15 +212,16 @@ def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.8,
 def bucket_links(rows: DataFrame, signed: DataFrame, records: DataFrame, threshold: float, small: int = SMALL, splits: int = SPLITS) -> DataFrame:
     """Verified links (a, b) that join all members of the buckets `rows` (id, key) that belong together."""
     sketches = signed.select("id", "sketch")
-    links = None
+    links = comp = None
     for level in range(splits + 1):
         buckets = rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
         members = cut(rows.join(buckets, "key"))
         star = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
         found = _verified(star, records, sketches, threshold)
         links = cut(found if links is None else links.unionByName(found).distinct())
+        if comp is None:  # later levels are small: they gain less from newer components than these cost
+            comp = connected_components(links).withColumnRenamed("node", "id")
         # buckets of two are settled by their one comparison
-        comp = connected_components(links).withColumnRenamed("node", "id")
         larger = members.filter("size > 2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # several components: more than the head's; min and max tell without counting distinct values
         mixed = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
@@ -232,7 +234,7 @@ def bucket_links(rows: DataFrame, signed: DataFrame, records: DataFrame, thresho
         wide = larger.filter(F.col("size") > small)
         if last or wide.isEmpty():
             return links
-        # the parts of one bucket; a record is in a part once however many buckets it shares with the others
-        parts = wide.select("key", "id").join(signed.select("id", "parts"), "id").select("id", "key", F.posexplode("parts").alias("no", "part"))
+        own = F.slice("parts", level * PARTS + 1, PARTS)
+        parts = wide.select("key", "id").join(signed.select("id", own.alias("parts")), "id").select("id", "key", F.posexplode("parts").alias("no", "part"))
         rows = parts.select("id", F.xxhash64("key", "no", "part").alias("key"))
     return links
