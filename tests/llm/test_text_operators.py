@@ -118,22 +118,44 @@ def test_kinds_and_stats(spark):
     s = {r.doc_id: r for r in stats.collect()}
     assert s[0].lang_key == "en" and s[10].lang_key == "und" and s[11].n_words == 0 and s[10].mean_word_len is None
     assert s[12].n_words == 3 and s[12].end_punct_share == 1.0
-    got = {r.doc_id: r.kind for r in quality.kinds(stats, quality.outlier_scores(quality.tail_probabilities(stats))).collect()}
-    assert got == {i: k for i, k in enumerate(DOCS) if k}
-    assert quality.tail_probabilities(stats.limit(0)).count() == 0
+    scored = quality.tail_scores(stats).cache()
+    scores = quality.kind_scores(scored, quality.kind_weights(scored))
+    assert {r.doc_id: r.kind for r in quality.kinds(scores).collect()} == {i: k for i, k in enumerate(DOCS) if k}
+    assert all(quality.plainly(t) == k for k, t in DOCS.items()) and quality.plainly(" ") is None
+    assert quality.kind_weights(quality.tail_scores(stats.limit(0))) is None
+
+
+def test_scores_decide_not_the_definition(spark):
+    """The weights come from labelled examples, the decision from ranks: a document just short of every threshold of the
+    definition, but far out in its language, is still found; without its rank it is prose."""
+    rows = [(i, "The cook was here and we went to the river with him.", "en") for i in range(300)] + [(1000 + i, DOCS["table"] + f"\nyard|{i}|2.50\n" * 3, "en") for i in range(20)]
+    rows += [(2000 + i, DOCS["list"], "en") for i in range(20)] + [(3000 + i, DOCS["junk"], "en") for i in range(20)]
+    rows += [(9000, "lamp|1|2.50\nroof|4|7.00", "en")]
+    stats = quality.text_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    scored = quality.tail_scores(stats).cache()
+    weights = quality.kind_weights(scored)
+    got = {r.doc_id: r.kind for r in quality.kinds(quality.kind_scores(scored, weights)).collect()}
+    assert quality.plainly(rows[-1][1]) is None and got[9000] == "table" and len(got) == 61
+    flat = scored.withColumn("outlying", F.transform("outlying", lambda x: F.lit(0.0)))
+    assert quality.kinds(quality.kind_scores(flat, weights)).count() == 0
 
 
 def test_tails_are_exact_with_ties_over_partitions(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice("ab"), float(rng.choice([0, 0, 0, 0, 0, 1, 2, rng.random()]))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, lang_key string, x double")
-    got = {r.doc_id: r.tail for r in quality.tail_probabilities(df, {"x": ("junk", 1)}).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, grp string, value double").withColumn("stat", F.lit("x"))
+    got = {(r.grp, r.value): r.tail for r in quality.exact_tails(df.groupBy("stat", "grp", "value").agg(F.count("*").alias("n"))).collect()}
     for g in "ab":
         v = np.array([r[2] for r in rows if r[1] == g])
-        for i, k, x in rows[:400]:
-            if k == g:
-                assert abs(got[i] - (v >= x).mean()) < 1e-12
-    assert len(got) == 3000
+        for x in set(v):
+            assert abs(got[g, x] - (v >= x).mean()) < 1e-12
+    assert len(got) == len({r[1:] for r in rows})
+    assert quality.exact_tails(df.limit(0).groupBy("stat", "grp", "value").agg(F.count("*").alias("n"))).count() == 0
+
+
+def test_small_languages_share_a_group(spark):
+    df = spark.createDataFrame([(i, "en" if i < 30 else f"x{i % 4}") for i in range(40)], "doc_id long, lang_key string")
+    assert {r.lang_key: r.grp for r in quality.grouped(df, 20).select("lang_key", "grp").distinct().collect()} == {"en": "en", "x0": "*", "x1": "*", "x2": "*", "x3": "*"}
 
 
 # ---------------------------------------------------------------- 5

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,9 +221,10 @@ def train(labelled: DataFrame, sample: Sample = Sample(), languages: tuple[str,
     return model
 
 
-def segments(df: DataFrame, model: ByteCNN, mode: str) -> DataFrame:
+def segments(df: DataFrame, model: ByteCNN, mode: str, skip: Callable[[str], bool] | None = None) -> DataFrame:
     """(rec, seg_no, n_words, plain_words, lang, confidence) from (rec, texts array): one row per line (`mode` 'line') or sentence
-    ('sentence') that is not blank; lang is null without letters. Segments are numbered through the record's texts."""
+    ('sentence') that is not blank; lang is null without letters. Segments are numbered through the record's texts.
+    Texts that `skip` holds of have no segments."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     split = re.compile(r"\r\n|\r|\n") if mode == "line" else SENTENCE
 
@@ -233,6 +234,8 @@ def segments(df: DataFrame, model: ByteCNN, mode: str) -> DataFrame:
             for rec, texts in zip(b["rec"], b["texts"]):
                 n = 0
                 for t in texts if texts is not None else []:
+                    if t and skip is not None and skip(t):
+                        continue
                     for s in split.split(t or ""):
                         if s.strip():
                             n += 1

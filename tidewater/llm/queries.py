@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,10 +207,15 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_stats(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
+def _kind_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = cut(quality.tail_scores(cut(_stats(spark, d))))
+    weights = quality.kind_weights(scored)
+    return quality.kind_scores(scored, np.zeros((len(quality.TELLS) + 1, len(quality.KINDS))) if weights is None else weights)
+
+
 @query()
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    stats = cut(_stats(spark, d))
-    return quality.kinds(stats, quality.outlier_scores(quality.tail_probabilities(stats)))
+    return quality.kinds(_kind_scores(spark, d))
 
 
 @query()
@@ -219,7 +225,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return quality.outlier_scores(quality.tail_probabilities(_stats(spark, d)))
+    return _kind_scores(spark, d).select("doc_id", "list_score", "table_score", "junk_score")
 
 
 # ---------------------------------------------------------------- 4: near-duplicate records
@@ -264,12 +270,8 @@ def _document_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataF
 
 
 def _prose_lines(spark: SparkSession, d: str, model: langid.ByteCNN) -> DataFrame:
-    docs = table(spark, d, "documents")
-    # the text is read beside its statistics and blanked where it is no prose: a filter would be pushed below the
-    # statistics and compute each of them once for every use
-    stats = quality.text_stats(docs, "doc_id", "text", "lang", keep=("text",))
-    prose = F.when(quality.definition().isNull(), F.array("text"))
-    return langid.segments(stats.select(F.col("doc_id").alias("rec"), prose.alias("texts")), model, "line")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rec"), F.array("text").alias("texts"))
+    return langid.segments(docs, model, "line", skip=lambda t: quality.plainly(t) is not None)
 
 
 @query()
