@@ -133,7 +133,7 @@ def test_scores_decide_not_the_definition(spark):
     rows += [(9000, "lamp|1|2.50\nroof|4|7.00", "en")]
     stats = quality.text_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     scored = quality.tail_scores(stats).cache()
-    weights = quality.kind_weights(scored)
+    weights = quality.kind_weights(scored.filter("doc_id <> 9000"))
     got = {r.doc_id: r.kind for r in quality.kinds(quality.kind_scores(scored, weights)).collect()}
     assert quality.plainly(rows[-1][1]) is None and got[9000] == "table" and len(got) == 61
     flat = scored.withColumn("outlying", F.transform("outlying", lambda x: F.lit(0.0)))
