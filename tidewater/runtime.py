@@ -72,3 +72,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of checkpoints."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of a shared folder, or None."""
+    rows = spark.read.format("binaryFile").load(path).select("content").collect() if _exists(spark, path) else []
+    return bytes(rows[0][0]) if rows else None
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file beside its place and moves it there, so that readers never see a part of it."""
+    p, fs = _fs(spark, path)
+    part = f"{path}.{uuid.uuid4().hex}"
+    out = fs.create(p(part))
+    out.write(bytearray(data))
+    out.close()
+    if not fs.rename(p(part), p(path)):
+        fs.delete(p(part), False)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p, p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p(path))
