@@ -175,10 +175,27 @@ def test_network_learns_languages_from_dirty_labels(spark):
     got = model.languages([t for _, t in held])
     assert np.mean([g == k for (k, _), (g, _) in zip(held, got)]) > 0.97
     assert model.languages(["", "123 !!"]) == [(None, 0.0)] * 2
+    # strings that no class was learned with make another language, with a low confidence
+    assert all(k == "other" and c < 0.5 for k, c in model.languages(["Juru masak menyiapkan makan malam sementara kami menonton matahari", "Kucharz przygotowuje posiłek, zanim przyjdziemy znad jeziora"]))
+    again = langid.ByteCNN.loads(model.dumps())
+    assert again.languages([t for _, t in held]) == got
     df = spark.createDataFrame([(1, [f"{sent('en')}\n{sent('es')}", None]), (2, None)], "rec long, texts array<string>")
     assert [(r.seg_no, r.lang) for r in langid.segments(df, model, "line").orderBy("seg_no").collect()] == [(1, "en"), (2, "es")]
 
 
+def test_models_are_fitted_once(spark, monkeypatch):
+    rows = [("t", k, f"{k} word number {i} here") for k in ("en", "es") for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, lang string, text string")
+    calls = []
+    real = langid.fitted
+    monkeypatch.setattr(langid, "fitted", lambda *a: calls.append(1) or real(*a))
+    sample = langid.Sample(30, 30, 1, seed=random.randint(0, 1 << 30))
+    first = langid.train(df, sample, ("en", "es"))
+    langid._FITTED.clear()
+    stored = langid.train(df, sample, ("en", "es"))
+    assert len(calls) == 1 and all((first.p[k] == stored.p[k]).all() for k in first.p)
+
+
 def test_record_language_rule(spark):
     rows = [(1, 1, 9, 9, "en", 0.9), (1, 2, 9, 9, "hi", 0.9), (2, 1, 9, 9, "hi", 0.9), (3, 1, 9, 9, "en", 0.9), (3, 2, 2, 1, "hinglish", 0.9), (4, 1, 2, 2, "hinglish", 0.9), (5, 1, 9, 9, "hinglish", 0.5)]
     df = spark.createDataFrame(rows, "rec long, seg_no int, n_words int, plain_words int, lang string, confidence double")

@@ -5,6 +5,7 @@
   training the windows that contradict their label are left out and the network is trained again.
 * Input: windows of `LENGTH` bytes of the text as a reader sees it (look-alike characters resolved, lower case, without
   accents, numbers and addresses). Long segments have several windows; their probabilities are averaged, so whole texts are read.
+* Languages outside the training: text with few familiar strings of four bytes is 'other', with a low confidence.
 * Segments: lines of documents, sentences of conversation turns. Each gets a language and a confidence.
 
 Only the weights (about 100 KB, fixed by the architecture) reach the executors; the texts are scored in place, in
@@ -16,6 +17,8 @@ an empty table, or labels of none of the languages, gives an untrained model onl
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -27,13 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.skeleton import consistent
-from tidewater.runtime import spread
+from tidewater.runtime import read_bytes, spread, write_bytes
 
 LENGTH = 96
 WIDTHS = (2, 3, 4, 6)
 FILTERS = 32
 EMBED = 16
 LANGUAGES = ("en", "hinglish", "hi", "es", "fr", "de")
+#: The language of text that is in none of those learned, the share of familiar strings below which text is that, and
+#: the strings it needs to be judged by.
+OTHER, FAMILIAR, FEWEST_GRAMS = "other", 0.5, 24
+GRAM_SPACE = 1 << 20
 SENTENCE = re.compile(r"(?<=[.?!।…])[\"'”’)]*\s+|[\r\n]+")
 LETTERS = re.compile(r"[^\W\d_]")
 
@@ -90,6 +97,7 @@ class ByteCNN:
             self.p[f"b{w}"] = np.zeros(FILTERS, np.float32)
         self.p["D"] = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(classes))).astype(np.float32)
         self.p["d"] = np.zeros(len(classes), np.float32)
+        self.grams: np.ndarray | None = None
 
     def _forward(self, x: np.ndarray, keep: bool = False):
         emb = self.p["E"][x]  # batch, length, embed
@@ -160,24 +168,73 @@ class ByteCNN:
         return np.concatenate([self._forward(x[a : a + batch]) for a in range(0, len(x), batch)]) if len(x) else np.empty((0, len(self.classes)), np.float32)
 
     def languages(self, texts: list[str]) -> list[tuple[str | None, float]]:
-        """(language, confidence) of each text, from all its windows."""
+        """(language, confidence) of each text, from all its windows. Equal texts and windows are scored once. A text whose
+        strings of four bytes were hardly met while its best language was learned is in none of them: its language is
+        'other', and the confidence falls with the share that was met."""
+        number: dict[str, int] = {}
+        which = [number.setdefault(t, len(number)) for t in texts]
         ws, owner = [], []
-        for k, t in enumerate(texts):
+        for t, k in number.items():
             if LETTERS.search(t):
                 own = windows(prepared(t))
                 ws += own
                 owner += [k] * len(own)
-        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
-        if not ws:
-            return out
-        prob = self.predict(as_matrix(ws))
-        total = np.zeros((len(texts), len(self.classes)))
-        np.add.at(total, owner, prob)
-        n = np.bincount(owner, minlength=len(texts))
-        for k in np.flatnonzero(n):
-            best = int(total[k].argmax())
-            out[k] = (self.classes[best], float(total[k, best] / n[k]))
-        return out
+        found: list[tuple[str | None, float]] = [(None, 0.0)] * len(number)
+        if ws:
+            at: dict[bytes, int] = {}
+            same = np.array([at.setdefault(w, len(at)) for w in ws])
+            x = as_matrix(list(at))
+            prob = self.predict(x)
+            known, grams = self.familiar(x)
+            n = np.bincount(owner, minlength=len(number))
+            total = np.zeros((len(number), len(self.classes)))
+            met, all_ = np.zeros_like(total), np.zeros(len(number))
+            np.add.at(total, owner, prob[same])
+            np.add.at(met, owner, known[same])
+            np.add.at(all_, owner, grams[same])
+            for k in np.flatnonzero(n):
+                best = int(total[k].argmax())
+                share = met[k, best] / all_[k] if self.grams is not None and all_[k] >= FEWEST_GRAMS else 1.0
+                sure = float(total[k, best] / n[k])
+                found[k] = (self.classes[best], sure) if share >= FAMILIAR else (OTHER, sure * float(share))
+        return [found[k] for k in which]
+
+    def learn_grams(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Remembers the strings of four bytes of each class, as bits of their hashes."""
+        bits = np.zeros((len(self.classes), GRAM_SPACE), dtype=bool)
+        code, real = gram_codes(x)
+        for c in range(len(self.classes)):
+            bits[c, code[y == c][real[y == c]]] = True
+        self.grams = np.packbits(bits, axis=1)
+
+    def familiar(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(windows x classes: strings that the class was learned with, strings of each window)."""
+        code, real = gram_codes(x)
+        if self.grams is None:
+            return np.zeros((len(x), len(self.classes))), real.sum(axis=1)
+        met = np.stack([(((g[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1).astype(bool) & real).sum(axis=1) for g in self.grams], axis=1)
+        return met, real.sum(axis=1)
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, classes=np.array(self.classes), grams=self.grams if self.grams is not None else np.empty(0, np.uint8), **self.p)
+        return out.getvalue()
+
+    @staticmethod
+    def loads(data: bytes) -> ByteCNN:
+        z = np.load(io.BytesIO(data))
+        model = ByteCNN(tuple(z["classes"].tolist()))
+        model.p = {k: z[k] for k in z.files if k not in ("classes", "grams")}
+        model.grams = z["grams"] if z["grams"].size else None
+        return model
+
+
+def gram_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the four bytes at each place, whether none of them is padding)."""
+    a = x.astype(np.uint32)
+    code = (a[:, :-3] * 16777619 ^ a[:, 1:-2]) * np.uint32(16777619) ^ a[:, 2:-1]
+    code = code * np.uint32(16777619) ^ a[:, 3:]
+    return ((code ^ (code >> np.uint32(15))) % GRAM_SPACE).astype(np.int64), x[:, 3:] > 0
 
 
 def language_name(c: Column) -> Column:
@@ -185,22 +242,46 @@ def language_name(c: Column) -> Column:
     return F.split(F.lower(F.trim(c)), "[-_]")[0]
 
 
-def train(labelled: DataFrame, sample: Sample = Sample(), languages: tuple[str, ...] = LANGUAGES) -> ByteCNN:
-    """Fit on (source, lang, text). At most about `rows_per_language` rows of each language and source, chosen by a
-    hash over all rows, reach the driver."""
+#: Models of this process by the fingerprint of their sample.
+_FITTED: dict[str, ByteCNN] = {}
+
+
+def drawn_rows(labelled: DataFrame, sample: Sample, languages: tuple[str, ...]) -> dict[tuple[str, str], list[str]]:
+    """(source, language) -> texts of the training sample: about `rows_per_language` of each, chosen by a hash of the
+    text over all rows, so that copies of a text are in or out together and count once."""
     rows = labelled.filter(F.col("lang").isin(*languages) & F.col("text").isNotNull() & (F.length("text") > 5))
     counts = rows.groupBy("source", "lang").agg(F.count("*").alias("n"))  # one row per source and language
     rank = F.pmod(F.xxhash64(F.lit(sample.seed), "text"), F.lit(1 << 40)).cast("double") / float(1 << 40)
     share = F.lit(float(sample.rows_per_language)) / F.col("n")
     drawn = rows.join(F.broadcast(counts), ["source", "lang"]).filter(rank < share).select("source", "lang", "text").distinct()
     by: dict[tuple[str, str], list[str]] = {}
-    for r in drawn.limit(4 * sample.rows_per_language * len(languages)).collect():
+    for r in drawn.collect():
         by.setdefault((r["source"], r["lang"]), []).append(r["text"])
+    return {k: sorted(v) for k, v in sorted(by.items())}
+
+
+def train(labelled: DataFrame, sample: Sample = Sample(), languages: tuple[str, ...] = LANGUAGES) -> ByteCNN:
+    """The model of (source, lang, text). A sample that was fitted before, in this process or with its weights in the
+    shared folder of spark.checkpoint.dir, is not fitted again."""
+    by = drawn_rows(labelled, sample, languages)
+    mark = hashlib.sha256(repr((sample, languages, LENGTH, WIDTHS, FILTERS, EMBED, by)).encode("utf-8", "surrogatepass")).hexdigest()
+    if mark not in _FITTED:
+        spark = labelled.sparkSession
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        path = f"{base}/language-models/{mark}.npz" if base else None
+        stored = read_bytes(spark, path) if path else None
+        _FITTED[mark] = ByteCNN.loads(stored) if stored else fitted(by, sample, languages)
+        if path and not stored:
+            write_bytes(spark, path, _FITTED[mark].dumps())
+    return _FITTED[mark]
+
+
+def fitted(by: dict[tuple[str, str], list[str]], sample: Sample, languages: tuple[str, ...]) -> ByteCNN:
     rng = np.random.default_rng(sample.seed)
     ws, ys = [], []
-    for (_, lang), texts in sorted(by.items()):
+    for (_, lang), texts in by.items():
         own = []
-        for text in sorted(texts):
+        for text in texts:
             for line in SENTENCE.split(text):
                 if LETTERS.search(line):
                     own += windows(prepared(line))
@@ -218,6 +299,7 @@ def train(labelled: DataFrame, sample: Sample = Sample(), languages: tuple[str,
     agrees = model.predict(x).argmax(axis=1) == y  # wrong labels and foreign lines contradict what most rows taught
     model = ByteCNN(languages, sample.seed)
     model.fit(x[agrees], y[agrees], sample.epochs, sample.seed)
+    model.learn_grams(x[agrees], y[agrees])
     return model
 
 
