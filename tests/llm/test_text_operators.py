@@ -50,25 +50,38 @@ def test_look_alike_pairs_are_all_pairs_of_different_variants(spark):
 TURNS = {
     "phone": ["call me on 0-e1ght-0-0-n1ne-f1ve-f1ve-0n3-f1ve-thr33 now", "likh lo ০১১৩৪৭৭১৫২ bhai", "it is zero double seven 2 five six double three double six", "ring +91 98765 43210 today", "363 555 Ol68 is mine", "Zero, Six, Four, One, Nine, Three, Nine, Five, Two, Zero"],
     "email": ["write to loft_host@letters.example.org soon", "l o f t 2 @ l e t t e r s . e x a m p l e . o r g", "bills at example dot com please", "stay.palm2006 [at] inboxly [dot] example"],
-    "id_number": ["licence DL51-2004-0048605 here", "pan KEEXM0922F", "ssn 952-10-0361"],
-    "street_address": ["Flat 23B, Tower 6, Velpello Residency, Peacock Road, Velpello", "come to 404/C copper st apt 5 holmpedor", "Tamarindweg Nr. 114, 19723 Velribay", "house no. 392, gali 6, quarry nagar, Orushanagar 121924", "calle Tamarind 171, piso 4"],
-    "person_name": ["Ask for Salma Ruthmoodi when you reach us", "mera naam kabir garmoodi hai", "This is Dr Vandrel writing about it", "M. Belowitz ji, chaabi kahan hai?"],
-    None: ["Villa Farid was soaked", "Clara's Bakery sells bread", "Slate Road near Wentador is sunny", "pay tiny57@okdemobank", "Telegram @sunny_rental3", "INV 2026-3562463 is due", "parcel ZX2462332 came", "t.me/villa", "see www dot lodge dot example slash sunny655", "You will find 30 hooks"],
+    "id_number": ["licence DL51-2004-0048605 here", "pan KEEXM0922F", "ssn 952-10-0361", "my ssn is 123 45 6789", "passport number: L8899001"],
+    "street_address": ["Flat 23B, Tower 6, Velpello Residency, Peacock Road, Velpello", "come to 404/C copper st apt 5 holmpedor", "Tamarindweg Nr. 114, 19723 Velribay", "house no. 392, gali 6, quarry nagar, Orushanagar 121924", "calle Tamarind 171, piso 4", "Lindenstr. 44, 80331 Muenchen", "7 bis rue de la Paix, Lyon", "Flat 4B Sunrise Apartments, Kochi"],
+    "person_name": ["My name is Salma Ruthmoodi and I wait", "Mera naam Kabir hai", "We saw Dr Vandrel writing about it", "Regards, Mrs Lind"],
+    None: ["Villa Farid was soaked", "Clara's Bakery sells bread", "Slate Road near Wentador is sunny", "pay tiny57@okdemobank", "Telegram @sunny_rental3", "INV 2026-3562463 is due", "parcel ZX2462332 came", "t.me/villa", "see www dot lodge dot example slash sunny655", "You will find 30 hooks", "Invoice 2026-884412 is open", "THE PAINTER LEFT THE LAMP IN THE HALL"],
 }
 
 
 @pytest.mark.parametrize("kind", list(TURNS))
 def test_recognisers(kind):
     for text in TURNS[kind]:
-        got = {c[1] for c in pii.scan([text])} - {"coded", "number"}
+        got = {c[1] for c in pii.scan([text])} - {"coded", "number", "name", "opening", "words"}
         assert got == ({kind} if kind else set()), (text, got)
 
 
+def test_runs_of_capitalised_words():
+    runs = lambda t: [(t[a:b], s) for a, b, s, _, _ in pii.words_and_runs(t, [])[0]]
+    assert runs("please tell Priya Sharma that my wife Meera met Dr. A. Belo") == [("Priya Sharma", 1), ("Meera", 1), ("Dr. A. Belo", 2)]
+    assert runs("the keys of Villa Meera and Meera's Cafe near Slate Road") == [] and runs("ALL OF IT IN CAPITALS BY MEERA") == []
+    assert runs("Thanks, it was MATEO YARURST") == [("MATEO YARURST", 0)] and runs("") == []
+    assert [w for w, _, _ in pii.words_and_runs("mera naam kabir hai", [])[1]] == ["naam", "kabir"]
+
+
 def test_pieces_over_turns():
-    kinds = lambda texts: {k: v[0] for k, v in pii.pieces(texts).items()}
-    assert kinds(["hello there", "then zero one eight", "note five five five next", "last part is 4455"]) == {2: "phone", 3: "phone", 4: "phone"}
-    assert kinds(["billspalm19", "first bit: at postbox", "and dot example after that"]) == {1: "email", 2: "email", 3: "email"}
+    kinds = lambda texts: {k: [x[0] for x in v] for k, v in pii.pieces(texts).items()}
+    assert kinds(["hello there", "then zero one eight", "note five five five next", "last part is 4455"]) == {2: ["phone"], 3: ["phone"], 4: ["phone"]}
+    assert kinds(["billspalm19", "first bit: at postbox", "and dot example after that"]) == {1: ["email"], 2: ["email"], 3: ["email"]}
     assert kinds(["insta", "desk_", "cedar20"]) == {} and kinds(["then 12"]) == {} and kinds([]) == {}
+    # a piece may stand beside other sentences, however long the turn is
+    talk = "We came home late and the lamp in the hall was broken, so the cook lit a candle and read to us. " * 3
+    long = [f"{talk}Then 98765. {talk}", "ok sure", f"{talk}\nnext is 43210."]
+    got = pii.pieces(long)
+    assert {k: [long[k - 1][a:b] for _, a, b in v] for k, v in got.items()} == {1: ["98765"], 3: ["43210"]}
 
 
 def test_contexts_decide_open_numbers(spark):
@@ -82,19 +95,31 @@ def test_contexts_decide_open_numbers(spark):
     assert pii.disclosed_spans(df.limit(0)).count() == 0
 
 
-def test_names_are_found_outside_their_frames(spark):
-    rows = [("t", i, [f"Ask for Salma when you reach room {i}"]) for i in range(8)] + [("t", 50, ["the kettle of Salma broke"]), ("t", 51, ["Villa Salma was wet"]), ("t", 52, ["the kettle broke"])]
-    got = {r.rec_no for r in pii.disclosed_spans(spark.createDataFrame(rows, "tbl string, rec_no long, texts array<string>")).filter("rec_no >= 50 AND kind = 'person_name'").collect()}
-    assert got == {50}
+def names_of(spark, texts):
+    df = spark.createDataFrame([("t", i, [t]) for i, t in enumerate(texts)], "tbl string, rec_no long, texts array<string>")
+    return df, {r.rec_no for r in pii.disclosed_spans(df).filter("kind = 'person_name'").collect()}
+
+
+def test_terms_disclose_names_anywhere(spark):
+    texts = [f"My cousin Salma waits in room {i}" for i in range(8)] + ["the kettle of Salma broke", "Villa Salma was wet", "the kettle broke", "salma ko bol do", "We saw Brisbay at noon"]
+    assert names_of(spark, texts)[1] == {*range(8), 8, 11}
+
+
+def test_contexts_disclose_names(spark):
+    """Nobody introduces Tomik; he stands where known names stand."""
+    known = ["Salma", "Greta", "Kabir", "Noor"]
+    texts = [f"My cousin {n} waits here" for n in known for _ in range(4)] + [f"Look for {n} beside the well" for n in known for _ in range(4)] + [f"Look for Tomik beside the well {i}" for i in range(3)]
+    texts += ["Tomik fixed the lamp", "The lamp of Dorbay was wet"] + [f"We drove to Dorbay on day {i}" for i in range(4)]
+    got = names_of(spark, texts)[1]
+    assert {32, 33, 34, 35} <= got and not got & set(range(36, len(texts)))
 
 
 def test_whole_names_are_redacted(spark):
-    texts = ["Ask for Greta Tonurst when you reach us", "The kettle of Greta Ruthowitz broke", "We saw Greta at Slate Road", "Ask for Lena Ruthdrel when you come", "We met Lena on Monday", "mujhe chaabi lena hai", "Dena mat bhoolna", "Ask for Greta Tonurst when the hall is dark", "My guide A. Tonurst will cook"]
-    df = spark.createDataFrame([("t", i, [t]) for i, t in enumerate(texts)], "tbl string, rec_no long, texts array<string>")
+    texts = ["Tell Greta Tonurst when you reach us", "My cousin Greta Ruthowitz broke it", "We saw Greta at Slate Road", "My name is Lena Ruthdrel and I wait", "We thank Lena on Monday", "mujhe chaabi lena hai", "Dena mat bhoolna", "We met Dr. A. Tonurst there"]
+    df, _ = names_of(spark, texts)
     got = {r.rec_no: r.text for r in pii.redacted_turns(df).collect()}
     name = "[PERSON_NAME]"
-    assert [got[i] for i in range(7)] == [f"Ask for {name} when you reach us", f"The kettle of {name} broke", f"We saw {name} at Slate Road", f"Ask for {name} when you come", f"We met {name} on Monday", *texts[5:7]]
-    assert got[8] == f"My guide {name} will cook"
+    assert [got[i] for i in range(8)] == [f"Tell {name} when you reach us", f"My cousin {name} broke it", f"We saw {name} at Slate Road", f"My name is {name} and I wait", f"We thank {name} on Monday", *texts[5:7], f"We met {name} there"]
 
 
 def test_redaction_keeps_the_rest():

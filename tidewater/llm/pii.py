@@ -2,15 +2,17 @@
 
 Information-theoretic sanitisation in four steps:
 
-1. `candidates` reads every record once, as a reader sees it. Recognisers propose spans: runs of digits in any script,
-   spelled, leet or spaced; address shapes; identity-number shapes; mail addresses plain or spelled out; names in
-   frames that introduce a person; pieces of a number or mail address that are given turn by turn. A proposal whose
-   form alone tells its type is a *seed*, a protected entity; the others (plain digit runs) are open.
-2. Corpus co-occurrence: for every term the share of its occurrences inside seed names, for every context (the words
-   around a number) the co-occurrence with seed phones, seed identity numbers and other coded numbers, over all
-   records. Their pointwise mutual information says how strongly a term or context discloses an entity.
-3. Disclosure thresholds: an open number is what its contexts disclose most, if that exceeds the threshold; a term
-   that discloses a person is a name wherever it occurs, except as part of a property's name, a handle or an address.
+1. `candidates` reads every record once, as a reader sees it. Recognisers propose spans from general shapes: runs of
+   digits in any script, spelled, leet or spaced; address shapes; identity-number shapes; mail addresses plain or
+   spelled out; runs of capitalised words; pieces of a number or mail address that are given turn by turn. A proposal
+   whose form alone tells its type is a *seed*, a protected entity: for names a title, a self-introduction, a relative
+   or helper by name, an act of speech. The others (plain digit runs, other capitalised runs) are open.
+2. Corpus co-occurrence: terms with the contexts they stand in, counted over all records. P(name | term) over the seeds
+   says how strongly a term discloses a person; the mean of that over the terms of a context, how strongly the context
+   does. For numbers, log2 P(context | kind) / P(context | coded) of the seed phones, identity and coded numbers.
+3. Disclosure thresholds: a term is a name if enough of its occurrences stand in disclosing contexts, and then wherever
+   it occurs, except as part of a property's name, a handle or an address. An open number is what its contexts disclose
+   most, if that exceeds the threshold.
 4. `redact` generalises each disclosed span to a placeholder of its type and leaves the rest of the text as it is.
 
 Counts are joined, never collected: terms and contexts can be as many as the corpus makes them.
@@ -25,12 +27,14 @@ without any seed in the corpus open numbers fall back to their length; an empty
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater import constants as K
 from tidewater.llm.skeleton import consistent
 from tidewater.runtime import cut, spread
 
@@ -78,22 +82,33 @@ IDS = re.compile(
     r"[A-Z]{2}\d{6}[A-Z]|\d{2}[A-Z]{2}\d{5})(?![\w-])",
     re.I,
 )
+#: Numbers behind a word that says what they are.
+CUED_ID = re.compile(r"\b(?:ssn|social security|aadha?ar|passport|driving licen[cs]e|tax id|steuer-?id|personalausweis)(?:\s+(?:no\.?|number|is|hai))*\s*[:#]?\s*([A-Z]{0,3}\d(?:[\s-]?\d){5,13})(?![\w-])", re.I)
 STREET = r"(?:street|st|road|rd|lane|ln|close|avenue|ave|marg|nagar|gali|crescent|boulevard|blvd)"
+BLOCK = r"(?:residency|towers?|apartments?|heights|enclave|mansions?)"
 NAME_WORD = r"(?!(?:a|an|the|in|on|at|of|to|is|for|from|and|or|by|with)\b)[^\W\d_]+"
 AREA = rf"(?:\s*,\s*{NAME_WORD}(?:\s+{STREET}\b\.?)?)"
 ADDRESS = re.compile(
     rf"""(?<![\w/#])(?:
-      (?:flat|apartment|apt|unit|door|room)\s*(?:no\.?)?\s*\d+\s?-?[a-z]?\s*,\s*(?:[\w\s]{{1,30}},\s*){{0,4}}[\w\s]{{0,30}}\b(?:residency|towers?|{STREET})\b{AREA}{{0,2}}
+      (?:flat|apartment|apt|unit|door|room)\s*(?:no\.?)?\s*\d+\s?-?[a-z]?\s*,?\s*(?:[\w\s]{{1,30}},\s*){{0,4}}[\w\s]{{0,30}}\b(?:{BLOCK}|{STREET})\b{AREA}{{0,2}}
     | (?:house|h\.?|plot|door)\s*(?:no\.?)?\s*\d+[\w/-]*\s*,\s*[^.;!?\n]{{0,60}}?\b(?:{NAME_WORD}\s+)?(?:marg|nagar|road|street|lane)\b\.?(?:\s*,\s*{NAME_WORD}(?:\s+\d{{5,6}})?)?
     | \d{{1,4}}(?:\s?[/-]\s?\w{{1,3}})?[a-z]?\s+(?:{NAME_WORD}\s+){{1,3}}{STREET}\b\.?(?:\s+(?:apt|flat|unit)\.?\s*\d+)?(?:,?\s*{NAME_WORD})?
-    | {NAME_WORD}(?:weg|stra(?:ß|ss)e|gasse|platz|allee)\s+(?:nr\.?\s*)?\d+[a-z]?(?:\s*,\s*\d{{5}}\s+{NAME_WORD})?
+    | {NAME_WORD}(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee)\s+(?:nr\.?\s*)?\d+[a-z]?(?:\s*,\s*\d{{5}}\s+{NAME_WORD})?
+    | \d{{1,4}}(?:\s?(?:bis|ter))?\s*,?\s+(?:rue|quai|impasse|chemin|boulevard|avenue)\s+(?:(?:de|du|des|la|le)\s+){{0,2}}{NAME_WORD}(?:\s*,\s*(?:\d{{5}}\s+)?{NAME_WORD})?
     | (?:calle|avenida|rue|via)\s+{NAME_WORD}(?:\s+{NAME_WORD})?\s*,?\s*\d+(?:\s*,\s*piso\s*\d+)?(?:\s*,\s*{NAME_WORD})?
     )""",
     re.I | re.X,
 )
 
-AT = r"(?:\s*@\s*|\s*[\[({<]\s*(?:at|aat|@)\s*[\])}>]\s*|\s+(?:at|aat)\s+)"
-DOT = r"(?:\s*[\[({<]\s*(?:dot|d0t|dawt|daht|\.)\s*[\])}>]\s*|\s+(?:dot|d0t|dawt|daht)\s+)"
+_SPELLED = [w for w in (*K.AT_WORDS.split("|"), *K.DOT_WORDS.split("|")) if w.isalnum()]
+AT_SPELLED = "|".join(w for w in _SPELLED if w in K.AT_WORDS.split("|"))
+DOT_SPELLED = "|".join(w for w in _SPELLED if w in K.DOT_WORDS.split("|"))
+AT = rf"(?:\s*@\s*|\s*[\[({{<]\s*(?:{K.AT_WORDS})\s*[\])}}>]\s*|\s+(?:{AT_SPELLED})\s+)"
+DOT = rf"(?:\s*[\[({{<]\s*(?:{K.DOT_WORDS})\s*[\])}}>]\s*|\s+(?:{DOT_SPELLED})\s+)"
+#: What a text must hold before the patterns of mail addresses, links and street addresses are tried on it.
+MAY_MAIL = re.compile(rf"@|{DOT_SPELLED}|(?:{AT_SPELLED})\s*[\])}}>]", re.I)
+MAY_LINK = re.compile(r"[/@#]|www", re.I)
+MAY_ADDRESS = re.compile(rf"\b{STREET}\b|\b{BLOCK}\b|weg\b|stra(?:ß|ss)e|str\.|gasse|platz|allee|\b(?:calle|avenida|rue|via|quai|impasse|chemin)\b", re.I)
 LABEL = r"[a-z0-9][a-z0-9-]*"
 LOCAL = rf"[a-z0-9][a-z0-9._%+-]*(?:{DOT}[a-z0-9][a-z0-9._%+-]*)?"
 PERIOD = rf"(?:\.(?=\S)|\s\.\s|{DOT})"
@@ -120,45 +135,26 @@ NOT_A_NAME = set(
     asked whether said says told kept found opened rukwa mil pi
     somvaar mangalvaar budhvaar guruvaar shukravaar shanivaar ravivaar monday tuesday wednesday thursday friday saturday sunday""".split()
 )
-#: Hindi verbs that are given names too; `is_verb` tells them apart.
+#: Hindi verbs that are given names too; only capitalised ones away from a sentence's start count.
 VERB_OR_NAME = {"lena", "dena"}
-TITLE = r"(?:(?:mr|mrs|ms|miss|dr|prof|shri|smt|herr|frau|señora?|madame)\b\.?\s+)?"
+# Words that show what form alone settles.
+TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "smt", "herr", "frau", "señora", "señor", "madame"}
+RELATION = set(
+    """cook nephew niece caretaker porter gardener husband wife uncle aunt son daughter sister brother brother-in-law mother father grandmother grandfather guide driver plumber
+    painter electrician carpenter cleaner teammate colleague co-host flatmate roommate landlord tenant neighbour receptionist cousin friend manager""".split()
+)
+POSSESSIVE = {"my", "our", "his", "her", "their", "mere", "meri", "mera", "hamare", "hamari", "apne", "apni"}
+INTRODUCES = {("name", "is"), ("mera", "naam"), ("meri", "naam"), ("am", "called"), ("is", "called"), ("is", "named"), ("are", "called"), ("name", "of"), ("this", "is")}
+SPOKEN_TO = {"tell", "ask", "thank", "inform", "remind", "meet", "met"}
+SPEAKS = {"told", "said", "says", "wrote", "ji"}
+AFTER_THIS_IS = {"writing", "calling", "speaking", "texting", "here"}
 PART = r"(?:[^\W\d_]\.|[^\W\d_]{2,}(?:['’-][^\W\d_]+)*)"
-NAME = rf"({TITLE}{PART}(?:\s+{PART}){{0,2}})"
 # Fillers around what a turn says.
 FILLER = r"(?:hello there|hello ji|hello|hi|hey|arre|ok(?:ay)?(?:\s+na)?|just saying|by the way|bas|theek hai|thanks|cheers|haan)"
-START = rf"(?:^|(?<=[.!?।…])\s+|\n\s*|(?<=[\"“'])\s*)(?:{FILLER}\s*[,.!?]+\s*)?"
-ROLE = r"(?:cook|nephew|niece|caretaker|porter|gardener|husband|wife|uncle|aunt|son|daughter|sister|brother(?:-in-law)?|mother|father|grandmother|grandfather|guide|driver|plumber|painter|electrician|carpenter|cleaner|teammate|colleague|co-host|flatmate|roommate|landlord|tenant|neighbour|receptionist|cousin|friend|manager)"
-DAY = r"(?:aaj|kal|parso|somvaar|mangalvaar|budhvaar|guruvaar|shukravaar|shanivaar|ravivaar)"
-FRAMES = [
-    re.compile(p, re.I)
-    for p in (
-        rf"\b(?:ask|asking|look|looking) for {NAME} when\b",
-        rf"\bthis is {NAME} (?:writing|calling|speaking|texting|here)\b",
-        rf"\bguests?: {NAME} plus\b",
-        rf"\bi met {NAME} (?:at|near|in|by)\b",
-        rf"\bdid {NAME} already\b",
-        rf"{START}{NAME} here\s*,",
-        rf"{START}{NAME} will \w+",
-        rf"\b(?:is|are) (?:called|named) {NAME}\s*[,.]",
-        rf"\b(?:my|our)(?: \w+)? {ROLE} {NAME} will\b",
-        rf"\bbooking is under {NAME}\s*,",
-        rf"\bgive the [^.?!]*? to {NAME} please\b",
-        rf"\b(?:mera|meri) naam {NAME} (?:hai|hoon)\b",
-        rf"\b(?:my name is|i am called) {NAME}(?=[,.!?]|\s+and\b|$)",
-        rf"\bbooking {NAME} ke naam\b",
-        rf"{START}{NAME} ji\s*,",
-        rf"\bmain {NAME} bol (?:rahi|raha)\b",
-        rf"\b(?:mere|meri)(?: \w+)? {ROLE} {NAME} ko\b",
-        rf"\bpe {NAME} se mil\b",
-        rf"{START}{NAME} {DAY} ko aayeg[ai]\b",
-        # after a closing word anything may follow, so here a title or an initial must introduce the name
-        rf"\b(?:thanks|regards|cheers|dhanyavaad)\s*,\s*((?:{TITLE[3:-2]}|[^\W\d_]\.)\s*[^\W\d_]{{2,}})",
-    )
-]
-#: Words before or after a name that make it the name of a property, shop or street.
-PROPERTY_BEFORE = re.compile(r"\b(?:villa|casa|hotel|hostel|café|cafe|chez|homestay|cottage|palazzo|haus|restaurant|pension)\s+$", re.I)
-PROPERTY_AFTER = re.compile(r"^(?:['’]s\b|\s+(?:bakery|villa|hotel|hostel|cafe|café|store|shop|stores|market|kitchen|road|street|lane|marg|residency|tower|house|homestay|cottage|inn)\b)", re.I)
+# Words before or after a name that make it the name of a property, shop or street.
+PROPERTY_BEFORE = set("villa casa hotel hostel café cafe chez homestay cottage palazzo haus restaurant pension".split())
+PROPERTY_AFTER = set("bakery villa hotel hostel cafe café store shop stores market kitchen road street lane marg residency tower house homestay cottage inn".split())
+OWNER = re.compile(r"['’]s$", re.I)
 
 # Words that open a sentence with a capital; where its stop is missing they stand beside a name.
 OPENERS = set(
@@ -169,46 +165,13 @@ OPENERS = set(
     under over near inside outside once again january february march april may june july august september october november december
     humne tumne usne maine unhone jab tab kahan kaun kaise kab kyunki lekin yahan wahan har roz pichhle agle cab room key door house number""".split()
 )
-SENTENCE_START = re.compile(r"(?:^|[.!?।…:]\s+|\n\s*|[\"“'(]\s*)$")
-RUN_WORD = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*|[^\W\d_]\.")
-NEXT_WORD = re.compile(rf"\s({RUN_WORD.pattern})(?!\w)")
-LAST_WORD = re.compile(rf"(?<![\w@#/.'’-])({RUN_WORD.pattern})\s$")
-
-
-def is_verb(words: list[str]) -> bool:
-    """A framed name holds lena or dena as a verb: in lower case, and alone or behind other words, where a verb stands."""
-    return any(w in VERB_OR_NAME and (k > 0 or len(words) == 1) for k, w in enumerate(words))
-
-
-def part_of_name(word: str) -> bool:
-    """Written like a part of a name: a capital and small letters, or an initial, and no word of the language."""
-    w = word.strip(".").lower()
-    if word.endswith("."):
-        return word[0].isupper()
-    return word[0].isupper() and (len(w) == 1 or not word.isupper()) and w not in NOT_A_NAME and w not in OPENERS
-
-
-def name_run(text: str, a: int, b: int) -> tuple[int, int]:
-    """The run of capitalised words around the capitalised word at [a, b). The first word of a sentence joins only as
-    an initial, since any word has a capital there; words of a property's name do not join."""
-    if not part_of_name(text[a:b]):
-        return a, b
-    while (m := NEXT_WORD.match(text, b)) and part_of_name(m[1]) and not PROPERTY_AFTER.match(text[b : m.end()]) and not PROPERTY_AFTER.match(text[m.end() : m.end() + 14]):
-        b = m.end(1)
-    while (m := LAST_WORD.search(text[max(0, a - 40) : a])) and part_of_name(m[1]):
-        start = max(0, a - 40) + m.start(1)
-        if PROPERTY_BEFORE.search(text[start:a]) or (len(m[1]) > 2 and SENTENCE_START.search(text[:start])):
-            break
-        a = start
-    return a, b
-
 
 # ---------------------------------------------------------------- pieces over turns
 
 OPENS = re.compile(rf"^(?:\s*{FILLER}?\s*[,.!?]+\s*)+", re.I)
 CLOSES = re.compile(rf"(?:[\s,.!?]+{FILLER}?\s*[,.!?]+)+\s*$", re.I)
 PIECE_FRAMES = re.compile(
-    r"^\s*(?:then|first bit:?|last part is|note|next is|phir|aur last mein|last mein|pehle|ab|uske baad|and|aur)?\s*(?P<x>.{1,48}?)\s*(?:after that|next|likho|likh lo)?\s*[.!]?\s*$", re.I
+    r"^\s*(?:then|first bit:?|last part is|note|next is|phir|aur last mein|last mein|pehle|ab|uske baad|and|aur)?\s*(?P<x>.+?)\s*(?:after that|next|likho|likh lo)?\s*[.!]?\s*$", re.I
 )
 PLATFORM = re.compile(r"^(?:insta(?:gram)?|telegram|snap(?:chat)?|discord|whatsapp|wa|fb|facebook|kik|line|signal|twitter|x)$", re.I)
 AT_PIECE = re.compile(rf"^(?:(?:[a-z0-9._%+-]+\s*)?@\s*(?:{LABEL}(?:\.{LABEL})*)?|(?:at|aat)\s+{LABEL}(?:\s*(?:dot|\.)\s*{LABEL})*)$", re.I)
@@ -216,38 +179,59 @@ DOMAIN_PIECE = re.compile(rf"^(?:(?:dot|\.)\s*{LABEL}(?:\s*(?:dot|\.)\s*{LABEL})
 LOCAL_PIECE = re.compile(r"^[a-z][a-z0-9._%+-]*\d[a-z0-9._%+-]*$|^[a-z]+[._-][a-z0-9._-]+$", re.I)
 
 
-def pieces(texts: list[str]) -> dict[int, tuple[str, int, int]]:
-    """turn number -> (type, start, end) of pieces of one phone number or mail address over several turns."""
-    numbers: dict[int, tuple[str, int, int]] = {}
-    mails: dict[int, tuple[int, int, bool]] = {}
+SENTENCE = re.compile(r"[^.!?।…\n](?:[^.!?।…\n]|[.!?](?=\S))*[.!?।…]*")
+
+
+def pieces(texts: list[str]) -> dict[int, list[tuple[str, int, int]]]:
+    """turn number -> (type, start, end) of pieces of one phone number or mail address over several turns. A piece is the
+    whole of a sentence but for words that lead up to it or close it; the turn may hold other sentences."""
+    if len(texts) < 2:
+        return {}
+    numbers: dict[int, list[tuple[str, int, int]]] = {}
+    mails: dict[int, list[tuple[int, int, bool]]] = {}
     platform = False
     for k, text in enumerate(texts, 1):
-        if not text or len(text) > 120:
-            continue
         opens, closes = OPENS.match(text), CLOSES.search(text)
-        lo, hi = opens.end() if opens else 0, closes.start() if closes else len(text)
-        m = PIECE_FRAMES.match(text[lo:hi])
-        if not m or not m["x"]:
-            continue
-        x = m["x"].strip()
-        span = (lo + m.start("x"), lo + m.end("x"))
-        run = NUMBER.fullmatch(readable_digits(x))
-        if run:
-            numbers[k] = (digits_of(readable_digits(x)), *span)
-        elif PLATFORM.match(x):
-            platform = True
-        elif AT_PIECE.match(x):
-            mails[k] = (*span, True)
-        elif DOMAIN_PIECE.match(x) or LOCAL_PIECE.match(x):
-            mails[k] = (*span, False)
-    out: dict[int, tuple[str, int, int]] = {}
-    if len(numbers) > 1 and sum(len(d) for d, _, _ in numbers.values()) >= 8:
-        out |= {k: ("phone", a, b) for k, (_, a, b) in numbers.items()}
-    if len(mails) > 1 and not platform and any(s for _, _, s in mails.values()):
-        out |= {k: ("email", a, b) for k, (a, b, _) in mails.items()}
+        start, end = opens.end() if opens else 0, closes.start() if closes else len(text)
+        # the turn as one sentence, else each of its sentences
+        whole = PIECE_FRAMES.match(text[start:end])
+        spans = [(start, end)] if whole and _piece(whole["x"]) else [m.span() for m in SENTENCE.finditer(text)]
+        for lo, hi in spans:
+            m = PIECE_FRAMES.match(text[lo:hi])
+            kind = _piece(m["x"]) if m else None
+            if kind is None:
+                continue
+            span = (lo + m.start("x"), lo + m.end("x"))
+            if kind == "number":
+                numbers.setdefault(k, []).append((digits_of(readable_digits(m["x"].strip())), *span))
+            elif kind == "platform":
+                platform = True
+            else:
+                mails.setdefault(k, []).append((*span, kind == "at"))
+    out: dict[int, list[tuple[str, int, int]]] = {}
+    if len(numbers) > 1 and sum(len(d) for ds in numbers.values() for d, _, _ in ds) >= 8:
+        for k, ds in numbers.items():
+            out.setdefault(k, []).extend(("phone", a, b) for _, a, b in ds)
+    if len(mails) > 1 and not platform and any(s for ms in mails.values() for _, _, s in ms):
+        for k, ms in mails.items():
+            out.setdefault(k, []).extend(("email", a, b) for a, b, _ in ms)
     return out
 
 
+def _piece(x: str) -> str | None:
+    """What a sentence is as a piece: number, platform, at (holds the at-sign), mail, or nothing."""
+    x = x.strip()
+    if not x or x.count(" ") > 40:  # more words than any number or address spelled out
+        return "number" if x and NUMBER.fullmatch(readable_digits(x)) else None
+    if NUMBER.fullmatch(readable_digits(x)):
+        return "number"
+    if PLATFORM.match(x):
+        return "platform"
+    if AT_PIECE.match(x):
+        return "at"
+    return "mail" if DOMAIN_PIECE.match(x) or LOCAL_PIECE.match(x) else None
+
+
 # ---------------------------------------------------------------- candidates
 
 # Code words before numbers that name a thing.
@@ -264,36 +248,127 @@ def contexts(text: str, a: int, b: int) -> list[str]:
     return [f"l {left[-1]}", f"l {left[-2]} {left[-1]}", f"r {right[0]}", f"r {right[0]} {right[1]}", f"b {left[-1]} {right[0]}"]
 
 
-def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, str, list[str]]]:
+NAME_TOKEN = re.compile(r"[^\W\d_]\.(?=\s[^\W\d_])|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]|_")
+STOPS = set(".!?।…:\"“(")
+
+
+def _name_like(word: str, following: str) -> bool:
+    """A capital and small letters, an initial, or three capitals and more that are no code; no word of the language."""
+    if not word[0].isupper():
+        return False
+    w = word.lower()
+    if w.endswith("."):  # an initial
+        return True
+    if w in NOT_A_NAME or w in OPENERS or w in SPOKEN_TO or w == "let" or word.endswith("'s") or word.endswith("’s"):
+        return False
+    return len(w) == 1 or not word.isupper() or (len(w) > 2 and not following[:1].isdigit() and following != "-")
+
+
+def words_and_runs(text: str, busy: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, list[str], list[str]]], list[tuple[str, int, int]]]:
+    """(runs, words): the runs of words that are written like a name as (start, end, seed, terms, contexts), seed 2 where
+    form alone settles it, 1 where it makes a name likely; and the
+    other words as (term, start, end), which are decided by their term alone. A turn without capitals, or in capitals, hides which
+    words are written like names, so it has no runs."""
+    toks = [(m.start(), m.end(), m.group()) for m in NAME_TOKEN.finditer(text)]
+    words = [t[2] for t in toks]
+    cased = any(w[0].isupper() and w[1:].islower() for w in words if len(w) > 1)
+    low = [w.lower() if not w.isdigit() else "9" for w in words]
+    n = len(toks)
+    # a stretch of more than three words in capitals is written in capitals, not a name
+    loud = [False] * n
+    capitals: list[int] = []
+    for k in range(n + 1):
+        if k < n and (not words[k][0].isalpha() or len(words[k]) == 1):
+            continue
+        if k < n and words[k].isupper():
+            capitals.append(k)
+            continue
+        if len(capitals) > 3:
+            for c in capitals:
+                loud[c] = True
+        capitals = []
+    word = lambda i: low[i] if 0 <= i < n else "^" if i < 0 else "$"
+    hit = lambda a, b: any(x < b and a < y for x, y in busy)
+    place = lambda i, j: word(i - 1) in PROPERTY_BEFORE or (word(j) in PROPERTY_AFTER and text[toks[j - 1][1] : toks[j][0]].isspace()) or low[j - 1] in PROPERTY_AFTER or bool(OWNER.search(words[j - 1]))
+    runs, loose = [], []
+    i = 0
+    while i < n:
+        a, b, w = toks[i]
+        following = words[i + 1] if i + 1 < n else ""
+        title = cased and low[i].strip(".") in TITLES and (w[0].isupper() or following == ".")
+        first = j = i + 1 + (following == ".") if title else i
+        while cased and j < n and j - first < 3 and not loud[j] and _name_like(words[j], words[j + 1] if j + 1 < n else "") and (j == first or text[toks[j - 1][1] : toks[j][0]] in (" ", "")):
+            j += 1
+        if j == first:
+            if len(w) > 2 and (w.islower() or loud[i] or not cased) and w[0].isalpha() and low[i] not in NOT_A_NAME and low[i] not in TITLES and low[i] not in VERB_OR_NAME and not hit(a, b) and not place(i, i + 1):
+                loose.append((low[i], a, b))
+            i += 1
+            continue
+        a, b = toks[i if title else first][0], toks[j - 1][1]
+        terms = [low[k] for k in range(first, j) if len(low[k].strip(".")) > 2]
+        opens = i == 0 or words[i - 1] in STOPS or "\n" in text[toks[i - 1][1] : a]
+        verb = opens and j - first == 1 and low[first] in VERB_OR_NAME
+        if terms and not verb and not hit(a, b) and not place(i, j):
+            l1, l2, l3 = word(i - 1), word(i - 2), word(i - 3)
+            r1, r2 = word(j), word(j + 1)
+            introduced = (l2, l1) in INTRODUCES and ((l2, l1) != ("this", "is") or r1 in AFTER_THIS_IS)
+            seed = (
+                (l1 in RELATION and (l2 in POSSESSIVE or l3 in POSSESSIVE))
+                or (l1 == "main" and r1 == "bol")
+                or (l1 in SPOKEN_TO and not opens)
+                or (l1 == "let" and r1 == "know")
+                or r1 in SPEAKS
+                or (r1 == "here" and r2 == "," and opens)
+                or (r1 == "ke" and r2 == "naam")
+            )
+            edge = "^" if opens else l1
+            # the first word of a sentence has its capital anyway, so there it must be no word of the language
+            if opens and j - first == 1 and not title:
+                loose.append((terms[0], a, b))
+            runs.append((a, b, 2 if title or introduced else int(seed), terms, [f"l {'^' if opens else l2} {edge}", f"r {r1} {r2}", f"b {edge} {r1}"]))
+        i = j
+    return runs, loose
+
+
+def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, list[str], list[str]]]:
     """(turn_no, type, is_seed, start, end, terms, contexts) over the consistent texts of a record. Types besides the
-    five: `number` for open digit runs, `coded` for numbers of things."""
+    five: `number` for open digit runs (its digits are the one term), `coded` for numbers of things, `name` for runs that
+    may be names, `opening` for single words at the start of a sentence, which count for the statistics and stand among
+    the `words` too, and one row of `words` with the other words of a turn (their places in `contexts`)."""
     out = []
     plain = [consistent(t) if t is not None else "" for t in texts]
     split = pieces(plain)
     for k, text in enumerate(plain, 1):
         if not text:
             continue
-        if k in split:
-            kind, a, b = split[k]
-            out.append((k, kind, False, a, b, "", []))
-            continue
         taken: list[tuple[int, int]] = []
+        for kind, a, b in split.get(k, ()):
+            taken.append((a, b))
+            out.append((k, kind, False, a, b, [], []))
         free = lambda a, b: all(b <= x or a >= y for x, y in taken)  # noqa: E731, B023
-        for m in EMAIL.finditer(text):
-            taken.append(m.span())
-            out.append((k, "email", True, *m.span(), "", []))
-        links = [m.span() for m in LINK.finditer(text)]
-        for m in ADDRESS.finditer(text):
-            if free(*m.span()):
-                taken.append(m.span())
-                out.append((k, "street_address", True, *m.span(), "", []))
-        for m in IDS.finditer(text):
-            if free(*m.span()) and re.search(r"\d", m.group()):
-                taken.append(m.span())
-                out.append((k, "id_number", True, *m.span(), "", contexts(text, *m.span())))
+        if MAY_MAIL.search(text):
+            for m in EMAIL.finditer(text):
+                if free(*m.span()):
+                    taken.append(m.span())
+                    out.append((k, "email", True, *m.span(), [], []))
+        links = [m.span() for m in LINK.finditer(text)] if MAY_LINK.search(text) else []
         digits = readable_digits(text)
+        numbered = any(ch.isdigit() for ch in text)
+        if numbered and MAY_ADDRESS.search(text):
+            for m in ADDRESS.finditer(text):
+                if free(*m.span()):
+                    taken.append(m.span())
+                    out.append((k, "street_address", True, *m.span(), [], []))
+        if numbered:
+            for span in [m.span() for m in IDS.finditer(text)] + [m.span(1) for m in CUED_ID.finditer(text)]:
+                if free(*span):
+                    taken.append(span)
+                    out.append((k, "id_number", True, *span, [], contexts(text, *span)))
+        numbers: list[tuple[int, int]] = []
         for m in NUMBER.finditer(digits):
             a, b = m.span()
+            if b - a < 7:
+                continue
             while b > a and not (digits[b - 1].isalnum() or digits[b - 1] == "⃣"):
                 b -= 1
             value = digits_of(digits[a:b])
@@ -301,92 +376,81 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, str, l
                 continue
             if digits[max(0, a - 1) : a] == "-" and a > 1 and digits[a - 2].isalnum():
                 continue
+            numbers.append((a, b))
             run = text[a:b]
-            coded = bool(CODED.search(text[max(0, a - 6) : a])) and text[a - 1 : a] != "+"
-            evasive = bool(EVASIVE.search(run)) and len(value) >= 9
-            date = re.fullmatch(r"(?:19|20)\d\d-\d\d-\d\d", run)
-            if date:
+            if re.fullmatch(r"(?:19|20)\d\d-\d\d-\d\d", run):
                 continue
-            if evasive:
+            coded = bool(re.fullmatch(r"(?:19|20)\d\d[-/]\d{3,}", run)) or bool(CODED.search(text[max(0, a - 6) : a])) and text[a - 1 : a] != "+"
+            if EVASIVE.search(run) and len(value) >= 9:
                 kind, seed = "phone", True
             elif coded or not 9 <= len(value) <= 15:
                 kind, seed = "coded", True
             else:
                 kind, seed = "number", False
-            out.append((k, kind, seed, a, b, value if kind == "number" else "", contexts(text, a, b)))
-        busy = taken + links
-        for frame in FRAMES:
-            for m in frame.finditer(text):
-                a, b = m.span(1)
-                words = [w.strip(".").lower() for w in m.group(1).split()]
-                if any(w.strip(".").lower() in NOT_A_NAME for w in m.group(1).split() if not re.fullmatch(r"[A-Z]\.", w)) or is_verb(m.group(1).split()) or any(x < b and a < y for x, y in busy):
-                    continue
-                if PROPERTY_BEFORE.search(text[:a]) or PROPERTY_AFTER.match(text[b:]):
-                    continue
-                busy.append((a, b))
-                out.append((k, "person_name", True, a, b, " ".join(w for w in words if len(w) > 2), []))
+            out.append((k, kind, seed, a, b, [value] if kind == "number" else [], contexts(text, a, b)))
+        runs, loose = words_and_runs(text, taken + links + numbers)
+        for a, b, seed, terms, ctx in runs:
+            if (terms[0], a, b) in loose:
+                out.append((k, "opening", seed > 0, a, b, terms, ctx))
+                continue
+            out.append((k, "name", seed > 0, a, b, terms, ctx))
+            if seed > 1:  # a title or an introduction needs no corpus
+                out.append((k, "person_name", True, a, b, [], []))
+        if loose:
+            out.append((k, "words", False, 0, 0, [w for w, _, _ in loose], [f"{a} {b}" for _, a, b in loose]))
     return out
 
 
 COLUMNS = ["tbl", "rec_no", "turn_no", "kind", "seed", "a", "b", "terms", "ctx"]
-SCHEMA = "tbl string, rec_no long, turn_no int, kind string, seed boolean, a int, b int, terms string, ctx array<string>"
+SCHEMA = "tbl string, rec_no long, turn_no int, kind string, seed boolean, a int, b int, terms array<string>, ctx array<string>"
+LOWER_WORD = re.compile(r"(?<![^\W_])[^\W\d_A-Z]{3,}(?![^\W_])")
 
 
 def candidates(records: DataFrame) -> DataFrame:
-    """Proposals of every record of (tbl, rec_no, texts)."""
+    """Proposals of every record of (tbl, rec_no, texts), and per batch one row of kind `lower` for each word with the
+    number of times it stands in small letters (in `a`)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, r, *c) for t, r, texts in zip(b["tbl"], b["rec_no"], b["texts"]) for c in scan(list(texts) if texts is not None else [])]
+            rows = []
+            lower: Counter = Counter()
+            for t, r, texts in zip(b["tbl"], b["rec_no"], b["texts"]):
+                texts = list(texts) if texts is not None else []
+                rows += [(t, r, *c) for c in scan(texts)]
+                for text in texts:
+                    if text and not text.islower():
+                        lower.update(set(LOWER_WORD.findall(text)))
+            rows += [(None, None, None, "lower", False, n, 0, [w], []) for w, n in lower.items()]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return spread(records.select("tbl", "rec_no", "texts"), "tbl", "rec_no").mapInPandas(run, SCHEMA)
 
 
-TERM = re.compile(r"[^\W\d_]{3,}(?:['’-][^\W\d_]+)*")
-TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "smt", "herr", "frau"}
-
-
-def term_occurrences(records: DataFrame) -> DataFrame:
-    """(tbl, rec_no, turn_no, a, b, term) of words that could be part of a name, with the run of capitalised words
-    around each; words in links, handles, addresses and property names are left out, as they disclose nobody."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for tbl, rec, texts in zip(batch["tbl"], batch["rec_no"], batch["texts"]):
-                for k, raw in enumerate(texts if texts is not None else [], 1):
-                    text = consistent(raw) if raw else ""
-                    busy = [m.span() for p in (EMAIL, LINK, ADDRESS) for m in p.finditer(text)]
-                    for m in TERM.finditer(text):
-                        a, b = m.span()
-                        w = m.group()
-                        term = re.sub(r"['’]s$", "", w.lower())
-                        if term in NOT_A_NAME or term in TITLES or any(x < b and a < y for x, y in busy):
-                            continue
-                        if PROPERTY_BEFORE.search(text[max(0, a - 14) : a]) or PROPERTY_AFTER.match(text[a + len(term) : b + 14]):
-                            continue
-                        if term in VERB_OR_NAME and (not w[0].isupper() or (SENTENCE_START.search(text[:a]) and name_run(text, a, b) == (a, b))):
-                            continue
-                        x, y = name_run(text, a, b)
-                        if any(p < y and x < q for p, q in busy):
-                            x, y = a, b
-                        rows.append((tbl, rec, k, x, y, term))
-            yield pd.DataFrame(rows, columns=["tbl", "rec_no", "turn_no", "a", "b", "term"])
-
-    return spread(records.select("tbl", "rec_no", "texts"), "tbl", "rec_no").mapInPandas(run, "tbl string, rec_no long, turn_no int, a int, b int, term string")
-
-
 # ---------------------------------------------------------------- disclosure
 
 
-def name_terms(cands: DataFrame, terms: DataFrame, disclose: float = 0.35) -> DataFrame:
-    """(term) that discloses a person: P(name | term) over the corpus is at least `disclose`, however rare
-    the term is."""
-    seeds = cands.filter("kind = 'person_name'").select(F.explode(F.split("terms", " ")).alias("term")).filter("length(term) > 2")
-    inside = seeds.groupBy("term").agg(F.count("*").alias("k"))
-    total = terms.groupBy("term").agg(F.count("*").alias("n"))
-    return inside.join(total, "term").filter(F.col("k") >= disclose * F.greatest("n", "k")).select("term")
+def name_terms(cands: DataFrame, disclose: float = 0.35, telling: float = 0.4, met: int = 3) -> DataFrame:
+    """(term, small) of terms that disclose a person.
+
+    P0(term): share of its runs that are seeds. A context tells names if it was met `met` times or more and the mean of P0
+    over the terms in it is `telling` or more. A term is a name if, on one side or around it, `disclose` of its runs stand
+    in telling contexts or are seeds. `small` says whether it is one in small letters too: not if it stands so more than
+    twice as often, as words of the language do."""
+    runs = cands.filter("kind IN ('name', 'opening')")
+    pairs = runs.select("seed", F.explode(F.array_distinct("terms")).alias("term"), "ctx").select("term", "seed", F.explode("ctx").alias("ctx"))
+    pairs = cut(pairs.groupBy("term", "ctx").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("k")))
+    side = F.substring("ctx", 1, 1)
+    per_term = pairs.filter(side == "l").groupBy("term").agg(F.sum("n").alias("all"), F.sum("k").alias("seeds")).withColumn("p0", F.col("seeds") / F.col("all"))
+    per_term = cut(per_term)
+    by_context = pairs.join(per_term.select("term", "p0"), "term").groupBy("ctx").agg(F.sum("n").alias("m"), (F.sum(F.col("n") * F.col("p0")) / F.sum("n")).alias("p"))
+    worded = F.col("ctx").rlike(r"^..*\p{L}{2}")  # ends and marks alone say nothing
+    tells = by_context.filter(worded & (F.col("m") >= met) & (F.col("p") >= telling)).select("ctx", F.lit(True).alias("tells"))
+    shown = F.when(F.col("tells"), F.col("n")).otherwise(F.col("k"))
+    sides = pairs.join(tells, "ctx", "left").groupBy("term", side.alias("side")).agg(F.sum(shown).alias("shown"))
+    best = sides.groupBy("term").agg(F.max("shown").alias("shown"))
+    lower = cands.filter("kind = 'lower'").groupBy(F.col("terms")[0].alias("term")).agg(F.sum("a").alias("lower"))
+    judged = per_term.join(best, "term").join(lower, "term", "left")
+    return judged.filter(F.col("shown") >= disclose * F.col("all")).select("term", (F.coalesce("lower", F.lit(0)) <= 2 * F.col("all")).alias("small"))
 
 
 def number_kinds(cands: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -399,7 +463,7 @@ def number_kinds(cands: DataFrame, threshold: float = 0.0) -> DataFrame:
     size = seeds.agg(F.struct(*[F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_all") for k in ("phone", "id_number", "coded")]))
     share = lambda k: (F.col(k) + 0.2) / (F.coalesce(F.col(f"size.{k}_all"), F.lit(0)) + 2.0)
     info = per.withColumn("size", size.scalar()).select("f", *[F.log2(share(k) / share("coded")).alias(f"i_{k}") for k in ("phone", "id_number")])
-    open_ = cands.filter("kind = 'number'").select("tbl", "rec_no", "turn_no", "a", "b", F.length("terms").alias("n"), F.explode("ctx").alias("f"))
+    open_ = cands.filter("kind = 'number'").select("tbl", "rec_no", "turn_no", "a", "b", F.length(F.col("terms")[0]).alias("n"), F.explode("ctx").alias("f"))
     score = open_.join(info, "f", "left").groupBy("tbl", "rec_no", "turn_no", "a", "b", "n").agg(
         F.sum(F.coalesce("i_phone", F.lit(0.0))).alias("phone"), F.sum(F.coalesce("i_id_number", F.lit(0.0))).alias("id_number"), F.count("i_phone").alias("known")
     )
@@ -419,10 +483,14 @@ TYPES = ("phone", "email", "id_number", "street_address", "person_name")
 def disclosed_spans(records: DataFrame) -> DataFrame:
     """(tbl, rec_no, turn_no, a, b, kind): all spans that exceed their disclosure threshold, on the consistent text."""
     cands = cut(candidates(records))
-    terms = term_occurrences(records)
-    names = name_terms(cands, terms)
     fixed = cands.filter(F.col("kind").isin(*TYPES)).select("tbl", "rec_no", "turn_no", "a", "b", "kind")
-    by_term = terms.join(names, "term", "left_semi").select("tbl", "rec_no", "turn_no", "a", "b", F.lit("person_name").alias("kind"))
+    runs = cands.filter("kind = 'name'").select("tbl", "rec_no", "turn_no", "a", "b", F.explode(F.array_distinct("terms")).alias("term"), F.lit(False).alias("loose"))
+    loose = cands.filter("kind = 'words'").select("tbl", "rec_no", "turn_no", F.explode(F.arrays_zip("terms", "ctx")).alias("x"))
+    at = F.split("x.ctx", " ")
+    loose = loose.select("tbl", "rec_no", "turn_no", at[0].cast("int").alias("a"), at[1].cast("int").alias("b"), F.col("x.terms").alias("term"), F.lit(True).alias("loose"))
+    # materialised, so that its size is known when the words are joined: a small one is broadcast, a large one is not
+    names = cut(name_terms(cands))
+    by_term = runs.unionByName(loose).join(names, "term").filter("small OR NOT loose").select("tbl", "rec_no", "turn_no", "a", "b", F.lit("person_name").alias("kind"))
     return fixed.unionByName(number_kinds(cands)).unionByName(by_term)
 
 
