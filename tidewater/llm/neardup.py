@@ -48,6 +48,8 @@ LOT = 1 << 15
 #: Members up to which a bucket of several components is compared pair by pair; larger ones are split.
 SMALL = 32
 PARTS, PART_ROWS, SPLITS = 30, 3, 2
+#: Comparisons in large buckets, all together, up to which they are made at once.
+DIRECT = 5e6
 
 
 def pair_elements(texts: list[str | None], min_words: int) -> list[int] | None:
@@ -209,7 +211,7 @@ def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.8,
     return member.join(group, "copy_of", "left").select("id", "copy_of", F.coalesce("group_id", "copy_of").alias("group_id"))
 
 
-def bucket_links(rows: DataFrame, signed: DataFrame, records: DataFrame, threshold: float, small: int = SMALL, splits: int = SPLITS) -> DataFrame:
+def bucket_links(rows: DataFrame, signed: DataFrame, records: DataFrame, threshold: float, small: int = SMALL, splits: int = SPLITS, direct: float = DIRECT) -> DataFrame:
     """Verified links (a, b) that join all members of the buckets `rows` (id, key) that belong together."""
     sketches = signed.select("id", "sketch")
     links = comp = None
@@ -226,14 +228,16 @@ def bucket_links(rows: DataFrame, signed: DataFrame, records: DataFrame, thresho
         # several components: more than the head's; min and max tell without counting distinct values
         mixed = larger.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
         larger = cut(larger.join(mixed, "key", "left_semi").select("key", "id", "component", "size"))
-        last = level == splits
+        # comparisons that the large buckets ask for; as long as they are few for the cluster nothing needs splitting
+        asked = larger.filter(F.col("size") > small).agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
+        last = level == splits or asked <= direct
         close = larger if last else larger.filter(F.col("size") <= small)
         pair = close.alias("x").join(close.alias("y"), "key").filter("x.id < y.id AND x.component <> y.component")
         pair = pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         links = cut(links.unionByName(_verified(pair, records, sketches, threshold)).distinct())
-        wide = larger.filter(F.col("size") > small)
-        if last or wide.isEmpty():
+        if last:
             return links
+        wide = larger.filter(F.col("size") > small)
         own = F.slice("parts", level * PARTS + 1, PARTS)
         parts = wide.select("key", "id").join(signed.select("id", own.alias("parts")), "id").select("id", "key", F.posexplode("parts").alias("no", "part"))
         rows = parts.select("id", F.xxhash64("key", "no", "part").alias("key"))

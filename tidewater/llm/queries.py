@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm import oracles as O
 from tidewater.llm import defects, langid, leakage, neardup, packing, pii, quality, sampling, skeleton
 from tidewater.runtime import cut, table
 
@@ -46,7 +47,7 @@ def turns_long(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 3: visually identical text
 
 
-@query()
+@query(O.PAIRS)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for tbl, key in TURN_TABLES:
@@ -56,7 +57,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(O.CLASSES)
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row for each record: the smallest record that looks the same, its variant, and how many records look the same
     in other characters."""
@@ -67,7 +68,7 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(O.CONSISTENT)
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     rows = turns_long(spark, d)
     return rows.select("tbl", "rec_no", "turn_no", skeleton.consistent_udf("text").alias("text"))
@@ -193,13 +194,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).filter("run_words >= 12").select("doc_id", "item_id")
 
 
-@query()
+@query(f"SELECT item_id, suite, count(*) AS documents FROM ({ORACLE['p9_found']}) JOIN eval_items USING (item_id) GROUP BY ALL")
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which items leaked, into how many documents, and how long their longest leaked run is."""
-    hit = _leaks(spark, d).filter("run_words >= 12").groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"))
+    """Which items leaked, and into how many documents."""
+    hit = _leaks(spark, d).filter("run_words >= 12").groupBy("item_id").agg(F.count("*").alias("documents"))
     return table(spark, d, "eval_items").select("item_id", "suite").join(hit, "item_id")
 
 
+@query()
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with small changes: verified windows by weighted shingle similarity without an exact run of 12 words."""
+    return _leaks(spark, d).filter("run_words < 12").select("doc_id", "item_id", F.round("similarity", 4).alias("similarity"), "windows")
+
+
 # ---------------------------------------------------------------- 10: text quality statistics
 
 
@@ -223,6 +230,20 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d)
 
 
+@query(O.COUNTS)
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document that SQL can count too."""
+    return _stats(spark, d).select("doc_id", "lang_key", *O.COUNTED)
+
+
+@query(O.TAILS)
+def p10_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The exact tail probability of every value in each language."""
+    tells = {s: quality.TELLS[s] for s in O.RANKED}
+    rows = quality.exact_tails(quality.value_counts(quality.grouped(_stats(spark, d)), tells))
+    return rows.select(F.element_at(F.array(*[F.lit(s) for s in tells]), F.col("stat") + 1).alias("stat"), "grp", "value", "tail")
+
+
 @query()
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return _kind_scores(spark, d).select("doc_id", "list_score", "table_score", "junk_score")
@@ -237,12 +258,12 @@ def _near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "hinglish_spot_check").select("line_no", texts.alias("texts")), "line_no", "texts")
 
 
-@query()
+@query(O.NEAR)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _near_duplicates(spark, d).filter("id <> group_id").select(F.col("group_id").alias("line_a"), F.col("id").alias("line_b"))
 
 
-@query()
+@query(O.NEAR_GROUPS)
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per record with its class of copies and its group."""
     return _near_duplicates(spark, d)
