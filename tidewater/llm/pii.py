@@ -108,7 +108,18 @@ DOT = rf"(?:\s*[\[({{<]\s*(?:{K.DOT_WORDS})\s*[\])}}>]\s*|\s+(?:{DOT_SPELLED})\s
 #: What a text must hold before the patterns of mail addresses, links and street addresses are tried on it.
 MAY_MAIL = re.compile(rf"@|{DOT_SPELLED}|(?:{AT_SPELLED})\s*[\])}}>]", re.I)
 MAY_LINK = re.compile(r"[/@#]|www", re.I)
-MAY_ADDRESS = re.compile(rf"\b{STREET}\b|\b{BLOCK}\b|weg\b|stra(?:ß|ss)e|str\.|gasse|platz|allee|\b(?:calle|avenida|rue|via|quai|impasse|chemin)\b", re.I)
+STREET_WORDS = frozenset(w for p in (STREET, BLOCK) for w in p[3:-1].replace("towers?", "tower|towers").replace("apartments?", "apartment|apartments").replace("mansions?", "mansion|mansions").split("|")) | {
+    "calle", "avenida", "rue", "via", "quai", "impasse", "chemin"
+}
+STREET_ENDS = ("weg", "straße", "strasse", "str.", "gasse", "platz", "allee")
+
+
+def may_address(text: str) -> bool:
+    low = text.lower()
+    return any(e in low for e in STREET_ENDS) or not STREET_WORDS.isdisjoint(LETTER_RUN.findall(low))
+
+
+LETTER_RUN = re.compile(r"[^\W\d_]+")
 LABEL = r"[a-z0-9][a-z0-9-]*"
 LOCAL = rf"[a-z0-9][a-z0-9._%+-]*(?:{DOT}[a-z0-9][a-z0-9._%+-]*)?"
 PERIOD = rf"(?:\.(?=\S)|\s\.\s|{DOT})"
@@ -334,7 +345,7 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, list[s
     """(turn_no, type, is_seed, start, end, terms, contexts) over the consistent texts of a record. Types besides the
     five: `number` for open digit runs (its digits are the one term), `coded` for numbers of things, `name` for runs that
     may be names, `opening` for single words at the start of a sentence, which count for the statistics and stand among
-    the `words` too, and one row of `words` with the other words of a turn (their places in `contexts`)."""
+    the `words` too, and one row of `words` with the other words of a turn and their places, in one text."""
     out = []
     plain = [consistent(t) if t is not None else "" for t in texts]
     split = pieces(plain)
@@ -354,7 +365,7 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, list[s
         links = [m.span() for m in LINK.finditer(text)] if MAY_LINK.search(text) else []
         digits = readable_digits(text)
         numbered = any(ch.isdigit() for ch in text)
-        if numbered and MAY_ADDRESS.search(text):
+        if numbered and may_address(text):
             for m in ADDRESS.finditer(text):
                 if free(*m.span()):
                     taken.append(m.span())
@@ -397,7 +408,7 @@ def scan(texts: list[str | None]) -> list[tuple[int, str, bool, int, int, list[s
             if seed > 1:  # a title or an introduction needs no corpus
                 out.append((k, "person_name", True, a, b, [], []))
         if loose:
-            out.append((k, "words", False, 0, 0, [w for w, _, _ in loose], [f"{a} {b}" for _, a, b in loose]))
+            out.append((k, "words", False, 0, 0, [" ".join([f"{w}@{a}@{b}" for w, a, b in loose])], []))
     return out
 
 
@@ -485,9 +496,8 @@ def disclosed_spans(records: DataFrame) -> DataFrame:
     cands = cut(candidates(records))
     fixed = cands.filter(F.col("kind").isin(*TYPES)).select("tbl", "rec_no", "turn_no", "a", "b", "kind")
     runs = cands.filter("kind = 'name'").select("tbl", "rec_no", "turn_no", "a", "b", F.explode(F.array_distinct("terms")).alias("term"), F.lit(False).alias("loose"))
-    loose = cands.filter("kind = 'words'").select("tbl", "rec_no", "turn_no", F.explode(F.arrays_zip("terms", "ctx")).alias("x"))
-    at = F.split("x.ctx", " ")
-    loose = loose.select("tbl", "rec_no", "turn_no", at[0].cast("int").alias("a"), at[1].cast("int").alias("b"), F.col("x.terms").alias("term"), F.lit(True).alias("loose"))
+    loose = cands.filter("kind = 'words'").select("tbl", "rec_no", "turn_no", F.explode(F.split(F.col("terms")[0], " ")).alias("x")).withColumn("x", F.split("x", "@"))
+    loose = loose.select("tbl", "rec_no", "turn_no", F.col("x")[1].cast("int").alias("a"), F.col("x")[2].cast("int").alias("b"), F.col("x")[0].alias("term"), F.lit(True).alias("loose"))
     # materialised, so that its size is known when the words are joined: a small one is broadcast, a large one is not
     names = cut(name_terms(cands))
     by_term = runs.unionByName(loose).join(names, "term").filter("small OR NOT loose").select("tbl", "rec_no", "turn_no", "a", "b", F.lit("person_name").alias("kind"))
