@@ -260,7 +260,9 @@ def contexts(text: str, a: int, b: int) -> list[str]:
 
 
 NAME_TOKEN = re.compile(r"[^\W\d_]\.(?=\s[^\W\d_])|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]|_")
-STOPS = set(".!?।…:\"“(")
+STOPS = set(".!?।…\"“(")
+#: Capitals inside a word: only behind a particle, a hyphen or an apostrophe.
+INNER_CAPITAL = re.compile(r"^(?!Mc|Mac|De|Di|Du|La|Le|Van|Von)[^\W\d_]*[^\W\d_'’-][A-Z]")
 
 
 def _name_like(word: str, following: str) -> bool:
@@ -272,6 +274,8 @@ def _name_like(word: str, following: str) -> bool:
         return True
     if w in NOT_A_NAME or w in OPENERS or w in SPOKEN_TO or w == "let" or word.endswith("'s") or word.endswith("’s"):
         return False
+    if not word.isupper() and INNER_CAPITAL.match(word):
+        return False
     return len(w) == 1 or not word.isupper() or (len(w) > 2 and not following[:1].isdigit() and following != "-")
 
 
@@ -318,7 +322,7 @@ def words_and_runs(text: str, busy: list[tuple[int, int]]) -> tuple[list[tuple[i
         a, b = toks[i if title else first][0], toks[j - 1][1]
         terms = [low[k] for k in range(first, j) if len(low[k].strip(".")) > 2]
         opens = i == 0 or words[i - 1] in STOPS or "\n" in text[toks[i - 1][1] : a]
-        verb = opens and j - first == 1 and low[first] in VERB_OR_NAME
+        verb = opens and j - first == 1 and low[first] in VERB_OR_NAME and word(j) not in ("here", "ji", ":")
         if terms and not verb and not hit(a, b) and not place(i, j):
             l1, l2, l3 = word(i - 1), word(i - 2), word(i - 3)
             r1, r2 = word(j), word(j + 1)
@@ -334,7 +338,7 @@ def words_and_runs(text: str, busy: list[tuple[int, int]]) -> tuple[list[tuple[i
             )
             edge = "^" if opens else l1
             # the first word of a sentence has its capital anyway, so there it must be no word of the language
-            if opens and j - first == 1 and not title:
+            if opens and j - first == 1 and not (title or introduced or seed):
                 loose.append((terms[0], a, b))
             runs.append((a, b, 2 if title or introduced else int(seed), terms, [f"l {'^' if opens else l2} {edge}", f"r {r1} {r2}", f"b {edge} {r1}"]))
         i = j
