@@ -98,6 +98,7 @@ def words_in(c: Column) -> Column:
 
 def option_defect(violation: Column, options: Column) -> Column:
     """The first reason to flag a record's options, or null."""
+    # The reasons, word for word.
     n = F.coalesce(F.size(options), F.lit(0))
     n = F.greatest(n, F.lit(0))
     short = F.exists(options, lambda o: words_in(o) < K.OPTION_MIN_WORDS)

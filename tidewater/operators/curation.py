@@ -24,6 +24,7 @@ from tidewater.runtime import cut, spread
 _STRINGS = ["id", "intent", "subtype"]
 
 
+# The fields of a record and what is said of them below.
 def validation_error(raw: Column) -> Column:
     """Why a JSON line is no corpus record, or null. Strings must be strings and flags booleans or one of the spellings
     of a boolean; options may be absent, extra fields are ignored."""
@@ -110,7 +111,7 @@ def vector_pairs(vectors: DataFrame, key: str, vector: str, least: float, block_
     return keyed.groupBy("p", "q").applyInPandas(run, "a long, b long, similarity double")
 
 
-def vector_candidates(vectors: DataFrame, key: str, vector: str, least: float, tables: int = 60, bits: int = 12, seed: int = 5, bucket_rows: int = 1000) -> DataFrame:
+def vector_candidates(vectors: DataFrame, key: str, vector: str, least: float, tables: int = 60, bits: int = 12, seed: int = 5, bucket_rows: int = 250) -> DataFrame:
     """The same pairs by sign hashes of random planes, for collections where all block pairs are too many. A pair at
     cosine 0.85 shares one of the 60 hashes with a probability of 0.998.
 
