@@ -57,6 +57,8 @@ def test_dirty_messages(spark):
     got = decide(spark, rows)
     assert set(got) == {"m0001", "m0002", "m0003", "m0004"} and got["m0001"].final_text == ""
     assert M.decisions(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("stretch", "bucket", "__s", "final_text", "digits")})
+    assert {r.msg_id: r.score for r in M.decisions(clash).collect()} == {k: r.score for k, r in got.items()}
     assert M.decision_log(M.decisions(spark.createDataFrame(rows, SCHEMA))).count() == 4
 
 

@@ -81,6 +81,8 @@ def fold(rows: Iterator[pd.DataFrame], provider: S.Provider) -> Iterator[pd.Data
 def decisions(messages: DataFrame, provider: S.Provider = S.stub_provider, variant: str = "pipeline") -> DataFrame:
     """One row per message with its features, decision and what the log says. `messages` has room_id, sender_id,
     msg_id, speaker, text, ts, received_at."""
+    # other columns of the input, whatever their names, stay out
+    messages = messages.select("room_id", "sender_id", "msg_id", "speaker", "text", "ts", "received_at")
     # stretches may come from all deliveries: more rows only make them coarser, and the scan reads three columns
     active = stretches(messages.select(state_key().alias("__s"), F.col("ts").cast("timestamp").alias("ts")), "__s", "ts", K.SUSPICION_TTL)
     rows = first_deliveries(messages).withColumn("__s", state_key()).withColumn("bucket", bucket_of(F.col("ts").cast("timestamp"), K.SUSPICION_TTL))
