@@ -158,6 +158,9 @@ POSSESSIVE = {"my", "our", "his", "her", "their", "mere", "meri", "mera", "hamar
 INTRODUCES = {("name", "is"), ("mera", "naam"), ("meri", "naam"), ("am", "called"), ("is", "called"), ("is", "named"), ("are", "called"), ("name", "of"), ("this", "is")}
 SPOKEN_TO = {"tell", "ask", "thank", "inform", "remind", "meet", "met"}
 SPEAKS = {"told", "said", "says", "wrote", "ji"}
+SOUGHT = {(a, "for") for a in ("ask", "asking", "look", "looking", "wait", "waiting")} | {(a, "under") for a in ("is", "booking", "booked", "reservation")} | {(a, ":") for a in ("guest", "guests", "name", "names")}
+ASKS = {"did", "does", "has", "can", "could", "would", "will"}
+SIGNS_OFF = {"thanks", "regards", "cheers", "dhanyavaad", "love"}
 AFTER_THIS_IS = {"writing", "calling", "speaking", "texting", "here"}
 PART = r"(?:[^\W\d_]\.|[^\W\d_]{2,}(?:['’-][^\W\d_]+)*)"
 # Fillers around what a turn says.
@@ -335,6 +338,11 @@ def words_and_runs(text: str, busy: list[tuple[int, int]]) -> tuple[list[tuple[i
                 or r1 in SPEAKS
                 or (r1 == "here" and r2 == "," and opens)
                 or (r1 == "ke" and r2 == "naam")
+                or (l2, l1) in SOUGHT
+                or (l1 in ASKS and (l2 == "^" or l2 in STOPS))
+                or (l1 == "," and l2 in SIGNS_OFF and j - first > 1)
+                or (l1 == "to" and r1 == "please")
+                or (r1 == "se" and r2.startswith("mil"))
             )
             edge = "^" if opens else l1
             # the first word of a sentence has its capital anyway, so there it must be no word of the language
