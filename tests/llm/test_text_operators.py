@@ -178,6 +178,27 @@ def test_tails_are_exact_with_ties_over_partitions(spark):
     assert quality.exact_tails(df.limit(0).groupBy("stat", "grp", "value").agg(F.count("*").alias("n"))).count() == 0
 
 
+def test_far_values_keep_their_ranks(spark, monkeypatch):
+    """However far out a value is, its rank is its own; repeated ids stay separate rows, whether tails are broadcast or shuffled."""
+    rows = [(i, "We walked to the river and it was late.", "en") for i in range(20)] + [(20 + i, "we saw " + "x" * (300 + 7 * i), "en") for i in range(20)]
+    rows += [(100, "z" * n, "en") for n in (214, 215, 219, 220, 400, 400, 90000)]
+    stats = quality.text_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").cache()
+    tells = {"longest_word": quality.TELLS["longest_word"], "mean_word_len": quality.TELLS["mean_word_len"]}
+    for few in (1000, 0):
+        monkeypatch.setattr(quality, "FEW_GROUPS", few)
+        # below this size Spark would broadcast unasked
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = quality.tail_scores(stats, tells).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+        for at, (name, t) in enumerate(tells.items()):
+            steps = np.array([max(0, int(r[name] // t.step) - int(t.ordinary // t.step)) for r in got])
+            assert steps.max() > 10000
+            assert all(abs(r.outlying[at] + np.log((steps >= v).mean())) < 1e-9 for r, v in zip(got, steps))
+
+
 def test_small_languages_share_a_group(spark):
     df = spark.createDataFrame([(i, "en" if i < 30 else f"x{i % 4}") for i in range(40)], "doc_id long, lang_key string")
     assert {r.lang_key: r.grp for r in quality.grouped(df, 20).select("lang_key", "grp").distinct().collect()} == {"en": "en", "x0": "*", "x1": "*", "x2": "*", "x3": "*"}
